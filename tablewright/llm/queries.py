@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, quality_rules
+from . import exact_dedup, jaccard_join, packing, quality_rules, substring_dedup
 from .shared import table
 
 
@@ -10,6 +10,20 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("uid", "kept_text")
+
+
+def byte_tokenizer() -> tuple:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op4_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), byte_tokenizer())
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("uid", "component")
 
@@ -20,11 +34,21 @@ def op10_quality_rules(spark, sf_dir):
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_packing": op4_packing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op3_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) c FROM win) WHERE c > 1),
+gone AS (SELECT doc_id, list_sort(list(DISTINCT p)) ps FROM (SELECT doc_id, unnest(range(i, i + 35)) p FROM rep) GROUP BY doc_id),
+words AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) p FROM d),
+left_over AS (SELECT words.doc_id, string_agg(w[p], ' ' ORDER BY p) t, count(*) n FROM words ANTI JOIN (SELECT doc_id, unnest(ps) p FROM gone) x USING (doc_id, p) GROUP BY words.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN left_over USING (doc_id)""",
     "op9_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
 s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) g FROM d),
