@@ -78,24 +78,43 @@ class Words:
         return self.bytes[self.limit[d] : self.limit[d + 1] - 1]
 
 
-def window_minima(values: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
-    """Winnowing: positions that are the rightmost minimum of some ``width`` consecutive values.
+def sliding_minimum(values: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the rightmost minimum of the ``width`` values from each place on, whether they all lie in its sequence).
 
-    ``first`` bounds independent sequences; a sequence shorter than ``width`` gives its own minimum.
+    ``first`` bounds independent sequences. Windows double in width, so log2(width) passes do.
     """
     n = len(values)
-    if not n:
-        return np.zeros(0, dtype=np.int64)
-    sizes = np.diff(first)
-    # a segment's values never reach another: shorter windows are taken at its end only if it is short
-    best = np.arange(n)
-    seq = np.repeat(np.arange(len(sizes)), sizes)
-    last = first[1:][seq] - 1
-    have, step = 1, 1
-    while have < width:  # doubling: best[i] is the rightmost minimum of values[i:i + have] within its sequence
+    last = np.repeat(first[1:], np.diff(first)) - 1
+    best, have = np.arange(n), 1
+    while have < width:
         step = min(have, width - have)
         other = best[np.minimum(np.arange(n) + step, last)]
         best = np.where(values[other] <= values[best], other, best)
         have += step
-    starts = (np.arange(n) + width - 1 <= last) | ((np.arange(n) == first[seq]) & (sizes[seq] < width))
-    return np.unique(best[starts])
+    return best, np.arange(n) + width - 1 <= last
+
+
+def window_minima(values: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """Winnowing: places such that every ``width`` consecutive values hold one with their minimum.
+
+    Equal minima close together (text that repeats itself) are thinned to one in ``width``, so a
+    window has a place with its minimal value, though not the same one in every copy.
+    """
+    if not len(values):
+        return np.zeros(0, dtype=np.int64)
+    best, inside = sliding_minimum(values, first, width)
+    at = np.unique(best[inside])
+    seq = np.searchsorted(first, at, side="right")
+    tied = (values[at[1:]] == values[at[:-1]]) & (np.diff(at) < width) & (seq[1:] == seq[:-1])
+    keep = np.ones(len(at), dtype=bool)
+    inner = np.flatnonzero(tied[1:] & tied[:-1]) + 1  # neither first nor last of a run of equal minima
+    last = -1
+    for i in inner.tolist():
+        if last != i - 1:
+            held = at[i - 1]  # a run's first place is kept
+        if at[i + 1] - held <= width:
+            keep[i] = False
+        else:
+            held = at[i]
+        last = i
+    return at[keep]

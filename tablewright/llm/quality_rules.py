@@ -90,7 +90,8 @@ def quality_rules(docs: DataFrame, host: str = "source", least: int = 10, share:
     prepare(docs.sparkSession)
     docs = with_uid(docs)
     gone = frequent_lines(docs, host, least, share).groupBy("uid").agg(F.sum("words").alias("gone"))
-    out = document_counts(docs).join(gone, "uid", "left").withColumn("n_line_words_removed", F.coalesce("gone", F.lit(0)).cast("long"))
+    # stored, as a filter on the result would otherwise be pushed below, and work the arrays out again for each word
+    out = store(document_counts(docs), "counts").join(gone, "uid", "left").withColumn("n_line_words_removed", F.coalesce("gone", F.lit(0)).cast("long"))
     left = 100 * (F.col("n_words") - F.col("n_line_words_removed")) >= keep * F.col("n_words")
     return out.withColumn("kept", ~F.col("base_failed") & left).drop("gone")
 

@@ -3,8 +3,8 @@
 A window of L consecutive words is repeated when its word sequence starts anywhere else too. To find
 all of them without shuffling every window:
 
-1. Anchors. Winnowing over k-word hashes selects a minimum in every L-word window, the same one in
-   every copy of the window. Only these positions are shuffled; an anchor hash met twice is contested,
+1. Anchors. Winnowing over k-word hashes selects a place with the minimum in every L-word window, so
+   all copies of a window hold an anchor with the same hash. Only these positions are shuffled; an anchor hash met twice is contested,
    and is led by the smallest row number that holds it.
 2. Reference shards. Around each contested anchor lies all that windows with this anchor can cover.
    A document's stretches with the same leader are merged into segments and sent to that leader's
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import Words, range_hash, window_minima
+from .hashing import Words, range_hash, sliding_minimum, window_minima
 from .shared import drop_finished_shuffles, prepare, store, task_base, with_uid
 
 
@@ -174,7 +174,7 @@ def _parts(least: int, k: int):
             uids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             words = Words(texts)
             grams = words.grams(k)
-            segments, windows = [], []
+            segments, windows, holders = [], [], []
             for d, (uid, at, leader) in enumerate(zip(uids, b.column(2).to_pylist(), b.column(3).to_pylist())):
                 first, end = int(words.first[d]), int(words.first[d + 1])
                 n = end - first
@@ -197,24 +197,29 @@ def _parts(least: int, k: int):
                         raw = words.bytes[starts[low] : ends[high - 1]]
                         segments.append((lead, uid, low, b" ".join(raw.split())))
                 if hot:
-                    windows.append((d, uid, hot))
+                    windows.append(np.unique(grams[first + np.array(hot)]))
+                    holders.append(d)
             for i in range(0, len(segments), 2000):
                 part = list(zip(*segments[i : i + 2000]))
                 none = pa.nulls(len(part[0]), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.binary()), none, none], schema=_PARTS)
-            for d, uid, hot in windows:
-                first, n = int(words.first[d]), int(words.first[d + 1] - words.first[d])
-                begin = np.arange(n - least + 1)
-                # a hot anchor's windows: those whose rightmost minimum it is
-                g = grams[first : first + n - k + 1]
-                view = np.lib.stride_tricks.sliding_window_view(g, least - k + 1)
-                lowest = begin + (least - k) - view[:, ::-1].argmin(axis=1)
-                at = first + begin[np.isin(lowest, np.array(hot))]
-                h1, h2 = (range_hash(words.hash, at, at + least, s) for s in (0, 1))
-                for i in range(0, len(at), 50_000):
-                    m = len(at[i : i + 50_000])
-                    none = pa.nulls(m, pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, pa.array(np.full(m, uid), pa.int64()), pa.array(at[i : i + 50_000] - first, pa.int32()), pa.nulls(m, pa.binary()), pa.array(h1[i : i + 50_000].view(np.int64)), pa.array(h2[i : i + 50_000].view(np.int64))], schema=_PARTS)
+            if not holders:
+                continue
+            # a hot anchor's windows: those whose minimum is its hash
+            place = np.flatnonzero(words.full(k) & np.isin(words.doc, holders))
+            begins = np.concatenate(([0], np.cumsum(np.bincount(words.doc[place], minlength=words.n_texts))))
+            lowest, inside = sliding_minimum(grams[place], begins, least - k + 1)
+            lowest = grams[place][lowest]
+            is_hot = np.zeros(len(place), bool)
+            for d, values in zip(holders, windows):
+                is_hot[begins[d] : begins[d + 1]] = np.isin(lowest[begins[d] : begins[d + 1]], values)
+            at = place[is_hot & inside]
+            owner, start = np.array(uids)[words.doc[at]], at - words.first[words.doc[at]]
+            h1, h2 = (range_hash(words.hash, at, at + least, seed).view(np.int64) for seed in (0, 1))
+            for i in range(0, len(at), 50_000):
+                part = slice(i, i + 50_000)
+                m = len(at[part])
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(owner[part], pa.int64()), pa.array(start[part], pa.int32()), pa.nulls(m, pa.binary()), pa.array(h1[part]), pa.array(h2[part])], schema=_PARTS)
 
     return run
 
@@ -271,7 +276,8 @@ def substring_dedup(docs: DataFrame, least: int = 35, k: int = 8, hot: int = 256
     rows = store(docs.select("text").mapInArrow(_anchors(least, k), "kind byte, h long, uid long, at int, entry long"), "anchors")
     anchors = rows.where(f"kind = {_ANCHOR}").select("h", "uid", "at")
     met = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("uid").alias("leader")).where("n > 1")
-    met = met.select("h", F.when(F.col("n") > hot, -1).otherwise(F.col("leader")).cast("long").alias("leader"))
+    # stored, so that the join's sides are plain exchanges: a hot hash is split among tasks
+    met = store(met.select("h", F.when(F.col("n") > hot, -1).otherwise(F.col("leader")).cast("long").alias("leader")), "met")
     contested = store(anchors.join(met, "h").groupBy("uid").agg(F.collect_list(F.struct("at", "leader")).alias("met")), "contested")
     drop_finished_shuffles(spark)
     numbered = with_uid(docs)
