@@ -13,7 +13,8 @@ all of them without shuffling every window:
    strings occur, and streams the segments through it: the matching statistic at a word is the
    longest suffix there that occurs at least twice. Spans of L or more are removed.
 4. Hot anchors (a passage that very many documents hold): the windows they are the minimum of are
-   counted by 128-bit hash, summed in each task before the shuffle, so no key gathers a group.
+   counted by 128-bit hash, first in each batch: a window costs one row a batch, however many
+   documents hold it, and those that a batch holds twice need no more.
 
 The automata are sent to where their segments are rather than broadcast to every machine, as the
 reference here is the corpus itself and has no size bound.
@@ -160,7 +161,7 @@ def _anchors(least: int, k: int):
     return run
 
 
-_PARTS = pa.schema([("leader", pa.int64()), ("uid", pa.int64()), ("start", pa.int32()), ("text", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
+_PARTS = pa.schema([("leader", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("text", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64()), ("high", pa.int64())])
 
 
 def _parts(least: int, k: int):
@@ -169,6 +170,13 @@ def _parts(least: int, k: int):
     A leader of -1 marks a hot anchor.
     """
 
+    def rows(uid, start, h1=None, h2=None, n=None, high=None):
+        for i in range(0, len(uid), 50_000):
+            part = slice(i, i + 50_000)
+            m = len(uid[part])
+            long = lambda x: pa.nulls(m, pa.int64()) if x is None else pa.array(x[part], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), long(uid), long(start), pa.nulls(m, pa.binary()), long(h1), long(h2), long(n), long(high)], schema=_PARTS)
+
     def run(batches):
         for b in batches:
             uids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -202,7 +210,7 @@ def _parts(least: int, k: int):
             for i in range(0, len(segments), 2000):
                 part = list(zip(*segments[i : i + 2000]))
                 none = pa.nulls(len(part[0]), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.binary()), none, none], schema=_PARTS)
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.binary()), none, none, none, none], schema=_PARTS)
             if not holders:
                 continue
             # a hot anchor's windows: those whose minimum is its hash
@@ -216,10 +224,17 @@ def _parts(least: int, k: int):
             at = place[is_hot & inside]
             owner, start = np.array(uids)[words.doc[at]], at - words.first[words.doc[at]]
             h1, h2 = (range_hash(words.hash, at, at + least, seed).view(np.int64) for seed in (0, 1))
-            for i in range(0, len(at), 50_000):
-                part = slice(i, i + 50_000)
-                m = len(at[part])
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(owner[part], pa.int64()), pa.array(start[part], pa.int32()), pa.nulls(m, pa.binary()), pa.array(h1[part]), pa.array(h2[part])], schema=_PARTS)
+            order = np.lexsort((start, owner, h2, h1))
+            new = np.concatenate(([True], (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)))[: len(at)]
+            times = np.diff(np.append(np.flatnonzero(new), len(at)))
+            # windows met twice in this batch are known to be repeated: as spans, and one row for the count
+            known = np.sort(order[np.repeat(times, times) > 1])
+            if len(known):
+                edge = np.concatenate(([True], (np.diff(owner[known]) != 0) | (np.diff(start[known]) > least)))
+                low, high = known[edge], known[np.append(np.flatnonzero(edge)[1:], len(known)) - 1]
+                yield from rows(owner[low], start[low], high=start[high] + least)
+            one = order[new]
+            yield from rows(owner[one], start[one], h1=h1[one], h2=h2[one], n=times)
 
     return run
 
@@ -282,13 +297,15 @@ def substring_dedup(docs: DataFrame, least: int = 35, k: int = 8, hot: int = 256
     drop_finished_shuffles(spark)
     numbered = with_uid(docs)
     text = numbered.select("uid", "text").join(contested.hint("shuffle_hash"), "uid")
-    parts = store(text.select("uid", "text", "met.at", "met.leader").mapInArrow(_parts(least, k), "leader long, uid long, start int, text binary, w1 long, w2 long"), "parts")
+    parts = store(text.select("uid", "text", "met.at", "met.leader").mapInArrow(_parts(least, k), "leader long, uid long, start long, text binary, w1 long, w2 long, n long, high long"), "parts")
     drop_finished_shuffles(spark)
     shards = parts.where("leader is not null").select("leader", "uid", "start", "text").repartition("leader").sortWithinPartitions("leader")
     spans = shards.mapInArrow(_shards(least), "uid long, low long, high long")
-    windows = parts.where("leader is null").select("w1", "w2", "uid", "start")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    spans = spans.union(windows.join(twice, ["w1", "w2"]).select("uid", F.col("start").cast("long").alias("low"), (F.col("start") + least).cast("long").alias("high")))
+    spans = spans.union(parts.where("high is not null").select("uid", F.col("start").alias("low"), "high"))
+    windows = parts.where("w1 is not null").select("w1", "w2", "uid", "start", "n")
+    twice = store(windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2"), "twice")
+    lone = windows.where("n = 1").join(twice, ["w1", "w2"], "left_semi")
+    spans = spans.union(lone.select("uid", F.col("start").alias("low"), (F.col("start") + least).alias("high")))
     spans = spans.groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("s"))
     # documents with an equal one in the same map task are wholly repeated
     mapped = rows.where(f"kind = {_DOC}")
