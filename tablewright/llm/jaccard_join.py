@@ -209,13 +209,13 @@ def _count_links(percent: int):
 def _member_sets(k: int):
     def run(batches):
         for b in batches:
-            sets = gram_sets(b.column(2).to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["uid", "family", "grams"])
+            sets = gram_sets(b.column(3).to_pylist(), k)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["uid", "family", "blocks", "grams"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: int = 1024, block_grams: int = 4 << 20) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are ignored): uid, doc_id, n_shingles, component_id, component.
 
     A document's set: distinct k-word shingles of the lower-cased (A-Z) text; all words as one with
@@ -235,18 +235,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: in
     families = store(components(stars).select(F.col("node").alias("uid"), F.col("component").alias("family")), "families")
     drop_finished_shuffles(spark)
 
-    sized = families.groupBy("family").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / block).cast("int")
+    own_rows = rows.where(f"kind = {_DOC}").select(F.col("a").alias("uid"), F.col("b").alias("entry"), "doc_id", F.col("n").alias("n_shingles"))
+    sized = families.join(own_rows, "uid").groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("grams"))
+    blocks = F.ceil(F.greatest(F.col("members") / block, F.col("grams") / block_grams)).cast("int")
     member = families.join(sized, "family").select("uid", "family", blocks.alias("blocks"))
-    text = with_uid(docs).select("uid", "text").join(member.select("uid", "family").hint("shuffle_hash"), "uid").select("uid", "family", "text")
-    sets = text.mapInArrow(_member_sets(k), "uid long, family long, grams binary").join(sized, "family").withColumn("blocks", blocks)
+    text = with_uid(docs).select("uid", "text").join(member.hint("shuffle_hash"), "uid").select("uid", "family", "blocks", "text")
+    sets = text.mapInArrow(_member_sets(k), "uid long, family long, blocks int, grams binary")
     own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"))))
     dealt = sets.withColumn("own", own).select("family", pair.alias("p"), "uid", "grams").select("family", "p.i", "p.j", "uid", "grams")
     dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "uid")
     links = components(dealt.mapInArrow(_count_links(percent), "u long, v long")).select(F.col("node").alias("entry"), "component")
 
-    own_rows = rows.where(f"kind = {_DOC}").select(F.col("a").alias("uid"), F.col("b").alias("entry"), "doc_id", F.col("n").alias("n_shingles"))
     least = own_rows.groupBy("entry").agg(F.min("doc_id").alias("least")).join(links, "entry", "left").withColumn("component", F.coalesce("component", "entry"))
     least = store(least, "entries")
     of = least.groupBy("component").agg(F.min("least").alias("component_id"))
