@@ -50,24 +50,24 @@ def size_classes(percent: int, most: int = 1 << 40) -> tuple[list[int], list[int
 def segment_keys(grams: np.ndarray, percent: int, bounds: list[int], differ: list[int]) -> np.ndarray:
     """The candidate keys of one set (sorted, distinct uint64 hashes).
 
-    The set's own class, and the next one if a larger partner may lie there. Each class has two
-    fragments more than it needs, so that segments of under two n-grams (which many sets share by
-    chance) need no key unless the set has more than two of them.
+    The set's own class, and the next one if a larger partner may lie there. With ``spare`` fragments
+    more than the class needs, linked sets agree in more than ``spare`` segments. The largest of those
+    (by size, then place) is not among the ``spare`` smallest segments of either set, so these, which
+    unlike sets may share by chance, need no key.
     """
     size, out = len(grams), []
     own = int(np.searchsorted(bounds, size, side="right")) - 1
     for c in (own, own + 1):
         if c > own and 100 * size < percent * bounds[c]:
             break
-        spare = 2 if differ[c] > 1 else 0
+        spare = differ[c] // 3 + 1 if differ[c] else 0
         n = differ[c] + 1 + spare
         cuts = np.array([(i << 64) // n for i in range(1, n)], dtype=np.uint64)
         at = np.concatenate(([0], np.searchsorted(grams, cuts), [size]))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(grams), dtype=np.uint64)))
         count = np.diff(at)
         keys = mix64((total[at[1:]] - total[at[:-1]]) ^ mix64(np.arange(n, dtype=np.uint64) + np.uint64(c << 32)) ^ (count.astype(np.uint64) << np.uint64(40)))
-        if spare and (count < 2).sum() <= spare:
-            keys = keys[count >= 2]
+        keys = keys[np.argsort(count, kind="stable")[spare:]]
         out.append(keys)
     return np.concatenate(out)
 
