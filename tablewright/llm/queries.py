@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, packing, quality_rules, substring_dedup
+from . import chat_format, exact_dedup, jaccard_join, line_dedup, packing, piece_coding, quality_rules, substring_dedup, toxicity, url_filter
 from .shared import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("uid", "kept_text")
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("uid")
 
@@ -24,6 +28,32 @@ def op4_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), byte_tokenizer())
 
 
+def op5_chat_format(spark, sf_dir):
+    probe = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.format_conversations(turns.unionByName(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string")))
+
+
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), {"low_quality": "1 - quality", "toxic": "toxic"})
+
+
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+#: Seeds: registered domains that are trusted, and first labels of hosts on the block list.
+TRUSTED = ["example.com", "example.net", "example.org"]
+BLOCKED = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+def op7_url_filter(spark, sf_dir):
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), RULES, TRUSTED, BLOCKED)
+
+
+def op8_piece_coding(spark, sf_dir):
+    import public_tokenizers
+
+    return piece_coding.piece_coding(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("uid", "component")
 
@@ -33,14 +63,33 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
+    "op5_chat_format": op5_chat_format,
+    "op6_toxicity": op6_toxicity,
+    "op7_url_filter": op7_url_filter,
+    "op8_piece_coding": op8_piece_coding,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) p FROM documents),
+n AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY p) i, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') k FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+r AS (SELECT a.doc_id, a.i, row_number() OVER (PARTITION BY a.k, b.k, c.k ORDER BY a.doc_id, a.i) o FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN n c ON a.doc_id = c.doc_id AND c.i = a.i + 2),
+gone AS (SELECT DISTINCT n.doc_id, n.p FROM n JOIN r ON n.doc_id = r.doc_id AND n.i BETWEEN r.i AND r.i + 2 WHERE o > 1),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) t FROM lines ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, (SELECT count(*) FROM n WHERE n.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)""",
+    "op5_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(length(t) + length(t) - length(replace(t, chr(92), '')) + len(regexp_extract_all(t, '<s>|</s>|\[INST\]|\[/INST\]')) + CASE WHEN r = 'assistant' THEN 7 ELSE 14 + length(r) END)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id""",
     "op3_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) i FROM d)),
