@@ -92,5 +92,5 @@ def line_dedup(docs: DataFrame, least: int = 3) -> DataFrame:
     later = runs.join(store(first, "first"), ["w1", "w2"]).where(place > F.col("first")).groupBy("uid").agg(F.collect_list("start").alias("starts"))
     later = store(later, "later")
     drop_finished_shuffles(spark)
-    out = with_uid(docs).join(later, "uid", "left").select("uid", "doc_id", "text", "starts")
+    out = with_uid(docs).join(later.hint("shuffle_hash"), "uid", "left").select("uid", "doc_id", "text", "starts")
     return out.mapInArrow(_cut(least), "uid long, doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string")
