@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import Words, mix64
-from .shared import drop_finished_shuffles, prepare, store, task_base, with_uid
+from .shared import drop_finished_shuffles, drop_table, prepare, store, task_base, with_uid
 
-_DOC, _KEY, _STAR = 0, 1, 2
+#: Keys that linked sets of large classes share at least; a set with fewer shared keys has no link.
+SUPPORT = 4
+_DOC, _KEY, _STAR, _NODE = 0, 1, 2, 3
 _ROWS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
 
 
@@ -47,31 +49,56 @@ def size_classes(percent: int, most: int = 1 << 40) -> tuple[list[int], list[int
     return bounds, [apart(b - 1) for b in bounds[1:]]
 
 
-def segment_keys(grams: np.ndarray, percent: int, bounds: list[int], differ: list[int]) -> np.ndarray:
-    """The candidate keys of one set (sorted, distinct uint64 hashes).
+def set_keys(grams: np.ndarray, hot: np.ndarray, percent: int, bounds: list[int], differ: list[int]) -> np.ndarray:
+    """The candidate keys of one set, free of the n-grams that very many sets hold.
+
+    Sets that differ in at most D n-grams do so without their hot ones too. Sets that are mostly hot get
+    keys of all their n-grams instead; where the two ways meet, a set gets both, as linked sets'
+    shares of hot n-grams differ by little.
+    """
+    if not len(hot):
+        return segment_keys(grams, len(grams), 0, percent, bounds, differ)
+    is_hot = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+    share, out = is_hot.mean(), []
+    apart = (100 - percent) / percent
+    if share <= 0.5:
+        out.append(segment_keys(grams[~is_hot], len(grams), 0, percent, bounds, differ))
+    if share >= min(0.5 / (1 + apart), (0.5 - apart) / (1 - apart)) - 1e-9:
+        out.append(segment_keys(grams, len(grams), 1, percent, bounds, differ))
+    return np.concatenate(out)
+
+
+def segment_keys(grams: np.ndarray, size: int, way: int, percent: int, bounds: list[int], differ: list[int]) -> np.ndarray:
+    """Keys of a set of ``size`` n-grams by its sorted, distinct hashes, or by a part of them that is chosen alike for all sets.
 
     The set's own class, and the next one if a larger partner may lie there. With ``spare`` fragments
     more than the class needs, linked sets agree in more than ``spare`` segments. The largest of those
     (by size, then place) is not among the ``spare`` smallest segments of either set, so these, which
-    unlike sets may share by chance, need no key.
+    unlike sets may share by chance, need no key. In large classes ``SUPPORT`` - 1 keys more are given,
+    so that linked sets share ``SUPPORT`` of them.
     """
-    size, out = len(grams), []
+    out = []
     own = int(np.searchsorted(bounds, size, side="right")) - 1
     for c in (own, own + 1):
         if c > own and 100 * size < percent * bounds[c]:
             break
-        spare = differ[c] // 3 + 1 if differ[c] else 0
+        spare = differ[c] // 3 + support(differ[c]) if differ[c] else 0
         n = differ[c] + 1 + spare
         cuts = np.array([(i << 64) // n for i in range(1, n)], dtype=np.uint64)
-        at = np.concatenate(([0], np.searchsorted(grams, cuts), [size]))
+        at = np.concatenate(([0], np.searchsorted(grams, cuts), [len(grams)]))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(grams), dtype=np.uint64)))
         count = np.diff(at)
-        keys = mix64((total[at[1:]] - total[at[:-1]]) ^ mix64(np.arange(n, dtype=np.uint64) + np.uint64(c << 32)) ^ (count.astype(np.uint64) << np.uint64(40)))
-        keys = keys[np.argsort(count, kind="stable")[spare:]]
+        keys = mix64((total[at[1:]] - total[at[:-1]]) ^ mix64(np.arange(n, dtype=np.uint64) + np.uint64(c << 32 | way << 31)) ^ (count.astype(np.uint64) << np.uint64(40)))
+        keys = keys[np.argsort(count, kind="stable")[spare - (support(differ[c]) - 1) :]]
         out.append(keys)
     return np.concatenate(out)
 
 
+def support(differ: int) -> int:
+    """How many keys linked sets of a class share at least."""
+    return SUPPORT if differ >= 3 * SUPPORT else 1
+
+
 def gram_sets(texts: list, k: int) -> list[np.ndarray]:
     """Each text's set of k-word n-grams as sorted hashes; fewer than k words make one n-gram of all of them."""
     words = Words(texts, lower=True)
@@ -95,7 +122,40 @@ def _short(hashes: np.ndarray) -> int:
     return got
 
 
-def _sketch(k: int, percent: int):
+def _hot_counts(k: int, chunk: int = 4 << 20):
+    """(n-gram, documents) of n-grams that three documents of a chunk hold, or more."""
+
+    def count(sets):
+        gram, n = np.unique(np.concatenate(sets), return_counts=True)
+        often = n > 2
+        return pa.RecordBatch.from_arrays([pa.array(gram[often].view(np.int64)), pa.array(n[often], pa.int64())], names=["gram", "n"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held += gram_sets(b.column(0).to_pylist(), k)
+            size += sum(map(len, held[-b.num_rows :]))
+            if size > chunk:
+                yield count(held)
+                held, size = [], 0
+        if held:
+            yield count(held)
+
+    return run
+
+
+def hot_grams(docs: DataFrame, k: int, least: int = 64, most: int = 5000) -> np.ndarray:
+    """N-grams that more than ``least`` documents, and one in ``most``, hold, counted over all of them.
+
+    At most ``most`` times the mean size of a set: a bounded table. Which n-grams are in it is of no matter
+    to the result, only to its cost.
+    """
+    counted = docs.select("text").mapInArrow(_hot_counts(k), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") > max(least, docs.count() // most)).select("gram").toPandas()
+    return np.sort(rows["gram"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def _sketch(k: int, percent: int, hot):
     bounds, differ = size_classes(percent)
 
     def rows(kind, a, b, doc_id=None, n=None):
@@ -104,7 +164,7 @@ def _sketch(k: int, percent: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int8)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), none if doc_id is None else doc_id, none if n is None else pa.array(n, pa.int64())], schema=_ROWS)
 
     def run(batches):
-        uid, seen, keys, owners = task_base(), {}, [], []
+        uid, seen, keys, owners, needs = task_base(), {}, [], [], []
         for batch in batches:
             sets = gram_sets(batch.column(1).to_pylist(), k)
             uids = uid + np.arange(len(sets))
@@ -115,8 +175,9 @@ def _sketch(k: int, percent: int):
                 first = seen.setdefault((len(s), int(s.sum(dtype=np.uint64)), int(mix64(s).sum(dtype=np.uint64))), int(uids[i]))
                 entry[i] = first
                 if first == uids[i]:
-                    keys.append(segment_keys(s, percent, bounds, differ))
+                    keys.append(set_keys(s, hot.value, percent, bounds, differ))
                     owners.append(np.full(len(keys[-1]), first))
+                    needs.append((first, support(differ[int(np.searchsorted(bounds, len(s), side="right")) - 1])))
             uid += len(sets)
             yield rows(_DOC, uids, entry, batch.column(0).cast(pa.int64()), [len(s) for s in sets])
         if not keys:
@@ -125,13 +186,20 @@ def _sketch(k: int, percent: int):
         order = np.lexsort((owner, key))
         key, owner = key[order], owner[order]
         new = np.concatenate(([True], key[1:] != key[:-1]))
-        lead = owner[new][np.cumsum(new) - 1]
+        group = np.cumsum(new) - 1
+        lead, met = owner[new][group], np.bincount(group)[group] > 1
         stars = np.unique(np.stack([lead[lead != owner], owner[lead != owner]]), axis=1)
         for i in range(0, stars.shape[1], 50_000):
             yield rows(_STAR, stars[0, i : i + 50_000], stars[1, i : i + 50_000])
-        key, owner = key[new], owner[new]
+        node, need = np.array(needs).T
+        shared = np.bincount(np.searchsorted(node, owner[met]), minlength=len(node))
+        for i in range(0, len(node), 50_000):
+            part = slice(i, i + 50_000)
+            yield rows(_NODE, node[part], shared[part], n=need[part])
+        key, owner, met = key[new], owner[new], met[new]
         for i in range(0, len(key), 50_000):
-            yield rows(_KEY, key[i : i + 50_000], owner[i : i + 50_000])
+            part = slice(i, i + 50_000)
+            yield rows(_KEY, key[part], owner[part], n=met[part].astype(np.int64))
 
     return run
 
@@ -215,7 +283,7 @@ def _member_sets(k: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: int = 1024, block_grams: int = 4 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: int = 1024, block_grams: int = 4 << 20, hot_least: int = 64) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are ignored): uid, doc_id, n_shingles, component_id, component.
 
     A document's set: distinct k-word shingles of the lower-cased (A-Z) text; all words as one with
@@ -227,15 +295,28 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: in
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = store(docs.mapInArrow(_sketch(k, percent), "kind byte, a long, b long, doc_id long, n long"), "segments")
+    hot = spark.sparkContext.broadcast(hot_grams(docs, k, hot_least))
+    rows = store(docs.mapInArrow(_sketch(k, percent, hot), "kind byte, a long, b long, doc_id long, n long"), "segments")
     # a key has one row a map task here, however many sets share it
-    lead = F.min("b").over(Window.partitionBy("a"))
-    global_stars = rows.where(f"kind = {_KEY}").select("b", lead.alias("lead")).where("b <> lead").select(F.col("lead").alias("u"), F.col("b").alias("v"))
-    stars = rows.where(f"kind = {_STAR}").select(F.col("a").alias("u"), F.col("b").alias("v")).union(global_stars).distinct()
-    families = store(components(stars).select(F.col("node").alias("uid"), F.col("component").alias("family")), "families")
+    same = Window.partitionBy("a")
+    met = rows.where(f"kind = {_KEY}").select("b", "n", F.min("b").over(same).alias("lead"), F.count("*").over(same).alias("held")).where("held > 1").select("b", "n", "lead")
+    met = store(met.groupBy("b", "lead").agg(F.sum(1 - F.col("n")).alias("more")), "met")
+    # a set with fewer shared keys than linked sets have is in no family, unless others meet through it
+    more = met.groupBy("b").agg(F.sum("more").alias("more"))
+    nodes = rows.where(f"kind = {_NODE}").select(F.col("a").alias("uid"), F.col("b").alias("shared"), F.col("n").alias("need"))
+    kept = nodes.join(more.withColumnRenamed("b", "uid"), "uid", "left").where("shared + coalesce(more, 0) >= need").select("uid")
+    kept = store(kept, "kept")
+    local = rows.where(f"kind = {_STAR}").select(F.col("a").alias("u"), F.col("b").alias("v")).join(kept.withColumnRenamed("uid", "v"), "v", "left_semi").select("u", "v")
+    local = store(local, "stars")
+    live = kept.union(local.select("u")).distinct().withColumnRenamed("uid", "v")
+    far = met.where("b <> lead").select(F.col("lead").alias("u"), F.col("b").alias("v")).join(live, "v", "left_semi").select("u", "v")
+    own_rows = store(rows.where(f"kind = {_DOC}").select(F.col("a").alias("uid"), F.col("b").alias("entry"), "doc_id", F.col("n").alias("n_shingles")), "docs")
+    families = components(local.union(far)).join(kept.withColumnRenamed("uid", "node"), "node", "left_semi")
+    families = families.select(F.col("node").alias("uid"), F.col("component").alias("family"))
+    families = store(families.withColumn("size", F.count("*").over(Window.partitionBy("family"))).where("size > 1").drop("size"), "families")
+    drop_table(rows)
     drop_finished_shuffles(spark)
 
-    own_rows = rows.where(f"kind = {_DOC}").select(F.col("a").alias("uid"), F.col("b").alias("entry"), "doc_id", F.col("n").alias("n_shingles"))
     sized = families.join(own_rows, "uid").groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("grams"))
     blocks = F.ceil(F.greatest(F.col("members") / block, F.col("grams") / block_grams)).cast("int")
     member = families.join(sized, "family").select("uid", "family", blocks.alias("blocks"))

@@ -52,6 +52,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Remove a stored table that no later plan reads."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _drop(df.sparkSession, path)
+
+
 def drop_finished_shuffles(spark: SparkSession) -> None:
     """Let the cleaner remove shuffle files of plans that a stored table has replaced."""
     gc.collect()
