@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_finished_shuffles, prepare, store, task_base
+from .shared import drop_finished_shuffles, prepare, spare_name, store, task_base
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _POSTINGS = "uid long, doc_id long, entry long, sha binary, key long, n long, chars long, best_id long, best_uid long, body binary"
@@ -157,5 +157,6 @@ def exact_dedup(docs: DataFrame, capacity: int = 4 << 20, deepest: int = 14, buf
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("uid").alias("_uid"))
-    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(kept, "_uid", "left_semi").drop("_uid")
+    row = spare_name(docs, "_row")
+    kept = exact_dedup(docs).where("kept").select(F.col("uid").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import Words, mix64
-from .shared import drop_finished_shuffles, drop_table, prepare, store, task_base, with_uid
+from .shared import drop_finished_shuffles, drop_table, prepare, spare_name, store, task_base, with_uid
 
 #: Keys that linked sets of large classes share at least; a set with fewer shared keys has no link.
 SUPPORT = 4
@@ -338,7 +338,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: in
 
 def keep_one_of_each(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the smallest doc_id stays (the first row of it; a null doc_id comes last)."""
-    found = jaccard_components(docs, k, percent)
+    found, row = jaccard_components(docs, k, percent), spare_name(docs, "_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    kept = found.groupBy("component").agg(first.alias("first")).select(F.col("first.uid").alias("_uid"))
-    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(kept, "_uid", "left_semi").drop("_uid")
+    kept = found.groupBy("component").agg(first.alias("first")).select(F.col("first.uid").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)

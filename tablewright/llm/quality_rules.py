@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare, store, with_uid
+from .shared import prepare, spare_name, store, with_uid
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -88,7 +88,8 @@ def quality_rules(docs: DataFrame, host: str = "source", least: int = 10, share:
     row. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    docs = with_uid(docs)
+    docs = with_uid(docs.select("doc_id", "text", F.col(host).alias("host")))
+    host = "host"
     gone = frequent_lines(docs, host, least, share).groupBy("uid").agg(F.sum("words").alias("gone"))
     # stored, as a filter on the result would otherwise be pushed below, and work the arrays out again for each word
     out = store(document_counts(docs), "counts").join(gone, "uid", "left").withColumn("n_line_words_removed", F.coalesce("gone", F.lit(0)).cast("long"))
@@ -99,12 +100,12 @@ def quality_rules(docs: DataFrame, host: str = "source", least: int = 10, share:
 def clean_documents(docs: DataFrame, host: str = "source", least: int = 10, share: float = 0.2, keep: int = 50) -> DataFrame:
     """The documents that stay, with all their columns and without the lines above the limits (n_chars follows the text)."""
     prepare(docs.sparkSession)
-    numbered = with_uid(docs)
-    verdict = quality_rules(docs, host, least, share, keep).where("kept").select("uid")
-    bad = frequent_lines(numbered, host, least, share).groupBy("uid").agg(F.collect_set("key").alias("bad"))
-    out = numbered.join(verdict.join(bad, "uid", "left"), "uid")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("bad"), line_key(x))), "\n")
-    out = out.withColumn("text", F.when(F.col("bad").isNull(), F.col("text")).otherwise(kept))
+    row, bad = spare_name(docs, "_row"), spare_name(docs, "_bad")
+    verdict = quality_rules(docs, host, least, share, keep).where("kept").select(F.col("uid").alias(row))
+    lines = frequent_lines(with_uid(docs.select("text", host)), host, least, share).groupBy("uid").agg(F.collect_set("key").alias(bad)).withColumnRenamed("uid", row)
+    out = docs.withColumn(row, F.monotonically_increasing_id()).join(verdict.join(lines, row, "left"), row)
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col(bad), line_key(x))), "\n")
+    out = out.withColumn("text", F.when(F.col(bad).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("bad").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(bad).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

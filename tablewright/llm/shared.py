@@ -73,6 +73,14 @@ def with_uid(docs: DataFrame) -> DataFrame:
     return docs.withColumn("uid", F.monotonically_increasing_id())
 
 
+def spare_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def task_base() -> int:
     """The first row number of this task's partition."""
     from pyspark import TaskContext

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words, range_hash, sliding_minimum, window_minima
-from .shared import drop_finished_shuffles, prepare, store, task_base, with_uid
+from .shared import drop_finished_shuffles, prepare, spare_name, store, task_base, with_uid
 
 
 class SuffixAutomaton:
@@ -322,9 +322,10 @@ def drop_repeats(docs: DataFrame, least: int = 35) -> DataFrame:
 
     Documents of which nothing is left are dropped; all others keep their columns, and their text if nothing was removed.
     """
-    found = substring_dedup(docs, least).where("n_removed > 0").select(F.col("uid").alias("_uid"), F.col("kept_text").alias("_text"))
-    out = docs.withColumn("_uid", F.monotonically_increasing_id()).join(found, "_uid", "left")
-    out = out.where("_text is null or _text <> ''").withColumn("text", F.coalesce("_text", "text"))
+    row, cut = spare_name(docs, "_row"), spare_name(docs, "_cut")
+    found = substring_dedup(docs, least).where("n_removed > 0").select(F.col("uid").alias(row), F.col("kept_text").alias(cut))
+    out = docs.withColumn(row, F.monotonically_increasing_id()).join(found, row, "left")
+    out = out.where(F.col(cut).isNull() | (F.col(cut) != "")).withColumn("text", F.coalesce(cut, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
