@@ -12,5 +12,5 @@ def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 def status_counts(events: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Events of each status by day; repeats of an id within the watermark count once."""
-    rows = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     return rows.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
