@@ -108,7 +108,7 @@ def _buckets(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.astype(np.int32).tobytes() for r in rows], pa.binary())], names=["doc_id", "words"])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = 6000, features: int = 1024) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = 6000, features: int = 256) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are ignored): doc_id, p_<category> for each, toxic.
 
     ``categories``: name to SQL expression (0 or 1) over ``labels`` (doc_id, ...), in chain order; the last
