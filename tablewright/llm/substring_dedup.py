@@ -313,7 +313,7 @@ def substring_dedup(docs: DataFrame, least: int = 35, k: int = 8, hot: int = 256
     whole = mapped.join(copies, "entry").select("uid", F.lit(True).alias("whole"))
     found = store(spans.join(whole, "uid", "full").select("uid", F.coalesce("whole", F.lit(False)).alias("whole"), F.col("s.low").alias("low"), F.col("s.high").alias("high")), "spans")
     drop_finished_shuffles(spark)
-    out = numbered.join(found, "uid", "left").select("uid", "doc_id", "text", "whole", "low", "high")
+    out = numbered.join(found.hint("shuffle_hash"), "uid", "left").select("uid", "doc_id", "text", "whole", "low", "high")
     return out.mapInArrow(_cut, "uid long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
