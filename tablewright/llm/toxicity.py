@@ -50,8 +50,12 @@ class Linear:
 
 
 def fit_linear(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, features: int, steps: int = 150, ridge: float = 1e-3) -> Linear:
-    """Logistic regression by accelerated gradient steps over the buckets that tell the classes apart best."""
+    """Logistic regression by accelerated gradient steps over the buckets that tell the classes apart best.
+
+    At most ``features`` buckets, and no more than positive rows (48 at least): few rows bear few features.
+    """
     n, pos = len(y), max(1, int(y.sum()))
+    features = min(features, max(48, pos))
     word, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
     seen, column = np.unique(word, return_inverse=True)
     with_1 = np.bincount(column, y[owner], minlength=len(seen))
@@ -108,7 +112,7 @@ def _buckets(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.astype(np.int32).tobytes() for r in rows], pa.binary())], names=["doc_id", "words"])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = 6000, features: int = 256) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = 6000, features: int = 192) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are ignored): doc_id, p_<category> for each, toxic.
 
     ``categories``: name to SQL expression (0 or 1) over ``labels`` (doc_id, ...), in chain order; the last
