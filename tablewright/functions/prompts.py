@@ -11,8 +11,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 LETTERS = ("A", "B", "C", "D", "E")
 SHUFFLE_SEED = 1508
-# Fixed value: the prompt's version and text.
-VERSION = "recipe-mpr-mc-v1"
+# Fixed value: the text of the prompt.
+VERSION = "mc-v1"
 TEMPLATE = """Given the following recipe preference query, select the best matching recipe.
 
 Query: %s

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rewrite import variants
 from ..functions.text import strip
 
+# Names of the types, in order.
 TYPES = ("Specific", "Commonsense", "Negated", "Analogical", "Temporal")
 
 
