@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import items, metrics, registry, sampling
+from .operators import evaluation, generation, items, metrics, registry, runs, sampling, synthetic, training
 from .sources import json_files
 
-ITEM = f"pos long, example_id string, query string, options array<{json_files.OPTION}>, answer_option_id string, query_type_flags struct<Specific:boolean,Commonsense:boolean,Negated:boolean,Analogical:boolean,Temporal:boolean>"
+ITEM = f"pos long, example_id string, query string, options array<{json_files.OPTION}>, answer_option_id string, query_type_flags {json_files.FLAGS}"
 MANIFEST = "split string, pos long, example_id string"
 
 
@@ -48,13 +50,27 @@ def dataset_stats(spark, a):
         print(f"{r['name']}\t{r.n}")
 
 
+def _manifest(spark, path: str) -> DataFrame:
+    """A manifest as one JSON object (.json), or as rows."""
+    return json_files.read_manifest(spark, path) if path.endswith(".json") else json_files.read_lines(spark, path, MANIFEST)
+
+
 def _split(spark, a) -> DataFrame:
-    rows, manifest = json_files.read_lines(spark, a.dataset, ITEM), json_files.read_lines(spark, a.splits, MANIFEST)
+    rows, manifest = json_files.read_lines(spark, a.dataset, ITEM), _manifest(spark, a.splits)
+    bad = json_files.manifest_violation(manifest).first()
+    if bad:
+        raise ValueError(f"manifest: {bad.violation}: {bad.value}")
     if items.missing_from_split(rows, manifest).head(1):
         raise ValueError("the manifest names items that are not in the dataset")
     return items.in_split(rows, manifest, a.split)
 
 
+def _named(place: str):
+    """What module:name stands for."""
+    module, _, name = place.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def export_split(spark, a):
     json_files.write_lines(_split(spark, a).drop("split_pos"), a.output, ["pos"])
 
@@ -64,8 +80,114 @@ def augment_train(spark, a):
     json_files.write_lines(items.augmented(_split(spark, a), a.max_variants), a.output, ["parent_example_id", "variant_index"])
 
 
+def _generate(spark, a, full: bool) -> None:
+    a.split = "train"
+    train, known = _split(spark, a), json_files.read_lines(spark, a.dataset, ITEM)
+    make = generation.generate_full if full else generation.generate_queries
+    rows = make(known, train, _named(a.client), a.model, runs.now(), a.limit, a.max_candidates_per_seed if full else a.max_candidates_per_parent, a.seed)
+    json_files.write_lines(rows, a.output, ["pos"])
+
+
+def _review(spark, a, full: bool) -> None:
+    rows = _synthetic(spark, a.input, full)
+    known = json_files.read_lines(spark, a.dataset, ITEM)
+    json_files.write_lines(generation.review(rows, known, _named(a.client), a.model, runs.now(), full), a.output, ["pos"])
+
+
+def _synthetic(spark, path: str, full: bool, status: str | None = None) -> DataFrame:
+    """Synthetic rows, checked: ids, provenance and, if given, the review status of every row."""
+    rows = json_files.read_lines(spark, path, json_files.SYNTHETIC_FULL if full else json_files.SYNTHETIC_QUERY)
+    needed = ["synthetic_mode", "generator_model", "generation_prompt_version", "created_at", "intended_query_type_target", "distractor_generation_method" if full else "parent_example_id"]
+    bad = F.coalesce(
+        synthetic.provenance_violation(F.col("review_status"), F.col("review_scores"), [F.col(c) for c in needed]),
+        F.when(F.col("synthetic_mode") != (generation.FULL_MODE if full else generation.QUERY_MODE), "wrong synthetic mode"),
+        *([F.when(F.coalesce(F.size("seed_example_ids") < 1, F.lit(True)), "no seeds")] if full else []),
+        *([F.when(F.col("review_status") != status, f"review status must be {status}")] if status else []))
+    first = items.first_violation(rows.withColumn("violation", bad)).first()
+    if first:
+        raise ValueError(f"synthetic row {first.pos}: {first.violation}")
+    if items.duplicates(rows, "example_id").head(1):
+        raise ValueError("synthetic rows share an id")
+    return rows
+
+
+def _approve(spark, a, full: bool) -> None:
+    rows, known = _synthetic(spark, a.input, full), json_files.read_lines(spark, a.dataset, ITEM)
+    a.split = "train"
+    train = _split(spark, a).select("example_id")
+    if full:  # the gate on the fit reads it among the scores
+        fit = F.col("distribution_fit_score")
+        scores = F.map_filter("review_scores", lambda k, v: k != "distribution_fit_score")
+        gated = rows.withColumn("review_scores", F.when(fit.isNotNull(), F.map_concat(scores, F.create_map(F.lit("distribution_fit_score"), fit))).otherwise(scores))
+        judged = synthetic.approve_full(gated.withColumn("_options", F.col("options")).withColumn("options", F.transform("options", lambda o: o["text"])), known, train).drop("options").withColumnRenamed("_options", "options")
+    else:
+        judged = synthetic.approve_queries(rows, known, train)
+    judged = judged.withColumn("approval_batch_id", F.when(F.col("reason").isNull(), a.approval_batch_id).otherwise(F.col("approval_batch_id"))).persist()
+    good = judged.where("reason is null").drop("reason")
+    if a.max_examples is not None:
+        good = good.orderBy("pos").limit(int(a.max_examples))
+    json_files.write_lines(good, a.output, ["pos"])
+    for r in synthetic.rejections(judged).orderBy("reason").collect():  # one row a reason
+        print(f"{r.reason}\t{r.n}")
+    judged.unpersist()
+
+
+def build_synthetic_train(spark, a):
+    a.split = "train"
+    known, train = json_files.read_lines(spark, a.dataset, ITEM), _split(spark, a).count()
+    tracks = [generation.to_items(_synthetic(spark, path, full, "approved")) if path else None for path, full in ((a.query_approved, False), (a.full_approved, True))]
+    number = lambda v, kind: None if v is None else kind(v)
+    rows = synthetic.admit(train, *tracks, number(a.target_ratio, float), float(a.full_share), number(a.max_query_examples, int), number(a.max_full_examples, int), a.seed).persist()
+    if synthetic.collisions(rows, known).head(1):
+        raise ValueError("synthetic rows use ids twice, or ids of items")
+    json_files.write_lines(rows, a.output, ["track", "example_id"])
+    for r in metrics.histogram(rows, F.col("track")).orderBy("name").collect():  # two rows
+        print(f"{r['name']}\t{r.n}")
+    rows.unpersist()
+
+
+def run_eval(spark, a):
+    inputs = {"dataset": a.dataset, "splits": a.splits}
+    with runs.tracked(spark, a.registry, "eval", a.model, a.stage, a.parent_run_id, a.command_line, inputs) as run:
+        run["outputs"] = {"output_dir": a.output}
+        rows = _split(spark, a).withColumn("pos", F.col("split_pos")).withColumnRenamed("query_type_flags", "flags")
+        scored = evaluation.evaluate(rows, _named(a.client), a.eval_mode, None if a.limit is None else int(a.limit))
+        json_files.write_lines(scored, f"{a.output}/rows", ["pos"])
+        result = evaluation.summary(json_files.read_lines(spark, f"{a.output}/rows", scored.schema), a.model, a.split, a.eval_mode)
+        json_files.write_lines(result, f"{a.output}/summary")
+        found = result.first().asDict(recursive=True)  # one row
+        run["metrics"] = {n: found["metrics"][n] for n in ("overall", "parse_failures", "total_correct", "total")}
+        run["outputs"]["result_json"] = f"{a.output}/summary"
+        print(evaluation.report(found))
+
+
+def run_train(spark, a):
+    """Training sets, and a trainer of the caller's: (sets, folder, model) to a dict of metrics, outputs and metadata."""
+    inputs = {"dataset": a.dataset, "splits": a.splits} | ({"augmented": a.augmented} if a.augmented else {})
+    with runs.tracked(spark, a.registry, "train", a.model, a.stage, a.parent_run_id, a.command_line, inputs) as run:
+        a.split = "train"
+        train, every = _split(spark, a), json_files.read_lines(spark, a.dataset, ITEM)
+        more = None
+        if a.augmented:
+            more = json_files.read_lines(spark, a.augmented, f"{ITEM}, parent_example_id string")
+            bad = training.augmentation_violations(more, train).first()
+            if bad:
+                raise ValueError(f"augmented row {bad.example_id}: {bad.violation}")
+        json_files.write_splits(training.training_sets(every, _manifest(spark, a.splits), more), f"{a.output}/sets")
+        run["outputs"] = {"output_dir": a.output}
+        if a.trainer:
+            sets = spark.read.schema("example_id string, prompt string, completion string, split string").json(f"{a.output}/sets")
+            result = _named(a.trainer)(sets, a.output, a.model)
+            for part in ("metrics", "outputs", "metadata"):
+                run[part] |= result.get(part, {})
+
+
+def _runs(spark, path: str) -> DataFrame:
+    return runs.current(runs.read_events(spark, path))
+
+
 def list_runs(spark, a):
-    found = registry.listed(json_files.read_registry(spark, a.registry), run_type=a.run_type, status=a.status, stage=a.stage).orderBy("created_at")
+    found = registry.listed(_runs(spark, a.registry), run_type=a.run_type, status=a.status, stage=a.stage).orderBy("created_at")
     names = ["run_id", "run_type", "stage", "status", "model_name", "created_at"]
     if a.format == "json":
         print("\n".join(r[0] for r in found.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"})).collect()))
@@ -74,7 +196,7 @@ def list_runs(spark, a):
 
 
 def compare_runs(spark, a):
-    entries = json_files.read_registry(spark, a.registry)
+    entries = _runs(spark, a.registry)
     request = spark.createDataFrame(list(enumerate(a.run_id)), "pos int, run_id string")
     if registry.missing(request, entries, "run_id").head(1):
         raise ValueError("a requested run is not in the registry")
@@ -83,16 +205,26 @@ def compare_runs(spark, a):
 
 
 def promote_run(spark, a):
+    """One event more in the log; with an output, a copy of a registry of one row a run."""
+    if a.output is None:
+        return runs.promote(spark, a.registry, a.run_id, a.stage)
     entries = json_files.read_registry(spark, a.registry)
     if not entries.where(F.col("run_id") == a.run_id).head(1):
         raise ValueError(f"no run {a.run_id}")
     json_files.write_lines(registry.promote(entries, a.run_id, a.stage, datetime.now(timezone.utc).isoformat()), a.output, ["created_at"])
 
 
+_GENERATE, _APPROVE = "dataset splits client model output seed=1508", "input dataset splits approval-batch-id output max-examples?"
 COMMANDS = {
     "prepare-data": (prepare_data, "input output split-output seed=1508"), "validate-data": (validate_data, "input"), "dataset-stats": (dataset_stats, "input"),
     "export-split": (export_split, "dataset splits split output"), "augment-train": (augment_train, "dataset splits output max-variants=2"),
-    "list-runs": (list_runs, "registry run-type? status? stage? format=table"), "compare-runs": (compare_runs, "registry run-id+"), "promote-run": (promote_run, "registry run-id stage output"),
+    "generate-synthetic-query": (partial(_generate, full=False), f"{_GENERATE} limit=75 max-candidates-per-parent=3"), "generate-synthetic-full": (partial(_generate, full=True), f"{_GENERATE} limit=40 max-candidates-per-seed=1"),
+    "review-synthetic-query": (partial(_review, full=False), "input dataset client model output"), "review-synthetic-full": (partial(_review, full=True), "input dataset client model output"),
+    "approve-synthetic-query": (partial(_approve, full=False), _APPROVE), "approve-synthetic-full": (partial(_approve, full=True), _APPROVE),
+    "build-synthetic-train": (build_synthetic_train, "dataset splits output query-approved? full-approved? target-ratio? full-share=0.0 max-query-examples? max-full-examples? seed=1508"),
+    "run-eval": (run_eval, "dataset splits split=test model client registry output eval-mode=generative limit? stage=baseline parent-run-id?"),
+    "run-train": (run_train, "dataset splits model registry output augmented? trainer? stage=candidate parent-run-id?"),
+    "list-runs": (list_runs, "registry run-type? status? stage? format=table"), "compare-runs": (compare_runs, "registry run-id+"), "promote-run": (promote_run, "registry run-id stage output?"),
 }
 
 
@@ -110,6 +242,7 @@ def main(args: list[str] | None = None) -> int:
             else:
                 sub.add_argument(f"--{flag.rstrip('?')}", required=not flag.endswith("?"))
     a = parser.parse_args(args)
+    a.command_line = list(sys.argv[1:] if args is None else args)
     spark = SparkSession.builder.appName("tablewright").getOrCreate()
     try:
         COMMANDS[a.command][0](spark, a)

@@ -9,16 +9,16 @@ from ..functions.text import strip
 from .items import TYPES
 
 
-def result_rows(df: DataFrame) -> DataFrame:
+def result_rows(df: DataFrame, *extra: str) -> DataFrame:
     """Scored rows from (example_id, letter, letters map, answer_option_id, raw_response, flags, option_texts map).
 
     An unparsed or unknown letter is wrong; line breaks in the response become spaces; the options are
-    kept only where the answer is wrong.
+    kept only where the answer is wrong. ``extra`` columns are passed on.
     """
     chosen = F.try_element_at("letters", F.col("letter"))
     gold = F.coalesce(F.get(F.map_keys(F.map_filter("letters", lambda k, v: v == F.col("answer_option_id"))), F.lit(0)), F.lit("?"))
     correct = F.coalesce(chosen == F.col("answer_option_id"), F.lit(False))
-    return df.select("example_id", chosen.alias("predicted_id"), F.col("letter").alias("predicted_letter"), gold.alias("correct_letter"), correct.alias("is_correct"),
+    return df.select(*extra, "example_id", chosen.alias("predicted_id"), F.col("letter").alias("predicted_letter"), gold.alias("correct_letter"), correct.alias("is_correct"),
                      F.col("letter").isNull().alias("parse_failure"), strip(F.replace("raw_response", F.lit("\n"), F.lit(" "))).alias("raw_response"),
                      F.when(~correct, F.col("option_texts")).alias("options"), "flags")
 

@@ -84,7 +84,7 @@ def near_pairs(keys: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.col("score") >= threshold).select("earlier", "later", "score")
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Cut the lineage in the cluster's checkpoint folder; one of its own only where none is set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -101,19 +101,19 @@ def greedy_keep(rows: DataFrame, text: Column, pos: str = "pos", threshold: floa
     Empty keys are close to nothing. Equal keys are one node, so copies make no pairs.
     """
     rows = rows.withColumn("_key", text_key(text)).withColumn("_blocks", F.lit(True) if blocks is None else blocks)
-    nodes = _kept(rows.where("_blocks and _key <> ''").groupBy(F.col("_key").alias("key")).agg(F.min(pos).alias("node")))
-    every = _kept(rows.where("_key <> ''").groupBy(F.col("_key").alias("key")).agg(F.min(pos).alias("node")))
+    nodes = kept(rows.where("_blocks and _key <> ''").groupBy(F.col("_key").alias("key")).agg(F.min(pos).alias("node")))
+    every = kept(rows.where("_key <> ''").groupBy(F.col("_key").alias("key")).agg(F.min(pos).alias("node")))
     all_keys = every.join(nodes.select("key", F.col("node").alias("blocker")), "key", "left")
-    pairs = _kept(near_pairs(nodes, threshold).select("earlier", "later"))
+    pairs = kept(near_pairs(nodes, threshold).select("earlier", "later"))
     state = nodes.join(pairs.select(F.col("later").alias("node")).distinct(), "node", "left_semi").select("node")
     stays = nodes.join(state, "node", "left_anti").select("node")
-    undecided = _kept(state)
+    undecided = kept(state)
     while undecided.head(1):
         waiting = pairs.join(undecided.withColumnRenamed("node", "earlier"), "earlier", "left_semi").select(F.col("later").alias("node")).distinct()
         gone = pairs.join(stays.withColumnRenamed("node", "earlier"), "earlier", "left_semi").select(F.col("later").alias("node")).distinct()
         left = undecided.join(gone, "node", "left_anti")
         ready = left.join(waiting, "node", "left_anti")
-        stays, undecided = _kept(stays.union(ready)), _kept(left.join(ready, "node", "left_anti"))
+        stays, undecided = kept(stays.union(ready)), kept(left.join(ready, "node", "left_anti"))
     # rows that do not block may still be close to one that does: their keys are compared with those that stay
     staying = stays.join(nodes, "node")
     extra = all_keys.where("blocker is null or node < blocker").select("node", "key")

@@ -51,8 +51,11 @@ def promote(registry: DataFrame, run_id: str, stage: str, now: str) -> DataFrame
 
 def primary_artifact(artifacts: Column) -> Column:
     """Path of the preferred artifact, else of the first one, else null."""
-    named = [F.get(F.filter(artifacts, lambda a, n=n: a["name"] == n), F.lit(0))["path"] for n in ARTIFACTS]
-    return F.coalesce(*named, F.get(artifacts, F.lit(0))["path"])
+
+    def path(name: str) -> Column:
+        return F.get(F.filter(artifacts, lambda a: a["name"] == name), F.lit(0))["path"]
+
+    return F.coalesce(*map(path, ARTIFACTS), F.get(artifacts, F.lit(0))["path"])
 
 
 def metric_summary(metrics: Column) -> Column:

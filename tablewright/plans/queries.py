@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts
 from ..functions.parse import parse_choice
 from ..functions.text import jaccard, text_key, tokens
+from ..operators import evaluation, generation, metrics, neardup, registry, sampling, synthetic, training
 from ..operators import items as it
-from ..operators import metrics, neardup, registry, sampling, synthetic
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -240,11 +242,54 @@ def sft_conversation_pairs(spark, sf_dir):
     return rows.where("role = 'user' and next = 'assistant'").select("conv_id", "turn", "prompt", "completion")
 
 
+def _answering():
+    """A provider that answers by the prompt's length, and fails at times."""
+
+    def reply(prompt: str) -> str:
+        if len(prompt) % 11 == 0:
+            raise RuntimeError("no answer")
+        return f"Answer: {prompts.LETTERS[len(prompt) % 5]}"
+
+    return reply
+
+
+def evaluation_rows(spark, sf_dir):
+    """The evaluation driver from items to scored rows, with a provider that fails for some."""
+    rows = evaluation.evaluate(mc_items(spark, sf_dir), _answering, order=prompts.hash_ordered)
+    return rows.select("example_id", "predicted_id", "predicted_letter", "correct_letter", "is_correct", "parse_failure")
+
+
+def _generating():
+    """A provider whose candidates are new, the same again, known, empty, and new."""
+
+    def reply(payload: str) -> dict:
+        said = json.loads(payload)["parent_example"]["query"]
+        return {"candidates": [{"query": q} for q in (f"Find {said[7:]}", f" find  {said[7:]}!", said, "", f"Serve {said[7:]}")]}
+
+    return reply
+
+
+def generated_queries(spark, sf_dir):
+    """Query-only synthetic rows for every item."""
+    items = mc_items(spark, sf_dir).withColumnRenamed("flags", "query_type_flags")
+    rows = generation.generate_queries(items, items, _generating, "model", "2024-01-01T00:00:00Z", limit=1 << 40)
+    return rows.select("example_id", "parent_example_id", "query", "generation_method", "review_status")
+
+
+def sft_training_sets(spark, sf_dir):
+    """Prompt and completion rows of three splits, with augmented rows in the training split."""
+    items = mc_items(spark, sf_dir)
+    part = F.col("pos") % 20
+    manifest = items.select(F.when(part < 14, "train").when(part < 17, "validation").otherwise("test").alias("split"), "pos", "example_id")
+    trained = manifest.where("split = 'train'").select(F.col("example_id").alias("parent_example_id"))
+    return training.training_sets(items, manifest, augmented_items(spark, sf_dir).join(trained, "parent_example_id", "left_semi"), prompts.hash_ordered)
+
+
 QUERIES = {f.__name__: f for f in (
     mc_accuracy_by_type, eval_result_rows, signature_histogram, flag_counts, option_scoring_rows, validation_violations, stratified_allocation, stratified_split_hash, split_signature_histogram,
     stratified_split_exact, split_lookup, prompt_shuffle_exact, prompt_completion_rows, loglikelihood_choice, hash_sample_topk, stratified_sample, text_key_dedup_first, exact_dup_to_reference_anti,
     exact_dup_semi, token_jaccard_pairs, near_dup_greedy, approval_rejections, approve_query_rows, augment_variants, augment_strategy_counts, train_admission_mix, registry_latest, registry_filter,
-    registry_compare, sft_conversation_pairs)}
+    registry_compare, sft_conversation_pairs, evaluation_rows, generated_queries, sft_training_sets)}
 
 _SCORED = f"""WITH {_ITEMS},
 resp AS (SELECT *, CASE pos % 8 WHEN 0 THEN 'A' WHEN 1 THEN 'b' WHEN 2 THEN 'Answer: C' WHEN 3 THEN 'I choose option d.' WHEN 4 THEN '(E)' WHEN 5 THEN 'No valid answer' WHEN 6 THEN '' ELSE 'A) because it fits' END AS raw_response,
@@ -275,7 +320,20 @@ v AS (SELECT example_id, 1 AS o, lead_in || x || tail AS query, 'lead_in_rewrite
   UNION ALL SELECT example_id, 3, lead_in || x || fixed, 'lead_in_plus_constraint_rewrite' FROM q WHERE lead_in IS NOT NULL AND fixed IS NOT NULL),
 w AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY o) AS i FROM v)"""
 
+_ORDERED = """l AS (SELECT example_id, list(text ORDER BY r) ts, list(k ORDER BY r) ks FROM (SELECT example_id, text, k, row_number() OVER (PARTITION BY example_id ORDER BY sha256('1508:' || example_id || ':' || option_id)) r FROM rows JOIN opt ON pos = p_partkey) GROUP BY 1),
+shown AS (SELECT rows.*, ks, format('{0}', query, ts[1], ts[2], ts[3], ts[4], ts[5]) AS prompt FROM rows JOIN l USING (example_id))""".replace("{0}", _PROMPT)
+
 ORACLE_SQL = {
+    "evaluation_rows": f"""WITH {_ITEMS}, rows AS (SELECT * FROM items), {_ORDERED},
+said AS (SELECT *, CASE WHEN length(prompt) % 11 <> 0 THEN (length(prompt) % 5 + 1)::INT END AS sel FROM shown)
+SELECT example_id, option_id AS predicted_id, 'ABCDE'[sel] AS predicted_letter, 'ABCDE'[list_position(ks, gold)] AS correct_letter, coalesce(ks[sel] = gold, false) AS is_correct, sel IS NULL AS parse_failure
+FROM said LEFT JOIN opt ON p_partkey = pos AND k = ks[sel]""",
+    "generated_queries": f"""WITH {_ITEMS}, c AS (SELECT example_id AS parent_example_id, pos, c, CASE c WHEN 0 THEN 'Find ' ELSE 'Serve ' END || substr(query, 8) AS query FROM items, (VALUES (0), (4)) v(c)),
+f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lower(query) ORDER BY pos, c) = 1)
+SELECT parent_example_id || '-sq-' || lpad((row_number() OVER (PARTITION BY parent_example_id ORDER BY c))::VARCHAR, 2, '0') AS example_id, parent_example_id, query, 'query_generation' AS generation_method, 'pending' AS review_status FROM f""",
+    "sft_training_sets": f"""{_AUG}, rows AS (SELECT CASE WHEN pos % 20 < 14 THEN 'train' WHEN pos % 20 < 17 THEN 'validation' ELSE 'test' END AS split, example_id, pos, query, gold FROM items
+  UNION ALL SELECT 'train', w.example_id || '-aug-' || lpad(i::VARCHAR, 2, '0'), pos, w.query, gold FROM w JOIN items USING (example_id) WHERE i <= 2 AND pos % 20 < 14), {_ORDERED}
+SELECT split, example_id, prompt, 'ABCDE'[list_position(ks, gold)] AS completion FROM shown""",
     "mc_accuracy_by_type": _SCORED + ", f AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS total, count_if(is_correct)::BIGINT AS correct, count_if(parse_failure)::BIGINT AS parse_failures FROM scored WHERE {c}" for n, c in [("overall", "true"), *[(f.capitalize(), f) for f in _FLAGS]]) + ") SELECT *, CASE WHEN total = 0 THEN 0 ELSE correct / total END::DOUBLE AS accuracy FROM f",
     "eval_result_rows": _SCORED + " SELECT example_id, predicted_id, predicted_letter, correct_letter, is_correct, parse_failure, raw_response FROM scored",
     "signature_histogram": f"WITH {_ITEMS} SELECT coalesce(nullif(concat_ws('|', " + ", ".join(f"CASE WHEN {f} THEN '{f.capitalize()}' END" for f in _FLAGS) + "), ''), 'None') AS signature, count(*) AS n FROM items GROUP BY 1",

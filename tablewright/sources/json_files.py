@@ -10,6 +10,10 @@ EXAMPLE = f"example_id string, query string, options array<{OPTION}>, answer_opt
 PREDICTION = "run_id string, phase string, provider string, model_name string, split string, example_id string, prompt_version string, raw_response string, parsed_choice string, predicted_option_id string, gold_option_id string, is_correct boolean, latency_ms double, metadata variant"
 RESULT = "model string, split string, eval_mode string, metrics variant, results array<struct<index:int,example_id:string,query:string,correct_answer_id:string,correct_letter:string,predicted_letter:string,predicted_id:string,is_correct:boolean,parse_failure:boolean,raw_response:string>>"
 REGISTRY = "entry_id string, run_id string, run_type string, stage string, status string, model_name string, created_at string, updated_at string, parent_run_id string, artifact_path string, metrics variant, metadata variant"
+FLAGS = "struct<Specific:boolean,Commonsense:boolean,Negated:boolean,Analogical:boolean,Temporal:boolean>"
+_SYNTHETIC = f"pos long, example_id string, query string, options array<{OPTION}>, answer_option_id string, query_type_flags {FLAGS}, synthetic_mode string, generator_model string, generation_prompt_version string, approval_batch_id string, review_status string, review_scores map<string,double>, created_at string, intended_query_type_target string, generation_notes string, review_summary string, reviewer_model string, reviewed_at string, review_prompt_version string"
+SYNTHETIC_QUERY = f"{_SYNTHETIC}, parent_example_id string, generation_method string"
+SYNTHETIC_FULL = f"{_SYNTHETIC}, seed_example_ids array<string>, correctness_explanation map<string,array<string>>, distractor_generation_method string, distribution_fit_score double"
 RAW = "array<struct<query:string,query_type:map<string,int>,options:map<string,string>,answer:string,correctness_explanation:variant>>"
 
 
