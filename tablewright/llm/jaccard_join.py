@@ -312,12 +312,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: in
     far = met.where("b <> lead").select(F.col("lead").alias("u"), F.col("b").alias("v")).join(live, "v", "left_semi").select("u", "v")
     own_rows = store(rows.where(f"kind = {_DOC}").select(F.col("a").alias("uid"), F.col("b").alias("entry"), "doc_id", F.col("n").alias("n_shingles")), "docs")
     families = components(local.union(far)).join(kept.withColumnRenamed("uid", "node"), "node", "left_semi")
-    families = families.select(F.col("node").alias("uid"), F.col("component").alias("family"))
-    families = store(families.withColumn("size", F.count("*").over(Window.partitionBy("family"))).where("size > 1").drop("size"), "families")
+    families = store(families.select(F.col("node").alias("uid"), F.col("component").alias("family")), "families")
     drop_table(rows)
     drop_finished_shuffles(spark)
 
-    sized = families.join(own_rows, "uid").groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("grams"))
+    # partial sums, as a window would bring a whole family to one task
+    sized = families.join(own_rows, "uid").groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("grams")).where("members > 1")
     blocks = F.ceil(F.greatest(F.col("members") / block, F.col("grams") / block_grams)).cast("int")
     member = families.join(sized, "family").select("uid", "family", blocks.alias("blocks"))
     text = with_uid(docs).select("uid", "text").join(member.hint("shuffle_hash"), "uid").select("uid", "family", "blocks", "text")
