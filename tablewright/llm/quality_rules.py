@@ -63,7 +63,7 @@ def frequent_lines(docs: DataFrame, host: str, least: int, share: float) -> Data
     """uid, key, words: the lines of each document above its host's limit.
 
     A line is above it when more than ``least`` documents of the host, and more than ``share`` of
-    them, hold it. Copies of one text count as one document, so a text isn't boilerplate because it
+    them, hold it; with a share of 0 the count alone decides, whatever the host's size. Copies of one text count as one document, so a text isn't boilerplate because it
     was copied. All counts are partial sums before they are shuffled; a hot line or host costs one
     row a task.
     """

@@ -62,6 +62,11 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("uid")
 
 
+def op10_quality_rules_by_count(spark, sf_dir):
+    """op10 with lines cut by count alone, as in the pipeline."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), share=0.0).drop("uid")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_piece_coding": op8_piece_coding,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op10_quality_rules_by_count": op10_quality_rules_by_count,
 }
 
 ORACLE_SQL = {
@@ -130,3 +136,5 @@ SELECT doc_id, n_words::BIGINT n_words, word_chars::BIGINT word_chars, n_symbols
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_line_words_removed::BIGINT n_line_words_removed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_line_words_removed) >= 50 * n_words AS kept FROM base""",
 }
+
+ORACLE_SQL["op10_quality_rules_by_count"] = ORACLE_SQL["op10_quality_rules"].replace(" AND held > 0.2 * texts", "")

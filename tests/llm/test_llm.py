@@ -312,6 +312,17 @@ def test_quality_cuts_boilerplate_and_keeps_clean_texts(table):
     assert set(kept) == set(range(20)) and all("shared" not in t and len(t.split()) == 60 for t in kept.values())
 
 
+def test_pipeline_cuts_lines_that_a_tenth_of_a_large_host_holds(spark, table):
+    line = "shared line of the host"
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)) + f"\n{line}" * (i % 10 == 0) + "\nonly ten texts hold this" * (i % 20 == 1 and i < 200), "s") for i in range(200)]
+    docs = table(rows, "doc_id long, text string, source string")
+    stage = dict(corpus_pipeline.STAGES)["quality"]
+    kept = {r.doc_id: r.text for r in stage(spark, docs, None).collect()}
+    assert kept == {d: t.replace(f"\n{line}", "") for d, t, _ in rows} and sum("only ten" in t for t in kept.values()) == 10
+    got = {r.doc_id: r.n_line_words_removed for r in quality_rules.quality_rules(docs, share=0.0).collect()}
+    assert got == {d: 5 * (line in t) for d, t, _ in rows}
+
+
 def test_pipeline_against_brute_force(spark):
     """Each stage's own input and output by plain loops, over a whole small table."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
