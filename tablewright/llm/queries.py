@@ -10,6 +10,11 @@ def op1_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("uid", "kept_text")
 
 
+def op1_line_dedup_every_line(spark, sf_dir):
+    """op1 with runs of one line: every later copy of a line goes, also in documents of one or two lines."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), least=1).drop("uid", "kept_text")
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("uid")
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
     "op10_quality_rules_by_count": op10_quality_rules_by_count,
+    "op1_line_dedup_every_line": op1_line_dedup_every_line,
 }
 
 ORACLE_SQL = {
@@ -138,3 +144,10 @@ SELECT doc_id, n_words::BIGINT n_words, word_chars::BIGINT word_chars, n_symbols
 }
 
 ORACLE_SQL["op10_quality_rules_by_count"] = ORACLE_SQL["op10_quality_rules"].replace(" AND held > 0.2 * texts", "")
+ORACLE_SQL["op1_line_dedup_every_line"] = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) p FROM documents),
+n AS (SELECT doc_id, p, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') k FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+gone AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) o FROM n) WHERE o > 1),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) t FROM lines ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, (SELECT count(*) FROM n WHERE n.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)"""

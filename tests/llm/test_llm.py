@@ -68,6 +68,13 @@ def test_empty_and_odd_tables(spark, table, name):
         assert ids == Counter(d for d, _ in ODD)
 
 
+def test_every_line_reaches_documents_of_one_and_two_lines(spark, tmp_path):
+    rows = [(1, "one line"), (2, "one  line"), (3, "two\nlines"), (4, "two\n\nlines"), (5, "new\none line\nend"), (6, "alone"), (7, None), (8, "a\na")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in queries.QUERIES["op1_line_dedup_every_line"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 0, sha("one line")), 2: (1, 1, sha("")), 3: (2, 0, sha("two\nlines")), 4: (2, 2, sha("")), 5: (3, 1, sha("new\nend")), 6: (1, 0, sha("alone")), 7: (0, 0, sha("")), 8: (2, 1, sha("a"))}
+
+
 def test_exact_dedup_collisions_and_ties(table):
     r = random.Random(2)
     rows = [(i, "".join(r.choice("ab \n") for _ in range(r.randrange(4)))) for i in range(300)] + [(5, "ab"), (5, "ab"), (None, "ab")]
