@@ -312,6 +312,12 @@ def test_url_rules_and_spread(table):
     assert url_filter.url_filter(table([], "page_id long, url string, html string"), queries.RULES, [], []).collect() == []
 
 
+def test_distrust_reaches_hosts_many_links_away(table):
+    rows = [(i, f"http://h{i}.com/", f'<a href="http://h{i + 1}.com/">' if i < 9 else '<a href="http://bad.org/">') for i in range(10)]
+    got = {r.page_id: (r.verdict, r.distrust) for r in url_filter.url_filter(table(rows, "page_id long, url string, html string"), [], [], ["bad"]).collect()}
+    assert got == {i: ("block", pytest.approx(0.15 * 0.85 ** (10 - i))) for i in range(10)}
+
+
 def test_quality_cuts_boilerplate_and_keeps_clean_texts(table):
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)) + "\nshared line of the host", "s") for i in range(20)] + [(99, "few words", "s"), (100, "a b c " * 40, "s"), (101, "shared line of the host\n" * 30, "t")]
     docs = table(rows, "doc_id long, text string, source string")
