@@ -1,17 +1,20 @@
 """Vectorised word and word-window hashes over a batch of texts.
 
-All texts of a batch are laid out in one byte buffer; hashes are polynomial
-prefix sums modulo 2**64 (an odd base is invertible there, so a window's hash is
-a difference of two prefix sums times a power of the inverse), finished by a
-bit mixer. No Python loop touches a word.
+All texts of a batch are laid out in one byte buffer. A word's hash is a sum over its 8-byte blocks, each
+put through a bit mixer together with its place; a window's hash mixes the hashes of its halves, tree-wise.
+Neither is a polynomial: sums of powers modulo 2**64 have collisions that do not depend on the base (words
+that swap two letters in the Thue-Morse order). No Python loop touches a word. Hashes find candidates;
+operators compare words, or a cryptographic digest of them, before they decide.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_MASK = (1 << 64) - 1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SEEDS = (np.uint64(0), np.uint64(0xD6E8FEB86659FD93))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -23,21 +26,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    up = np.full(n + 1, base, dtype=np.uint64)
-    down = np.full(n + 1, inverse, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Order-sensitive hash of ``values[start:end]`` for many ranges at once."""
-    up, down = _powers(len(values), _BASES[seed])
-    acc = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values.astype(np.uint64) * up[:-1], dtype=np.uint64, out=acc[1:])
-    got = (acc[end] - acc[start]) * down[start]
-    return mix64(got + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+def byte_hash(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of ``raw[start:end]`` for many ranges at once."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = raw + bytes(8)
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    size = end - start
+    blocks = np.maximum((size + 7) >> 3, 1)
+    first = np.cumsum(blocks) - blocks
+    at = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    left = np.minimum(np.repeat(size, blocks) - 8 * at, 8).astype(np.uint64)
+    value = eight[np.repeat(start, blocks) + 8 * at]
+    value = value & (~np.uint64(0) >> ((np.uint64(8) - left) << np.uint64(3)))
+    mixed = mix64(value ^ mix64((at.astype(np.uint64) + np.uint64(1)) * _STEP))
+    return mix64(np.add.reduceat(mixed, first) + size.astype(np.uint64) * _STEP)
+
+
+def window_hash(values: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Order-sensitive hash of the k values from each place on; places past the end count as 0."""
+    whole = mix64(np.concatenate([values, np.zeros(k, np.uint64)]) ^ _SEEDS[seed])
+    out, have, power = None, 0, 1
+    while True:  # whole[i] covers ``power`` values, out[i] the first ``have``
+        if k & power:
+            part = whole[have:]
+            out = part if out is None else mix64(out[: len(part)] * _STEP + part)
+            have += power
+        power *= 2
+        if power > k:
+            return out[: len(values)]
+        whole = mix64(whole[: -(power // 2)] * _STEP + whole[power // 2 :])
+
+
+def digest64(body: bytes) -> tuple[int, int]:
+    """A cryptographic digest of 128 bits, as two signed 64-bit numbers."""
+    raw = hashlib.blake2b(body, digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 class Words:
@@ -62,13 +86,11 @@ class Words:
         self.limit = np.concatenate(([0], np.cumsum(sizes)))
         self.first = np.searchsorted(self.start, self.limit)
         self.doc = np.repeat(np.arange(self.n_texts), np.diff(self.first))
-        self.hash = range_hash(buf.astype(np.uint64) + np.uint64(1), self.start, self.end)
+        self.hash = byte_hash(self.bytes, self.start, self.end)
 
     def grams(self, k: int, seed: int = 0) -> np.ndarray:
         """Hash of the k words from each word on; windows past a text's end hold what follows (see ``full``)."""
-        n = len(self.hash)
-        at = np.arange(n)
-        return range_hash(self.hash, at, np.minimum(at + k, n), seed)
+        return window_hash(self.hash, k, seed)
 
     def full(self, k: int) -> np.ndarray:
         """Whether k words from each word on lie in its text."""
@@ -77,6 +99,10 @@ class Words:
     def text(self, d: int) -> bytes:
         return self.bytes[self.limit[d] : self.limit[d + 1] - 1]
 
+    def plain(self, d: int) -> bytes:
+        """The words of text d joined by one space."""
+        return b" ".join(self.text(d).split())
+
 
 def sliding_minimum(values: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(place of the rightmost minimum of the ``width`` values from each place on, whether they all lie in its sequence).

@@ -8,10 +8,15 @@ fragment.
    and the threshold, and the segments' hashes are the only thing that is shuffled. Each key links its
    sets to the smallest of them (a star, first within the map task, then over all tasks): no pairs.
    Components of these stars are families; every qualifying pair lies inside one family.
-2. Counting. Each family is cut into blocks of bounded size, each pair of blocks is a task's group.
-   There the order is cut again: for each fragment the overlaps of all pairs are counted on their own
-   (a matrix product of segments), and summed per pair. Exact sizes and overlaps decide the links; a
-   group returns a spanning forest of its links, not all of them.
+2. Counting. Each family is cut into blocks of bounded size. The family's leader (the set that shares most
+   keys) goes to all of its blocks, every other set to one. In a block n-grams are told apart by their
+   words, their order is cut again, and for each fragment the overlaps of all pairs are counted on their own
+   (a matrix product of segments), and summed per pair. Exact sizes and overlaps decide the links; a block
+   returns a spanning forest of its links, and each set's distance from the leader.
+   What a block links to the leader is one component wherever it is. The other sets are open. Jaccard
+   distance is a metric: an open set that is too far from the leader for a link to any of its component is
+   left to the next round, where the far ones have a leader of their own; the rest, the near ones, are held
+   against the whole family in slices. So a family of near copies is sent in proportion to its size.
 3. Components of the links, in DataFrames.
 """
 
@@ -21,11 +26,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .hashing import Words, mix64
+from .hashing import Words, digest64, mix64, window_hash
 from .shared import drop_finished_shuffles, drop_table, prepare, spare_name, store, task_base, with_uid
 
 #: Keys that linked sets of large classes share at least; a set with fewer shared keys has no link.
@@ -99,29 +105,18 @@ def support(differ: int) -> int:
     return SUPPORT if differ >= 3 * SUPPORT else 1
 
 
-def gram_sets(texts: list, k: int) -> list[np.ndarray]:
+def gram_sets(words: Words, k: int) -> list[np.ndarray]:
     """Each text's set of k-word n-grams as sorted hashes; fewer than k words make one n-gram of all of them."""
-    words = Words(texts, lower=True)
     grams = words.grams(k)
     out = []
-    for d in range(words.n_texts):
-        a, b = words.first[d], words.first[d + 1]
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if b - a >= k:
             out.append(np.unique(grams[a : b - k + 1]))
-        elif b > a:
-            out.append(mix64(np.array([_short(words.hash[a:b])], dtype=np.uint64)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(window_hash(words.hash[a:b], b - a)[:1] if b > a else np.zeros(0, np.uint64))
     return out
 
 
-def _short(hashes: np.ndarray) -> int:
-    got = len(hashes)
-    for h in hashes.tolist():
-        got = (got * 0x9E3779B97F4A7C15 + h) & ((1 << 64) - 1)
-    return got
-
-
 def _hot_counts(k: int, chunk: int = 4 << 20):
     """(n-gram, documents) of n-grams that three documents of a chunk hold, or more."""
 
@@ -133,7 +128,7 @@ def _hot_counts(k: int, chunk: int = 4 << 20):
     def run(batches):
         held, size = [], 0
         for b in batches:
-            held += gram_sets(b.column(0).to_pylist(), k)
+            held += gram_sets(Words(b.column(0).to_pylist(), lower=True), k)
             size += sum(map(len, held[-b.num_rows :]))
             if size > chunk:
                 yield count(held)
@@ -144,14 +139,13 @@ def _hot_counts(k: int, chunk: int = 4 << 20):
     return run
 
 
-def hot_grams(docs: DataFrame, k: int, least: int = 64, most: int = 5000) -> np.ndarray:
-    """N-grams that more than ``least`` documents, and one in ``most``, hold, counted over all of them.
+def hot_grams(docs: DataFrame, k: int, least: int = 64, most: int = 1 << 18) -> np.ndarray:
+    """The n-grams that most documents hold, counted over all of them: ``most`` at most (2 MB), each in over ``least``.
 
-    At most ``most`` times the mean size of a set: a bounded table. Which n-grams are in it is of no matter
-    to the result, only to its cost.
+    Which n-grams are in it is of no matter to the result, only to its cost.
     """
     counted = docs.select("text").mapInArrow(_hot_counts(k), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") > max(least, docs.count() // most)).select("gram").toPandas()
+    rows = counted.where(F.col("n") > least).orderBy(F.desc("n"), "gram").limit(most).select("gram").toPandas()
     return np.sort(rows["gram"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
@@ -166,13 +160,14 @@ def _sketch(k: int, percent: int, hot):
     def run(batches):
         uid, seen, keys, owners, needs = task_base(), {}, [], [], []
         for batch in batches:
-            sets = gram_sets(batch.column(1).to_pylist(), k)
+            words = Words(batch.column(1).to_pylist(), lower=True)
+            sets = gram_sets(words, k)
             uids = uid + np.arange(len(sets))
             entry = uids.copy()
             for i, s in enumerate(sets):
                 if not len(s):
                     continue
-                first = seen.setdefault((len(s), int(s.sum(dtype=np.uint64)), int(mix64(s).sum(dtype=np.uint64))), int(uids[i]))
+                first = seen.setdefault(digest64(words.plain(i)), int(uids[i]))
                 entry[i] = first
                 if first == uids[i]:
                     keys.append(set_keys(s, hot.value, percent, bounds, differ))
@@ -204,23 +199,45 @@ def _sketch(k: int, percent: int, hot):
     return run
 
 
-def overlaps(sets: list[np.ndarray], fragment_cells: int = 8 << 20) -> np.ndarray:
-    """All pairwise intersection sizes: the n-gram order is cut into fragments, each is counted on its own, and summed."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    gram, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def gram_table(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, n-gram) of the distinct n-grams of each text, numbered from 0; equal numbers mean equal words.
+
+    ``texts`` are words joined by one space. Hashes number the n-grams; then each occurrence's words are
+    compared with those of the first one, and if any differ the words number them instead.
+    """
+    words = Words(texts)
+    n, size = len(texts), np.diff(words.first)
+    word = pc.split_pattern(pa.array(texts, pa.binary()), " ").flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    if (size == 0).any():  # an empty text splits into one empty word
+        word = word[np.repeat(size > 0, np.maximum(size, 1))]
+    place = np.flatnonzero(words.full(k))
+    _, first, column = np.unique(words.grams(k)[place], return_index=True, return_inverse=True)
+    if any((word[place + j] != word[place[first][column] + j]).any() for j in range(k)):
+        _, column = np.unique(np.stack([word[place + j] for j in range(k)]), axis=1, return_inverse=True)
+    column, owner = column.reshape(-1), words.doc[place]
+    many = int(column.max()) + 1 if len(column) else 0
+    short = {t: many + i for i, t in enumerate(sorted({texts[d] for d in np.flatnonzero((size < k) & (size > 0))}))}
+    both = np.unique(owner * np.int64(max(1, many)) + column)
+    few = [(d, short[texts[d]]) for d in np.flatnonzero((size < k) & (size > 0)).tolist()]
+    owner, column = both // max(1, many), both % max(1, many)
+    return np.concatenate([owner, [d for d, _ in few]]).astype(np.int64), np.concatenate([column, [c for _, c in few]]).astype(np.int64)
+
+
+def overlaps(owner: np.ndarray, column: np.ndarray, n: int, left: int, fragment_cells: int = 8 << 20) -> np.ndarray:
+    """Intersection sizes of the first ``left`` sets with all ``n``: the n-gram order is cut into fragments, each is counted on its own, and summed."""
+    held = np.bincount(column, minlength=1)
     shared = held > 1
     place = np.cumsum(shared) - 1
     keep = shared[column]
     owner, column = owner[keep], place[column[keep]]
-    total, width = np.zeros((n, n), np.float64), max(1, fragment_cells // n)
+    total, width = np.zeros((left, n), np.float64), max(1, fragment_cells // n)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     for low in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(column, (low, low + width))
-        part = np.zeros((n, width), np.float32)
+        part = np.zeros((n, min(width, int(shared.sum()) - low)), np.float32)
         part[owner[a:b], column[a:b] - low] = 1
-        total += part @ part.T
+        total += part[:left] @ part.T
     return total.astype(np.int64)
 
 
@@ -240,50 +257,134 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _count_links(percent: int):
-    """Groups (pairs of blocks of a family) sorted together in; (u, v) rows of a spanning forest of the links out."""
+_FOUND = "u long, v long, family long, joined boolean, far double"
+_FOUND_ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("family", pa.int64()), ("joined", pa.bool_()), ("far", pa.float64())])
+
+
+def _count(k: int, percent: int, tally=None):
+    """Groups sorted together in (family, a, b, role, uid, text); links (u, v) out, and in a block of several also its sets (u, family, joined, far).
+
+    In a block (b is null) the leader has role 0, and every pair is counted. In a slice open sets have role 0
+    and are held against the others of role 1. a is -1 for a family of one block: nothing is left open there.
+    """
 
     def groups(batches):
         for b in batches:
-            yield from zip(*(b.column(i).to_pylist() for i in range(5)))
+            if tally is not None:
+                tally.add(b.num_rows)
+            yield from zip(*(b.column(i).to_pylist() for i in range(6)))
+
+    def links(uids, texts, left):
+        owner, column = gram_table(texts, k)
+        size = np.bincount(owner, minlength=len(uids))
+        both = overlaps(owner, column, len(uids), left)
+        union = size[:left, None] + size[None, :] - both
+        linked = (100 * both >= percent * union) & (np.array(uids)[:left, None] != np.array(uids)[None, :])
+        return both, union, linked
 
     def run(batches):
-        out = []
-        for _, rows in groupby(groups(batches), key=lambda r: r[:3]):
-            uids, sets = [], []
-            for r in rows:
-                uids.append(r[3])
-                sets.append(np.frombuffer(r[4], dtype=np.uint64))
-            if len(uids) < 2:
-                continue
-            size = np.array([len(s) for s in sets])
-            if len(uids) == 2:
-                both = np.array([[0, np.intersect1d(sets[0], sets[1], assume_unique=True).size]] * 2)
-                both[1] = both[0][::-1]
+        pairs, sets = [], []
+
+        def flush():
+            u, v, f, j, d = zip(*[(*p, None, None, None) for p in pairs], *[(r[0], None, *r[1:]) for r in sets])
+            pairs.clear(), sets.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip((u, v, f, j, d), _FOUND_ARROW)], schema=_FOUND_ARROW)
+
+        for (family, a, b), rows in groupby(groups(batches), key=lambda r: r[:3]):
+            role, uids, texts = zip(*(r[3:] for r in rows))
+            if b is None:
+                both, union, linked = links(uids, texts, len(uids)) if len(uids) > 1 else (np.zeros((1, 1)), np.ones((1, 1)), np.zeros((1, 1), bool))
+                forest = _forest(linked)
+                pairs += [(uids[x], uids[y]) for x, y in forest]
+                if a >= 0:  # the leader is the first set
+                    joined = {0} | {y for x, y in forest if x == 0}
+                    sets += [(uids[i], family, i in joined, 1 - float(both[0, i]) / float(union[0, i])) for i in range(1, len(uids))]
             else:
-                both = overlaps(sets)
-            linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-            np.fill_diagonal(linked, False)
-            out += [(uids[a], uids[b]) for a, b in _forest(linked)]
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+                left = role.count(0)
+                if left < len(uids):
+                    linked = np.zeros((len(uids), len(uids)), bool)
+                    linked[:left] = links(uids, texts, left)[2]
+                    pairs += [(uids[x], uids[y]) for x, y in _forest(linked | linked.T)]
+            if len(pairs) + len(sets) > 20_000:
+                yield flush()
+        if pairs or sets:
+            yield flush()
 
     return run
 
 
-def _member_sets(k: int):
-    def run(batches):
-        for b in batches:
-            sets = gram_sets(b.column(3).to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["uid", "family", "blocks", "grams"])
+def _plain(batches):
+    """(uid, family, text) in; lower-cased words joined by one space out."""
+    for b in batches:
+        words = Words(b.column(2).to_pylist(), lower=True)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([words.plain(d) for d in range(words.n_texts)], pa.binary())], names=["uid", "family", "plain"])
 
-    return run
 
+def _spread(n: Column) -> Column:
+    """The block of a set among ``n``."""
+    return F.pmod(F.xxhash64("uid"), n).cast("int")
+
+
+def _blocks_of(sets: DataFrame, block: int, block_grams: int) -> DataFrame:
+    """(family, blocks, leader) by partial sums; families of one set are left out. sets: uid, family, score, n_shingles."""
+    sized = sets.groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("grams"), F.max(F.struct("score", (-F.col("uid")).alias("uid")))["uid"].alias("leader"))
+    blocks = F.ceil(F.greatest(F.col("members") / block, F.col("grams") / block_grams)).cast("int")
+    return sized.where("members > 1").select("family", blocks.alias("blocks"), (-F.col("leader")).alias("leader"))
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: int = 1024, block_grams: int = 4 << 20, hot_least: int = 64) -> DataFrame:
+
+def _grouped(dealt: DataFrame, k: int, percent: int, tally) -> DataFrame:
+    rows = dealt.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b", "role", "uid")
+    return rows.select("family", "a", "b", "role", "uid", "plain").mapInArrow(_count(k, percent, tally), _FOUND)
+
+
+def family_links(docs: DataFrame, members: DataFrame, k: int, percent: int, block: int, block_grams: int, rounds: int = 4, tally=None) -> DataFrame:
+    """(u, v) that hold the components of the links inside families. docs: uid, text; members: uid, family, score, n_shingles.
+
+    ``rounds``: the last one holds all open sets against their family, so what many separate groups of one
+    family cost there grows with the square of the family over the block.
+    """
+    sized = store(_blocks_of(members, block, block_grams), "sizes")
+    found = []
+    text = None
+    for i in range(rounds):
+        placed = members.join(sized, "family")
+        if text is None:
+            source = docs.join(placed.select("uid", "family").hint("shuffle_hash"), "uid").select("uid", "family", "text").mapInArrow(_plain, "uid long, family long, plain binary")
+        else:
+            source = text.join(placed.select("uid", "family"), ["uid", "family"], "left_semi")
+        leads = F.col("uid") == F.col("leader")
+        dealt = source.join(sized, "family").withColumn("to", F.when(F.col("blocks") == 1, F.array(F.lit(-1))).when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_spread(F.col("blocks")))))
+        dealt = dealt.select("family", F.explode("to").alias("a"), F.lit(None).cast("int").alias("b"), F.when(leads, 0).otherwise(1).alias("role"), "uid", "plain")
+        got = store(_grouped(dealt, k, percent, tally), "links")
+        found.append(got.where("family is null").select("u", "v"))
+        sets = got.where("family is not null").select(F.col("u").alias("uid"), "family", "joined", "far")
+        left = sets.where("not joined")
+        if not left.head(1):
+            break
+        if text is None:  # only families of several blocks with an open set come here
+            crowd = members.join(left.select("family").distinct(), "family", "left_semi")
+            text = store(docs.join(crowd.select("uid", "family").hint("shuffle_hash"), "uid").select("uid", "family", "text").mapInArrow(_plain, "uid long, family long, plain binary"), "crowd")
+        reach = sets.groupBy("family").agg(F.coalesce(F.max(F.when(F.col("joined"), F.col("far"))), F.lit(0.0)).alias("reach"))
+        is_near = F.lit(True) if i == rounds - 1 else F.col("far") <= F.col("reach") + (1 - percent / 100 + 1e-9)
+        left = store(left.join(reach, "family").select("uid", "family", is_near.alias("near")), "open")
+        near = left.where("near").join(members.select("uid", "n_shingles"), "uid")
+        opened = near.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / block_grams)).cast("int").alias("parts"))
+        slices = sized.join(opened, "family").select("family", "parts", F.ceil(F.col("blocks") / 4).cast("int").alias("slices"))
+        here = text.join(slices, "family").join(placed.select("uid", "family"), ["uid", "family"], "left_semi").join(near.select("uid", F.lit(True).alias("near")), "uid", "left")
+        every = here.select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a"), _spread(F.col("slices")).alias("b"), F.lit(1).alias("role"), "uid", "plain")
+        asking = here.where("near").select("family", F.pmod(F.xxhash64("uid", F.lit(1)), "parts").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("b"), F.lit(0).alias("role"), "uid", "plain")
+        found.append(store(_grouped(every.union(asking), k, percent, tally).select("u", "v"), "links"))
+        members = store(members.join(left.where("not near").select("uid"), "uid", "left_semi"), "far")
+        if not members.head(1):
+            break
+        sized = store(_blocks_of(members, block, block_grams), "sizes")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: int = 512, block_grams: int = 4 << 20, hot_least: int = 64, tally=None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are ignored): uid, doc_id, n_shingles, component_id, component.
 
     A document's set: distinct k-word shingles of the lower-cased (A-Z) text; all words as one with
@@ -304,29 +405,21 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: in
     # a set with fewer shared keys than linked sets have is in no family, unless others meet through it
     more = met.groupBy("b").agg(F.sum("more").alias("more"))
     nodes = rows.where(f"kind = {_NODE}").select(F.col("a").alias("uid"), F.col("b").alias("shared"), F.col("n").alias("need"))
-    kept = nodes.join(more.withColumnRenamed("b", "uid"), "uid", "left").where("shared + coalesce(more, 0) >= need").select("uid")
+    kept = nodes.join(more.withColumnRenamed("b", "uid"), "uid", "left").select("uid", (F.col("shared") + F.coalesce("more", F.lit(0))).alias("score"), "need").where("score >= need").select("uid", "score")
     kept = store(kept, "kept")
-    local = rows.where(f"kind = {_STAR}").select(F.col("a").alias("u"), F.col("b").alias("v")).join(kept.withColumnRenamed("uid", "v"), "v", "left_semi").select("u", "v")
+    local = rows.where(f"kind = {_STAR}").select(F.col("a").alias("u"), F.col("b").alias("v")).join(kept.select(F.col("uid").alias("v")), "v", "left_semi").select("u", "v")
     local = store(local, "stars")
-    live = kept.union(local.select("u")).distinct().withColumnRenamed("uid", "v")
+    live = kept.select("uid").union(local.select("u")).distinct().withColumnRenamed("uid", "v")
     far = met.where("b <> lead").select(F.col("lead").alias("u"), F.col("b").alias("v")).join(live, "v", "left_semi").select("u", "v")
     own_rows = store(rows.where(f"kind = {_DOC}").select(F.col("a").alias("uid"), F.col("b").alias("entry"), "doc_id", F.col("n").alias("n_shingles")), "docs")
-    families = components(local.union(far)).join(kept.withColumnRenamed("uid", "node"), "node", "left_semi")
-    families = store(families.select(F.col("node").alias("uid"), F.col("component").alias("family")), "families")
+    families = components(local.union(far)).join(kept.withColumnRenamed("uid", "node"), "node")
+    members = families.select(F.col("node").alias("uid"), F.col("component").alias("family"), "score").join(own_rows.select("uid", "n_shingles"), "uid")
+    members = store(members, "families")
     drop_table(rows)
+    hot.destroy()
     drop_finished_shuffles(spark)
-
-    # partial sums, as a window would bring a whole family to one task
-    sized = families.join(own_rows, "uid").groupBy("family").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("grams")).where("members > 1")
-    blocks = F.ceil(F.greatest(F.col("members") / block, F.col("grams") / block_grams)).cast("int")
-    member = families.join(sized, "family").select("uid", "family", blocks.alias("blocks"))
-    text = with_uid(docs).select("uid", "text").join(member.hint("shuffle_hash"), "uid").select("uid", "family", "blocks", "text")
-    sets = text.mapInArrow(_member_sets(k), "uid long, family long, blocks int, grams binary")
-    own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"))))
-    dealt = sets.withColumn("own", own).select("family", pair.alias("p"), "uid", "grams").select("family", "p.i", "p.j", "uid", "grams")
-    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "uid")
-    links = components(dealt.mapInArrow(_count_links(percent), "u long, v long")).select(F.col("node").alias("entry"), "component")
+    links = family_links(with_uid(docs).select("uid", "text"), members, k, percent, block, block_grams, tally=tally)
+    links = components(links).select(F.col("node").alias("entry"), "component")
 
     least = own_rows.groupBy("entry").agg(F.min("doc_id").alias("least")).join(links, "entry", "left").withColumn("component", F.coalesce("component", "entry"))
     least = store(least, "entries")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import range_hash, window_minima
+from .hashing import window_hash, window_minima
 from .shared import drop_finished_shuffles, prepare, store, task_base, with_uid
 
 _ROWS = "h long, uid long, doc_id long, at int, runs array<struct<start:int,w1:bigint,w2:bigint>>"
@@ -24,11 +24,12 @@ _RUN = pa.struct([("start", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())]
 
 
 def line_places(text: str | None) -> tuple[list[str], list[int], np.ndarray]:
-    """(lines, places of those with a word, their hashes); case counts, white space does not."""
+    """(lines, places of those with a word, their 128-bit hashes as two rows); case counts, white space does not."""
     lines = (text or "").split("\n")
     words = [line.encode().split() for line in lines]
     places = [i for i, w in enumerate(words) if w]
-    return lines, places, np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i])) for i in places], dtype=np.uint64)
+    raw = b"".join([xxhash.xxh3_128_digest(b" ".join(words[i])) for i in places])
+    return lines, places, np.frombuffer(raw, np.uint64).reshape(-1, 2).T
 
 
 def _fingerprints(least: int):
@@ -37,11 +38,11 @@ def _fingerprints(least: int):
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                hashes = line_places(text)[2]
+                hashes, other = line_places(text)[2]
                 n = len(hashes)
                 if n >= least:
                     begin = np.arange(n - least + 1)
-                    w1, w2 = (range_hash(hashes, begin, begin + least, s).view(np.int64).tolist() for s in (0, 1))
+                    w1, w2 = (window_hash(np.ascontiguousarray(h), least, s)[: len(begin)].view(np.int64).tolist() for s, h in enumerate((hashes, other)))
                     lowest = [int(hashes[i : i + least].min()) for i in begin.tolist()]
                     for at in window_minima(hashes, np.array([0, n]), least).tolist():
                         h = int(hashes[at])

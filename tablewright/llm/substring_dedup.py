@@ -4,17 +4,21 @@ A window of L consecutive words is repeated when its word sequence starts anywhe
 all of them without shuffling every window:
 
 1. Anchors. Winnowing over k-word hashes selects a place with the minimum in every L-word window, so
-   all copies of a window hold an anchor with the same hash. Only these positions are shuffled; an anchor hash met twice is contested,
-   and is led by the smallest row number that holds it.
+   all copies of a window hold an anchor with the same hash. Only these positions are shuffled; an anchor hash
+   met twice is contested, and is led by its first place (smallest row number, then position).
 2. Reference shards. Around each contested anchor lies all that windows with this anchor can cover.
    A document's stretches with the same leader are merged into segments and sent to that leader's
-   shard. Leaders' shards are bounded: an anchor met more than ``hot`` times is not led at all (step 4).
+   shard: the anchors that a stretch of ``stretch`` words of one row leads. An anchor met more than ``hot``
+   times is not led at all (step 4), so a shard has a bound: some ``stretch`` / (L - k) * 2 anchors, each with
+   at most ``hot`` segments of 2 L words.
 3. Each shard builds a suffix automaton of its distinct segments, with how often each state's
    strings occur, and streams the segments through it: the matching statistic at a word is the
-   longest suffix there that occurs at least twice. Spans of L or more are removed.
-4. Hot anchors (a passage that very many documents hold): the windows they are the minimum of are
-   counted by 128-bit hash, first in each batch: a window costs one row a batch, however many
-   documents hold it, and those that a batch holds twice need no more.
+   longest suffix there that occurs at least twice. Spans of L or more are removed. Automata run over the
+   words themselves, so hashes that collide cost time, not rows.
+4. Hot anchors (a passage that very many documents hold) are split by the words around them: every window
+   they are the minimum of is a key of its own, the 128-bit cryptographic digest of its words, counted first in
+   each batch. A window costs one row a batch, however many documents hold it, and those that a batch
+   holds twice need no more.
 
 The automata are sent to where their segments are rather than broadcast to every machine, as the
 reference here is the corpus itself and has no size bound.
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import Words, range_hash, sliding_minimum, window_minima
+from .hashing import Words, digest64, sliding_minimum, window_minima
 from .shared import drop_finished_shuffles, prepare, spare_name, store, task_base, with_uid
 
 
@@ -142,10 +146,9 @@ def _anchors(least: int, k: int):
             uids = uid + np.arange(n)
             uid += n
             sizes = np.diff(words.first)
-            whole = np.stack([range_hash(words.hash, words.first[:-1], words.first[1:], s) for s in (0, 1)])
             entry = uids.copy()
             for i in np.flatnonzero(sizes >= least).tolist():
-                entry[i] = seen.setdefault((int(sizes[i]), int(whole[0, i]), int(whole[1, i])), int(uids[i]))
+                entry[i] = seen.setdefault(digest64(words.plain(i)), int(uids[i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(sizes, pa.int64()), pa.array(uids, pa.int64()), pa.array(np.zeros(n), pa.int32()), pa.array(entry, pa.int64())], schema=_ROWS)
             if not len(words.hash):
                 continue
@@ -161,11 +164,11 @@ def _anchors(least: int, k: int):
     return run
 
 
-_PARTS = pa.schema([("leader", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("text", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64()), ("high", pa.int64())])
+_PARTS = pa.schema([("leader", pa.int64()), ("part", pa.int32()), ("uid", pa.int64()), ("start", pa.int64()), ("text", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64()), ("high", pa.int64())])
 
 
 def _parts(least: int, k: int):
-    """Documents with their contested anchors (uid, text, at[], leader[]) in; segments and hot windows out.
+    """Documents with their contested anchors (uid, text, at[], leader[], part[]) in; segments and hot windows out.
 
     A leader of -1 marks a hot anchor.
     """
@@ -175,7 +178,7 @@ def _parts(least: int, k: int):
             part = slice(i, i + 50_000)
             m = len(uid[part])
             long = lambda x: pa.nulls(m, pa.int64()) if x is None else pa.array(x[part], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), long(uid), long(start), pa.nulls(m, pa.binary()), long(h1), long(h2), long(n), long(high)], schema=_PARTS)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), long(uid), long(start), pa.nulls(m, pa.binary()), long(h1), long(h2), long(n), long(high)], schema=_PARTS)
 
     def run(batches):
         for b in batches:
@@ -183,34 +186,34 @@ def _parts(least: int, k: int):
             words = Words(texts)
             grams = words.grams(k)
             segments, windows, holders = [], [], []
-            for d, (uid, at, leader) in enumerate(zip(uids, b.column(2).to_pylist(), b.column(3).to_pylist())):
+            for d, (uid, at, leader, part) in enumerate(zip(uids, *(b.column(i).to_pylist() for i in range(2, 5)))):
                 first, end = int(words.first[d]), int(words.first[d + 1])
                 n = end - first
-                merged: dict[int, list] = {}
+                merged: dict[tuple, list] = {}
                 hot = []
-                for p, lead in sorted(zip(at, leader)):
+                for p, lead, stretch in sorted(zip(at, leader, part)):
                     if lead == -1:
                         hot.append(p)
                         continue
                     low, high = max(0, p + k - least), min(n, p + least)
-                    runs = merged.setdefault(lead, [])
+                    runs = merged.setdefault((lead, stretch), [])
                     if runs and low <= runs[-1][1]:
                         runs[-1][1] = high
                     else:
                         runs.append([low, high])
                 ends = words.end[first:end]
                 starts = words.start[first:end]
-                for lead, runs in merged.items():
+                for (lead, stretch), runs in merged.items():
                     for low, high in runs:
                         raw = words.bytes[starts[low] : ends[high - 1]]
-                        segments.append((lead, uid, low, b" ".join(raw.split())))
+                        segments.append((lead, stretch, uid, low, b" ".join(raw.split())))
                 if hot:
                     windows.append(np.unique(grams[first + np.array(hot)]))
                     holders.append(d)
             for i in range(0, len(segments), 2000):
                 part = list(zip(*segments[i : i + 2000]))
                 none = pa.nulls(len(part[0]), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.binary()), none, none, none, none], schema=_PARTS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, _PARTS)] + [none] * 4, schema=_PARTS)
             if not holders:
                 continue
             # a hot anchor's windows: those whose minimum is its hash
@@ -222,8 +225,15 @@ def _parts(least: int, k: int):
             for d, values in zip(holders, windows):
                 is_hot[begins[d] : begins[d + 1]] = np.isin(lowest[begins[d] : begins[d + 1]], values)
             at = place[is_hot & inside]
-            owner, start = np.array(uids)[words.doc[at]], at - words.first[words.doc[at]]
-            h1, h2 = (range_hash(words.hash, at, at + least, seed).view(np.int64) for seed in (0, 1))
+            doc = words.doc[at]
+            owner, start = np.array(uids)[doc], at - words.first[doc]
+            digest = []
+            for d in np.unique(doc).tolist():
+                plain = words.plain(d)
+                size = np.diff([words.start[words.first[d] : words.first[d + 1]], words.end[words.first[d] : words.first[d + 1]]], axis=0)[0]
+                edge = np.concatenate(([0], np.cumsum(size + 1))).tolist()
+                digest += [digest64(plain[edge[i] : edge[i + least] - 1]) for i in start[doc == d].tolist()]
+            h1, h2 = np.array(digest, np.int64).reshape(-1, 2).T
             order = np.lexsort((start, owner, h2, h1))
             new = np.concatenate(([True], (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)))[: len(at)]
             times = np.diff(np.append(np.flatnonzero(new), len(at)))
@@ -241,10 +251,10 @@ def _parts(least: int, k: int):
 
 def _shards(least: int):
     def run(batches):
-        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4))))
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(5))))
         out = []
-        for _, shard in groupby(rows, key=lambda r: r[0]):
-            out += shard_spans([r[1:] for r in shard], least)
+        for _, shard in groupby(rows, key=lambda r: r[:2]):
+            out += shard_spans([r[2:] for r in shard], least)
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["uid", "low", "high"])
                 out = []
@@ -276,7 +286,7 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([uid, doc_id, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["uid", "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def substring_dedup(docs: DataFrame, least: int = 35, k: int = 8, hot: int = 256) -> DataFrame:
+def substring_dedup(docs: DataFrame, least: int = 35, k: int = 8, hot: int = 128, stretch: int = 256) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are ignored): uid, doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     Words are [^\\x20\\x09-\\x0D]+ of the whole text (null: none). Every word of a window of ``least``
@@ -290,16 +300,17 @@ def substring_dedup(docs: DataFrame, least: int = 35, k: int = 8, hot: int = 256
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = store(docs.select("text").mapInArrow(_anchors(least, k), "kind byte, h long, uid long, at int, entry long"), "anchors")
     anchors = rows.where(f"kind = {_ANCHOR}").select("h", "uid", "at")
-    met = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("uid").alias("leader")).where("n > 1")
+    place = F.struct("uid", F.floor(F.col("at") / stretch).cast("int").alias("part"))
+    met = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     # stored, so that the join's sides are plain exchanges: a hot hash is split among tasks
-    met = store(met.select("h", F.when(F.col("n") > hot, -1).otherwise(F.col("leader")).cast("long").alias("leader")), "met")
-    contested = store(anchors.join(met, "h").groupBy("uid").agg(F.collect_list(F.struct("at", "leader")).alias("met")), "contested")
+    met = store(met.select("h", F.when(F.col("n") > hot, -1).otherwise(F.col("first.uid")).cast("long").alias("leader"), "first.part"), "met")
+    contested = store(anchors.join(met, "h").groupBy("uid").agg(F.collect_list(F.struct("at", "leader", "part")).alias("met")), "contested")
     drop_finished_shuffles(spark)
     numbered = with_uid(docs)
     text = numbered.select("uid", "text").join(contested.hint("shuffle_hash"), "uid")
-    parts = store(text.select("uid", "text", "met.at", "met.leader").mapInArrow(_parts(least, k), "leader long, uid long, start long, text binary, w1 long, w2 long, n long, high long"), "parts")
+    parts = store(text.select("uid", "text", "met.at", "met.leader", "met.part").mapInArrow(_parts(least, k), "leader long, part int, uid long, start long, text binary, w1 long, w2 long, n long, high long"), "parts")
     drop_finished_shuffles(spark)
-    shards = parts.where("leader is not null").select("leader", "uid", "start", "text").repartition("leader").sortWithinPartitions("leader")
+    shards = parts.where("leader is not null").select("leader", "part", "uid", "start", "text").repartition("leader", "part").sortWithinPartitions("leader", "part")
     spans = shards.mapInArrow(_shards(least), "uid long, low long, high long")
     spans = spans.union(parts.where("high is not null").select("uid", F.col("start").alias("low"), "high"))
     windows = parts.where("w1 is not null").select("w1", "w2", "uid", "start", "n")

@@ -14,7 +14,7 @@ from tests.conftest import DATA, as_rows
 import corpus_pipeline
 from tablewright.llm import chat_format, exact_dedup, jaccard_join, line_dedup, packing, piece_coding, quality_rules, queries, substring_dedup, toxicity, url_filter
 from tablewright.llm.components import components
-from tablewright.llm.hashing import Words, window_minima
+from tablewright.llm.hashing import Words, window_hash, window_minima
 
 SPACE = " \t\n\x0b\x0c\r"
 # nulls, empty and blank texts, repeated rows, ties, a long text, columns with names the operators use themselves
@@ -120,6 +120,36 @@ def test_substring_dedup_against_brute_force(table, least, k, hot):
     assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got) == _substring(rows, least)
 
 
+def thue_morse(letters="ab"):
+    """1,024 letters, and the same with the letters swapped: equal under any polynomial hash modulo 2**64."""
+    swap, word = str.maketrans(letters, letters[::-1]), letters[0]
+    for _ in range(10):
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
+def test_words_that_collide_under_polynomial_hashes_are_told_apart(table):
+    a, b = thue_morse()
+    tail = " ".join(f"t{i}" for i in range(42))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{a} y z"), (4, f"{b} y z"), (5, " ".join(a)), (6, " ".join(b))]
+    assert len(set(Words([a, b]).hash.tolist())) == 2 and len({int(window_hash(Words([" ".join(t)]).hash, 1024)[0]) for t in (a, b)}) == 2
+    got = substring_dedup.substring_dedup(table(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got) == _substring(rows, 35)
+    assert {x.doc_id: x.n_removed for x in got if x.doc_id < 3} == {1: 42, 2: 42}
+    got = jaccard_join.jaccard_components(table(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == _components(rows, 3, 90)
+
+
+def test_a_document_that_leads_ten_thousand_anchors(table):
+    """Its anchors are spread over many shards, and a repeated passage that lies across their borders is found whole."""
+    r = random.Random(9)
+    long = [f"w{r.randrange(10**9)}" for _ in range(150_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[::-1])), (3, " ".join(long[:80_000] + ["new"] + long[80_000:]))]
+    rows += [(10 + i, " ".join([f"own{i}", *long[at : at + n], f"end{i}"])) for i, (at, n) in enumerate([(0, 34), (200, 35), (240, 40), (500, 3000), (149_960, 40)] * 2)]
+    got = substring_dedup.substring_dedup(table(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_text) for x in got) == _substring(rows, 35)
+
+
 @given(st.lists(st.lists(st.sampled_from("ab"), max_size=14), min_size=1, max_size=5), st.integers(1, 4))
 @settings(max_examples=150, deadline=None)
 def test_automaton_finds_repeated_spans(texts, least):
@@ -180,6 +210,69 @@ def test_jaccard_join_against_brute_force(table, k, percent, hot, block):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == _components(rows, k, percent)
 
 
+def test_jaccard_join_of_sets_of_thousands(table):
+    """Large classes, where linked sets must share several keys, on both sides of the threshold."""
+    r, rows = random.Random(11), []
+    for size in (1200, 3000, 6000):
+        base = [f"w{r.randrange(10**6)}" for _ in range(size)]
+        for share in (0.005, 0.012, 0.016, 0.0175, 0.019, 0.022):  # three shingles a word: links end near 1.75 %
+            for _ in range(3):
+                w = list(base)
+                for at in r.sample(range(size), int(share * size)):
+                    w[at] = f"x{r.randrange(10**9)}"
+                rows.append((len(rows), " ".join(w)))
+    want = _components(rows, 3, 90)
+    assert 3 < len({c for _, _, c in want}) < len(rows)
+    got = jaccard_join.jaccard_components(table(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == want
+
+
+@pytest.mark.parametrize("change", [1, 2, 5])
+def test_rows_dealt_grow_with_the_family(spark, table, change):
+    """Whole sets sent to blocks of 8, for families of 64, 128 and 256 near copies of one text.
+
+    Of copies with one word changed all are linked; with more, open sets are held against their family, and rows may grow faster.
+    """
+    sent = []
+    for n in (64, 128, 256):
+        r = random.Random(n)
+        base, rows = [f"w{i}" for i in range(200)], []
+        for i in range(n):
+            w = list(base)
+            for at in r.sample(range(200), change):
+                w[at] = f"x{r.randrange(10**9)}"
+            rows.append((i, " ".join(w)))
+        tally = spark.sparkContext.accumulator(0)
+        got = jaccard_join.jaccard_components(table(rows, "doc_id long, text string"), block=8, tally=tally).collect()
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == _components(rows, 3, 90)
+        sent.append(tally.value)
+    if change == 1:  # all are linked: each set once, the leader once a block
+        assert sent == [64 + 7, 128 + 15, 256 + 31]
+
+
+def test_families_with_several_groups_are_joined_exactly(table):
+    """Chains of copies: each is near the next one only, so blocks leave sets open and rounds go on."""
+    r, rows = random.Random(4), []
+    for c in range(3):
+        w = [f"c{c}w{i}" for i in range(200)]
+        for _ in range(40):
+            rows.append((len(rows) * 11 % 127, " ".join(w)))
+            for at in r.sample(range(200), 3):
+                w[at] = f"x{r.randrange(10**9)}"
+    got = jaccard_join.jaccard_components(table(rows, "doc_id long, text string"), block=4).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == _components(rows, 3, 90)
+
+
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=9), min_size=1, max_size=6), st.integers(1, 4))
+@settings(max_examples=150, deadline=None)
+def test_gram_table_numbers_grams_by_their_words(texts, k):
+    owner, column = jaccard_join.gram_table([" ".join(t).encode() for t in texts], k)
+    want = [{tuple(t[i : i + k]) for i in range(len(t) - k + 1)} if len(t) >= k else {tuple(t)} - {()} for t in texts]
+    got = [set(column[owner == i].tolist()) for i in range(len(texts))]
+    assert [len(g) for g in got] == [len(w) for w in want] and len(column) == sum(map(len, got))
+    assert all(len(got[i] & got[j]) == len(want[i] & want[j]) for i in range(len(texts)) for j in range(i))
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
@@ -247,6 +340,18 @@ def test_packing_holds_every_id_once(spark):
         assert end == size if size is not None else end == 1024 or end & (end - 1) == 0
 
 
+@pytest.mark.parametrize("gap", [" ", "\n", "\t", " \n"])
+def test_packing_of_very_long_white_space_and_words(table, gap):
+    """Texts of 1,000,000 and 5,000,000 characters, held to the library's ids."""
+    rows = [(1, f"a{gap * 1_000_000}b"), (2, gap * 5_000_000), (3, "x" * 1_000_000), (4, "漢" * 100_000 + gap * 400_000), (5, "word " * 300_000)]
+    ids, places = _pieces_of(rows), {}
+    for r in packing.pack(table(rows, "doc_id long, text string"), queries.byte_tokenizer()).collect():
+        assert r.doc_tokens == len(ids[r.doc_id])
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+        places.setdefault(r.doc_id, []).append((r.start, r.length))
+    assert {d: sum(n for _, n in p) for d, p in places.items()} == {d: len(x) for d, x in ids.items()}
+
+
 def test_special_token_in_a_text_is_that_of_the_library(table):
     rows = [(1, "a <|endoftext|> b"), (2, "plain")]
     assert {r.doc_id: r.doc_tokens for r in packing.pack(table(rows, "doc_id long, text string"), queries.byte_tokenizer()).collect()} == {d: len(x) for d, x in _pieces_of(rows).items()}
