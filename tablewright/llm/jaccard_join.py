@@ -343,41 +343,34 @@ def family_links(docs: DataFrame, members: DataFrame, k: int, percent: int, bloc
     ``rounds``: the last one holds all open sets against their family, so what many separate groups of one
     family cost there grows with the square of the family over the block.
     """
-    sized = store(_blocks_of(members, block, block_grams), "sizes")
     found = []
-    text = None
+    sets = docs.join(members.select("uid", "family").hint("shuffle_hash"), "uid").select("uid", "family", "text")
+    crowd = store(sets.mapInArrow(_plain, "uid long, family long, plain binary"), "sets")
     for i in range(rounds):
-        placed = members.join(sized, "family")
-        if text is None:
-            source = docs.join(placed.select("uid", "family").hint("shuffle_hash"), "uid").select("uid", "family", "text").mapInArrow(_plain, "uid long, family long, plain binary")
-        else:
-            source = text.join(placed.select("uid", "family"), ["uid", "family"], "left_semi")
+        # small tables are stored, so that the other side of a join is a plain exchange: a hot family is split among tasks
+        sized = store(_blocks_of(members, block, block_grams), "sizes")
         leads = F.col("uid") == F.col("leader")
-        dealt = source.join(sized, "family").withColumn("to", F.when(F.col("blocks") == 1, F.array(F.lit(-1))).when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_spread(F.col("blocks")))))
-        dealt = dealt.select("family", F.explode("to").alias("a"), F.lit(None).cast("int").alias("b"), F.when(leads, 0).otherwise(1).alias("role"), "uid", "plain")
+        to = F.when(F.col("blocks") == 1, F.array(F.lit(-1))).when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_spread(F.col("blocks"))))
+        dealt = crowd.join(sized, "family").select("family", F.explode(to).alias("a"), F.lit(None).cast("int").alias("b"), F.when(leads, 0).otherwise(1).alias("role"), "uid", "plain")
         got = store(_grouped(dealt, k, percent, tally), "links")
         found.append(got.where("family is null").select("u", "v"))
-        sets = got.where("family is not null").select(F.col("u").alias("uid"), "family", "joined", "far")
-        left = sets.where("not joined")
-        if not left.head(1):
+        judged = got.where("family is not null").select(F.col("u").alias("uid"), "family", "joined", "far")
+        if not judged.where("not joined").head(1):
             break
-        if text is None:  # only families of several blocks with an open set come here
-            crowd = members.join(left.select("family").distinct(), "family", "left_semi")
-            text = store(docs.join(crowd.select("uid", "family").hint("shuffle_hash"), "uid").select("uid", "family", "text").mapInArrow(_plain, "uid long, family long, plain binary"), "crowd")
-        reach = sets.groupBy("family").agg(F.coalesce(F.max(F.when(F.col("joined"), F.col("far"))), F.lit(0.0)).alias("reach"))
+        reach = store(judged.groupBy("family").agg(F.coalesce(F.max(F.when(F.col("joined"), F.col("far"))), F.lit(0.0)).alias("reach")), "reach")
         is_near = F.lit(True) if i == rounds - 1 else F.col("far") <= F.col("reach") + (1 - percent / 100 + 1e-9)
-        left = store(left.join(reach, "family").select("uid", "family", is_near.alias("near")), "open")
-        near = left.where("near").join(members.select("uid", "n_shingles"), "uid")
-        opened = near.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / block_grams)).cast("int").alias("parts"))
-        slices = sized.join(opened, "family").select("family", "parts", F.ceil(F.col("blocks") / 4).cast("int").alias("slices"))
-        here = text.join(slices, "family").join(placed.select("uid", "family"), ["uid", "family"], "left_semi").join(near.select("uid", F.lit(True).alias("near")), "uid", "left")
+        left = judged.where("not joined").join(reach, "family").select("uid", "family", is_near.alias("near"))
+        left = store(left.join(members.select("uid", "n_shingles"), "uid"), "open")
+        opened = left.where("near").groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / block_grams)).cast("int").alias("parts"))
+        slices = store(sized.join(opened, "family").select("family", "parts", F.ceil(F.col("blocks") / 4).cast("int").alias("slices")), "slices")
+        here = crowd.join(slices, "family").join(left.where("near").select("uid", "near"), "uid", "left")
         every = here.select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a"), _spread(F.col("slices")).alias("b"), F.lit(1).alias("role"), "uid", "plain")
         asking = here.where("near").select("family", F.pmod(F.xxhash64("uid", F.lit(1)), "parts").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("b"), F.lit(0).alias("role"), "uid", "plain")
         found.append(store(_grouped(every.union(asking), k, percent, tally).select("u", "v"), "links"))
         members = store(members.join(left.where("not near").select("uid"), "uid", "left_semi"), "far")
         if not members.head(1):
             break
-        sized = store(_blocks_of(members, block, block_grams), "sizes")
+        crowd = store(crowd.join(members.select("uid"), "uid", "left_semi"), "sets")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
