@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,16 +25,16 @@ from .shared import prepare
 #: Fields that say nothing about the layout.
 IGNORED = ("id", "source", "lang")
 
-#: Layouts by name: their field paths, and either a list of turns or parts that each become a turn.
+#: Layouts by name: paths that a record must have, paths that it may have, how roles are renamed, and either a
+#: list of turns or parts that each become a turn.
 LAYOUTS = {
-    "turn": {"paths": ["role", "text"], "turns": [], "role": "role", "text": "text"},
-    "messages": {"paths": ["messages", "messages[].content", "messages[].role"], "turns": ["messages"], "role": "role", "text": "content"},
-    "shared": {"paths": ["conversations", "conversations[].from", "conversations[].value"], "turns": ["conversations"], "role": "from", "text": "value"},
-    "instruction": {"paths": ["input", "instruction", "output"], "parts": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
-    "prompt": {"paths": ["completion", "prompt"], "parts": [("user", ["prompt"]), ("assistant", ["completion"])]},
-    "question": {"paths": ["answer", "question", "system"], "parts": [("system", ["system"]), ("user", ["question"]), ("assistant", ["answer"])]},
+    "turn": {"paths": ["role", "text"], "may": [], "turns": [], "role": "role", "text": "text"},
+    "messages": {"paths": ["messages"], "may": ["messages[].content", "messages[].role"], "turns": ["messages"], "role": "role", "text": "content"},
+    "shared": {"paths": ["conversations"], "may": ["conversations[].from", "conversations[].value"], "turns": ["conversations"], "role": "from", "text": "value", "roles": {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}},
+    "instruction": {"paths": ["instruction", "output"], "may": ["input"], "parts": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
+    "prompt": {"paths": ["completion", "prompt"], "may": [], "parts": [("user", ["prompt"]), ("assistant", ["completion"])]},
+    "question": {"paths": ["answer", "question"], "may": ["system"], "parts": [("system", ["system"]), ("user", ["question"]), ("assistant", ["answer"])]},
 }
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def field_paths(record, at: str = "") -> set[str]:
@@ -53,20 +54,32 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-_BY_PRINT = {fingerprint(x["paths"]): name for name, x in LAYOUTS.items()}
+_BY_PRINT = {fingerprint({*x["paths"], *some}): name for name, x in LAYOUTS.items() for n in range(len(x["may"]) + 1) for some in combinations(x["may"], n)}
+_KNOWN = {p for x in LAYOUTS.values() for p in x["paths"] + x["may"]}
+
+
+def layout_of(record) -> str | None:
+    """The layout whose fingerprint the record's paths have; else, without paths that no layout knows; else the one with the most of its paths there."""
+    paths = field_paths(record)
+    name = _BY_PRINT.get(fingerprint(paths)) or _BY_PRINT.get(fingerprint(paths & _KNOWN))
+    if name is None:
+        held = [(len(x["paths"]) + len(paths & set(x["may"])), n) for n, x in LAYOUTS.items() if paths >= set(x["paths"])]
+        name = max(held, key=lambda x: x[0])[1] if held else None
+    return name
 
 
 def canonical(record) -> tuple[str | None, list[tuple[str, str]]]:
     """(layout, turns as (role, text)); an unknown layout is None and has no turns. Null texts are empty; empty parts are left out."""
-    name = _BY_PRINT.get(fingerprint(field_paths(record)))
+    name = layout_of(record)
     if name is None:
         return None, []
     layout, show = LAYOUTS[name], lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x)
     if "parts" in layout:
         parts = [(role, "\n".join(t for f in fields if (t := show(record.get(f))))) for role, fields in layout["parts"]]
         return name, [p for p in parts if p[1]]
-    turns = [record] if not layout["turns"] else record[layout["turns"][0]]
-    return name, [(ROLES.get(r := show(t.get(layout["role"])), r), show(t.get(layout["text"]))) for t in turns]
+    turns = [record] if not layout["turns"] else record[layout["turns"][0]] or []
+    roles = layout.get("roles", {})
+    return name, [(roles.get(r := show(t.get(layout["role"])), r), show(t.get(layout["text"]))) for t in turns]
 
 
 #: The template's control strings: an assistant's turn, and any other turn.
@@ -100,33 +113,44 @@ def read_turn(part: str) -> tuple[str, str]:
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
-    """(conv_id, turn, sub, layout, role, text) of records (conv_id, turn, record as JSON); unreadable or unknown ones give one row without role and text."""
+    """(conv_id, turn, sub, layout, role, text, reason) of records (conv_id, turn, record as JSON).
+
+    A record without a turn is kept as one row without role and text; reason says why: not an object in
+    JSON, no known layout, or no turns in it.
+    """
 
     def run(batches):
         for b in batches:
             out = []
             for conv, turn, raw in zip(*(b.column(i).to_pylist() for i in range(3))):
                 try:
-                    layout, turns = canonical(json.loads(raw))
-                except (TypeError, ValueError, AttributeError):
-                    layout, turns = None, []
-                out += [(conv, turn, i, layout, r, t) for i, (r, t) in enumerate(turns)] or [(conv, turn, 0, layout, None, None)]
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()))], names=["conv_id", "turn", "sub", "layout", "role", "text"])
+                    record = json.loads(raw)
+                    layout, turns = canonical(record)
+                    reason = "unknown layout" if layout is None else "no turns"
+                    reason = reason if isinstance(record, dict) else "not an object"
+                except (TypeError, ValueError, AttributeError, RecursionError):
+                    layout, turns, reason = None, [], "not readable"
+                out += [(conv, turn, i, layout, r, t, None) for i, (r, t) in enumerate(turns)] or [(conv, turn, 0, layout, None, None, reason)]
+            cols = list(zip(*out)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["conv_id", "turn", "sub", "layout", "role", "text", "reason"])
 
-    return records.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("record")).mapInArrow(run, "conv_id long, turn long, sub int, layout string, role string, text string")
+    return records.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("record")).mapInArrow(run, "conv_id long, turn long, sub int, layout string, role string, text string, reason string")
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, sub, part, loss_from, loss_to): a conversation is its parts in the order of turn and sub."""
+    """(conv_id, turn, sub, part, loss_from, loss_to, reason): a conversation is its parts in the order of turn and sub.
+
+    A row with a reason has no part; it stays, so that no record is lost without a trace.
+    """
 
     def run(batches):
         for b in batches:
-            parts = [format_turn(r or "", t or "") for r, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            parts = [(None, None, None) if why else format_turn(r or "", t or "") for r, t, why in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)))]
             part, low, high = zip(*parts) if parts else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(part, pa.string()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["conv_id", "turn", "sub", "part", "loss_from", "loss_to"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(part, pa.string()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), b.column(5)], names=["conv_id", "turn", "sub", "part", "loss_from", "loss_to", "reason"])
 
-    return turns.where("layout is not null").select("conv_id", "turn", "sub", "role", "text").mapInArrow(run, "conv_id long, turn long, sub int, part string, loss_from int, loss_to int")
+    return turns.select("conv_id", "turn", "sub", "role", "text", "reason").mapInArrow(run, "conv_id long, turn long, sub int, part string, loss_from int, loss_to int, reason string")
 
 
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -137,6 +161,7 @@ def read_back(parts: DataFrame) -> DataFrame:
 
     Conversations are dealt by id and streamed in order; hashes run along, so a conversation that
     holds a third of all turns needs no memory (a digest of one text is one stream, whoever reads it).
+    Rows without a part count for no turn; a conversation of nothing else has no turns.
     """
 
     def run(batches):
@@ -151,6 +176,8 @@ def read_back(parts: DataFrame) -> DataFrame:
                 if conv != now or state is None:
                     close()
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                if part is None:
+                    continue
                 role, text = read_turn(part)
                 under = unescape(part[low:high])
                 state[0] += 1
@@ -173,13 +200,22 @@ def read_back(parts: DataFrame) -> DataFrame:
     return dealt.select("conv_id", "part", "loss_from", "loss_to").mapInArrow(run, _DIGEST)
 
 
+def format_records(records: DataFrame) -> DataFrame:
+    """Digests of the formatted conversations of records (conv_id, turn, record as JSON) in any of the layouts.
+
+    Records of a conversation follow each other by ``turn`` (null first, ties by their formatted text). Records
+    without a readable turn add nothing, but their conversation stays. An empty table gives an empty result.
+    """
+    prepare(records.sparkSession)
+    return read_back(format_turns(canonical_turns(records)))
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """Digests of the formatted conversations of a table of turns (conv_id, turn, role, text; others are ignored).
 
-    A null text or role is empty; turns are in the order of ``turn`` (null first, ties by their formatted
-    text); repeated rows are turns of their own. Rows without conv_id are one conversation. An empty table
-    gives an empty result.
+    A null text or role is empty, roles are kept as they are; turns are in the order of ``turn`` (null first,
+    ties by their formatted text); repeated rows are turns of their own. Rows without conv_id are one
+    conversation. An empty table gives an empty result.
     """
-    prepare(conversations.sparkSession)
     record = F.to_json(F.struct(F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")), {"ignoreNullFields": "false"})
-    return read_back(format_turns(canonical_turns(conversations.select("conv_id", "turn", record.alias("record")))))
+    return format_records(conversations.select("conv_id", "turn", record.alias("record")))

@@ -5,8 +5,9 @@
    written to the shared folder, so a text copied a billion times costs one entry a task.
 2. The directory starts with one bucket and doubles until no bucket holds more than its capacity, or
    until the deepest level; it is built from a histogram of key prefixes of bounded size.
-3. Owner tasks take ranges of buckets, sorted by key. Entries whose keys collide are chained and
-   told apart by their bytes; equal ones become one group.
+3. Owner tasks take ranges of keys: neighbouring buckets of about equal bytes, sorted by key. Entries whose
+   keys collide are chained and told apart by their bytes; equal ones become one group. A key with very
+   many entries (a text that every map task holds) is reduced first, in salted parts of bounded size.
 4. Members learn their group from their entry; an entry has only rows of one task, so no key is hot.
 """
 
@@ -93,22 +94,30 @@ def directory(histogram: dict[int, int], capacity: int, deepest: int) -> tuple[i
     return depth, slots
 
 
-def _chains(batches):
-    """Entries sorted by key in; (entry, keep_id, keep_uid, group_size) out, as soon as a key is complete."""
-    names = ["entry", "keep_id", "keep_uid", "group_size"]
-    out, now, chain = [], None, []
-
-    def close():
-        for _, ids, n, best in chain:
-            keep = None if best[1] == _FAR else best[1]
-            out.extend((e, keep, best[2], n) for e in ids)
-
+def owners(histogram: dict[int, int], slots: list[int], deepest: int, tasks: int) -> list[int]:
+    """The owner of each directory slot: at most ``tasks`` ranges of whole buckets, in the order of their keys, of about equal bytes."""
+    width, held, bucket = (1 << deepest) // len(slots), 0, {}
+    share = max(1, -(-sum(histogram.values()) // tasks))
+    size = {}
+    for prefix, n in histogram.items():
+        b = slots[prefix // width]
+        size[b] = size.get(b, 0) + n
+    for b in slots:
+        if b not in bucket:
+            bucket[b] = min(held // share, tasks - 1)
+            held += size.get(b, 0)
+    return [bucket[b] for b in slots]
+
+
+def _groups(batches):
+    """Entries sorted by (key, salt) in; a list of (key, body, entries, rows, best) as soon as a key and salt are complete."""
+    now, chain = None, []
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(7)]
-        for entry, key, n, chars, best_id, best_uid, body in zip(*cols):
-            if key != now:
-                close()
-                now, chain = key, []
+        cols = [b.column(i).to_pylist() for i in range(8)]
+        for entry, key, salt, n, chars, best_id, best_uid, body in zip(*cols):
+            if (key, salt) != now:
+                yield from ((now[0], *link) for link in chain)
+                now, chain = (key, salt), []
             best = _rank(chars, best_id, best_uid)
             for link in chain:
                 if link[0] == body:
@@ -118,15 +127,33 @@ def _chains(batches):
                     break
             else:
                 chain.append([body, [entry], n, best])
+    yield from ((now[0], *link) for link in chain)
+
+
+def _chains(batches):
+    """(entry, keep_id, keep_uid, group_size) of the owners' groups."""
+    out, names = [], ["entry", "keep_id", "keep_uid", "group_size"]
+    for _, _, ids, n, best in _groups(batches):
+        out.extend((e, None if best[1] == _FAR else best[1], best[2], n) for e in ids)
         if len(out) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
-            out.clear()
-    close()
+            out = []
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 4 << 20, deepest: int = 14, buffer_bytes: int = 32 << 20, key_bits: int = 64) -> DataFrame:
+_MERGED = "entry long, into long, key long, n long, chars long, best_id long, best_uid long, body binary"
+
+
+def _merged(batches):
+    """One entry for all equal ones of a part, and what became of the others (into)."""
+    names, kinds = [c.split()[0] for c in _MERGED.split(", ")], [pa.int64()] * 7 + [pa.binary()]
+    for key, body, ids, n, best in _groups(batches):
+        rows = [(ids[0], ids[0], key, n, -best[0], None if best[1] == _FAR else best[1], best[2], body)] + [(e, ids[0], *[None] * 6) for e in ids[1:]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def exact_dedup(docs: DataFrame, capacity: int = 4 << 20, deepest: int = 14, buffer_bytes: int = 32 << 20, key_bits: int = 64, hot: int = 64) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): uid, doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without the characters [\\x20\\x09-\\x0D]; null counts as empty.
@@ -135,28 +162,44 @@ def exact_dedup(docs: DataFrame, capacity: int = 4 << 20, deepest: int = 14, buf
     the row number of ``shared.with_uid``. An empty table gives an empty result.
 
     ``capacity``: bytes of text in a bucket before it splits; it grows with the corpus once
-    2**deepest buckets would not hold it.
+    2**deepest buckets would not hold it. ``hot``: entries of one key that go to a task at once.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     postings = store(rows.mapInArrow(_index(buffer_bytes, key_bits), _POSTINGS), "postings")
-    entries = postings.where("key is not null")
+    data = ["entry", "key", "n", "chars", "best_id", "best_uid", "body"]
+    entries = postings.where("key is not null").select(*data)
+    often = store(entries.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > hot), "often")
+    into = None
+    if often.head(1):
+        parts = entries.join(often, "key").withColumn("salt", F.pmod(F.xxhash64("entry"), F.ceil(F.col("held") / hot)))
+        parts = parts.repartition("key", "salt").sortWithinPartitions("key", "salt", "entry").select("entry", "key", "salt", *data[2:])
+        merged = store(parts.mapInArrow(_merged, _MERGED), "merged")
+        into = merged.where("key is null").select("entry", "into")
+        entries = entries.join(often, "key", "left_anti").union(merged.where("key is not null").select(*data))
     prefix = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-_FAR)), 64 - deepest).cast("int")
     histogram = {r[0]: r[1] for r in entries.groupBy(prefix.alias("p")).agg(F.sum(F.octet_length("body")).cast("long")).collect()}
     capacity = max(capacity, 2 * sum(histogram.values()) >> deepest)
     depth, slots = directory(histogram, capacity, deepest)
     slot = F.shiftright(prefix, deepest - depth)
-    bucket = F.element_at(F.lit(slots).cast("array<int>"), slot + 1)
-    owned = entries.select("entry", "key", "n", "chars", "best_id", "best_uid", "body", bucket.alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "key")
-    found = owned.drop("bucket").mapInArrow(_chains, "entry long, keep_id long, keep_uid long, group_size long")
-    found = store(found, "groups")
-    drop_finished_shuffles(docs.sparkSession)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owner = F.element_at(F.lit(owners(histogram, slots, deepest, tasks)).cast("array<int>"), slot + 1)
+    owned = entries.select("entry", "key", F.lit(0).cast("long").alias("salt"), *data[2:]).repartitionById(tasks, owner).sortWithinPartitions("key")
+    found = store(owned.mapInArrow(_chains, "entry long, keep_id long, keep_uid long, group_size long"), "groups")
+    if into is not None:
+        found = found.union(into.join(found.withColumnRenamed("entry", "into"), "into").select("entry", "keep_id", "keep_uid", "group_size"))
+    drop_finished_shuffles(spark)
     members = postings.select("uid", "doc_id", "entry", "sha")
     return members.join(found, "entry").select("uid", "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+
+    Null texts count as empty, so one of the empty ones stays; of repeated rows the first stays; an empty
+    table gives an empty result.
+    """
     row = spare_name(docs, "_row")
     kept = exact_dedup(docs).where("kept").select(F.col("uid").alias(row))
     return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)

@@ -423,7 +423,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: in
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the smallest doc_id stays (the first row of it; a null doc_id comes last)."""
+    """The rows of ``docs`` without near copies: of each component the smallest doc_id stays (the first row of it; a null doc_id comes last).
+
+    Texts without words, nulls among them, are linked with nothing and stay; repeated rows are copies; an empty
+    table gives an empty result.
+    """
     found, row = jaccard_components(docs, k, percent), spare_name(docs, "_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     kept = found.groupBy("component").agg(first.alias("first")).select(F.col("first.uid").alias(row))

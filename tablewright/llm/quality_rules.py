@@ -39,8 +39,8 @@ def _covered(hashes: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """Hash of a line without case and with white space runs as one space."""
-    return F.xxhash64(F.lower(F.array_join(_words(line), " ")))
+    """128-bit digest of a line without case and with white space runs as one space."""
+    return F.unhex(F.md5(F.lower(F.array_join(_words(line), " "))))
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
@@ -90,7 +90,12 @@ def quality_rules(docs: DataFrame, host: str = "source", least: int = 10, share:
     prepare(docs.sparkSession)
     docs = with_uid(docs.select("doc_id", "text", F.col(host).alias("host")))
     host = "host"
-    gone = frequent_lines(docs, host, least, share).groupBy("uid").agg(F.sum("words").alias("gone"))
+    return _judged(docs, frequent_lines(docs, host, least, share), keep)
+
+
+def _judged(docs: DataFrame, lines: DataFrame, keep: int) -> DataFrame:
+    """The counts and verdicts of numbered documents, by their lines above the limits."""
+    gone = lines.groupBy("uid").agg(F.sum("words").alias("gone"))
     # stored, as a filter on the result would otherwise be pushed below, and work the arrays out again for each word
     out = store(document_counts(docs), "counts").join(gone, "uid", "left").withColumn("n_line_words_removed", F.coalesce("gone", F.lit(0)).cast("long"))
     left = 100 * (F.col("n_words") - F.col("n_line_words_removed")) >= keep * F.col("n_words")
@@ -98,11 +103,17 @@ def quality_rules(docs: DataFrame, host: str = "source", least: int = 10, share:
 
 
 def clean_documents(docs: DataFrame, host: str = "source", least: int = 10, share: float = 0.2, keep: int = 50) -> DataFrame:
-    """The documents that stay, with all their columns and without the lines above the limits (n_chars follows the text)."""
+    """The documents that stay, with all their columns and without the lines above the limits (n_chars follows the text).
+
+    Parameters and verdicts are those of ``quality_rules``; null texts are rejected, repeated rows are judged
+    each, an empty table gives an empty result. Lines are found once, for the verdicts and for the cuts.
+    """
     prepare(docs.sparkSession)
     row, bad = spare_name(docs, "_row"), spare_name(docs, "_bad")
-    verdict = quality_rules(docs, host, least, share, keep).where("kept").select(F.col("uid").alias(row))
-    lines = frequent_lines(with_uid(docs.select("text", host)), host, least, share).groupBy("uid").agg(F.collect_set("key").alias(bad)).withColumnRenamed("uid", row)
+    numbered = with_uid(docs.select("doc_id", "text", F.col(host).alias("host")))
+    found = store(frequent_lines(numbered, "host", least, share), "frequent")
+    verdict = _judged(numbered, found, keep).where("kept").select(F.col("uid").alias(row))
+    lines = found.groupBy("uid").agg(F.collect_set("key").alias(bad)).withColumnRenamed("uid", row)
     out = docs.withColumn(row, F.monotonically_increasing_id()).join(verdict.join(lines, row, "left"), row)
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col(bad), line_key(x))), "\n")
     out = out.withColumn("text", F.when(F.col(bad).isNull(), F.col("text")).otherwise(kept))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import chat_format, exact_dedup, jaccard_join, line_dedup, packing, piece_coding, quality_rules, substring_dedup, toxicity, url_filter
 from .shared import table
 
@@ -39,18 +41,38 @@ def op5_chat_format(spark, sf_dir):
     return chat_format.format_conversations(turns.unionByName(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string")))
 
 
+def op5_chat_layouts(spark, sf_dir):
+    """op5 over records of many layouts: each turn is a record of its own, with optional and unknown fields, and every fifth of no known layout."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    role, text, kind = F.col("role"), F.col("text"), F.col("turn") % 5
+    told = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    messages = F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"), F.lit("n").alias("name"))).alias("messages"), F.lit("x").alias("id")))
+    shared = F.to_json(F.struct(F.array(F.struct(told.alias("from"), text.alias("value"), F.lit(1).alias("weight"))).alias("conversations"), F.lit(3).alias("score")))
+    prompt = F.to_json(F.struct(F.when(role == "user", text).otherwise("").alias("prompt"), F.when(role == "assistant", text).otherwise("").alias("completion"), F.lit("y").alias("topic")))
+    single = F.to_json(F.struct("role", "text"))
+    record = F.when(kind == 0, single).when(kind == 1, messages).when(kind == 2, shared).when((kind == 3) & role.isin("user", "assistant"), prompt).when(kind == 3, single).otherwise(F.to_json(F.struct(text.alias("body"))))
+    return chat_format.format_records(turns.select("conv_id", "turn", record.alias("record")))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), {"low_quality": "1 - quality", "toxic": "toxic"})
 
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Seeds: registered domains that are trusted, and first labels of hosts on the block list.
-TRUSTED = ["example.com", "example.net", "example.org"]
-BLOCKED = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+#: Seeds: domains that are trusted, and names of domains on the block list under each of them.
+TRUSTED = ("example.com", "example.net", "example.org")
+BLOCKED = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 def op7_url_filter(spark, sf_dir):
-    return url_filter.url_filter(table(spark, sf_dir, "pages"), RULES, TRUSTED, BLOCKED)
+    """Blocked are domains such as casino-win.example.com; that their subdomains are is found along the graph."""
+    seeds = lambda hosts: spark.createDataFrame([(h, 1.0) for h in hosts], "host string, weight double")
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), RULES, seeds(TRUSTED), seeds([f"{b}.{t}" for b in BLOCKED for t in TRUSTED]))
+
+
+def op7_url_rules(spark, sf_dir):
+    """The part of op7 that SQL can say: host, path and rule of every page."""
+    return op7_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
 
 
 def op8_piece_coding(spark, sf_dir):
@@ -78,8 +100,10 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_chat_format": op5_chat_format,
+    "op5_chat_layouts": op5_chat_layouts,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
+    "op7_url_rules": op7_url_rules,
     "op8_piece_coding": op8_piece_coding,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
@@ -102,6 +126,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
   sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (r = 'assistant'), '')) AS loss_sha256,
   sum(length(t) + length(t) - length(replace(t, chr(92), '')) + len(regexp_extract_all(t, '<s>|</s>|\[INST\]|\[/INST\]')) + CASE WHEN r = 'assistant' THEN 7 ELSE 14 + length(r) END)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op5_chat_layouts": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations),
+c AS (SELECT *, turn % 5 <> 4 AND NOT (turn % 5 = 3 AND r IN ('user', 'assistant') AND t = '') AS told FROM t)
+SELECT conv_id, count_if(told)::BIGINT AS n_turns, sha256(coalesce(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn) FILTER (told), '')) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (told AND r = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (told AND r = 'assistant'), '')) AS loss_sha256,
+  coalesce(sum(length(t) + length(t) - length(replace(t, chr(92), '')) + len(regexp_extract_all(t, '<s>|</s>|\[INST\]|\[/INST\]')) + CASE WHEN r = 'assistant' THEN 7 ELSE 14 + length(r) END) FILTER (told), 0)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id""",
+    "op7_url_rules": r"""
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(verdict, name, prefix) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+fit AS (SELECT page_id, name || prefix AS rule, verdict FROM p JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(name || prefix) DESC) = 1)
+SELECT page_id, host, path, rule, verdict AS rule_verdict FROM p LEFT JOIN fit USING (page_id)""",
     "op3_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) i FROM d)),

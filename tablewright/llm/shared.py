@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of its own only where that is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a folder of its own only where that is unset and all runs in one process (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place:
         return place
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "place" not in _own:
         _own["place"] = "file://" + tempfile.mkdtemp(prefix="tablewright-")
     return _own["place"]

@@ -331,7 +331,9 @@ def substring_dedup(docs: DataFrame, least: int = 35, k: int = 8, hot: int = 128
 def drop_repeats(docs: DataFrame, least: int = 35) -> DataFrame:
     """``docs`` without its repeated passages; a document with one becomes its kept words joined by spaces (n_chars follows).
 
-    Documents of which nothing is left are dropped; all others keep their columns, and their text if nothing was removed.
+    Documents of which nothing is left are dropped; all others keep their columns, and their text if nothing was
+    removed, so null and empty texts stay as they are. Repeated rows of ``least`` words or more are repeats of each
+    other. An empty table gives an empty result.
     """
     row, cut = spare_name(docs, "_row"), spare_name(docs, "_cut")
     found = substring_dedup(docs, least).where("n_removed > 0").select(F.col("uid").alias(row), F.col("kept_text").alias(cut))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words
-from .shared import prepare
+from .shared import prepare, store
 
 BUCKETS = 1 << 20
 
@@ -117,17 +117,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sam
 
     ``categories``: name to SQL expression (0 or 1) over ``labels`` (doc_id, ...), in chain order; the last
     decides toxic, at the threshold that was best out of fold. At most ``sample`` labelled documents
-    (smallest hash of doc_id) are used to fit; rows with a null label are left out. Null texts have
+    (smallest hash of doc_id) are used to fit; rows with a null label are left out. Of labels that repeat a
+    doc_id the greatest counts (by the categories in order), of texts that do the last by sort. Null texts have
     no words. Without any labelled row all probabilities are null and nothing is toxic. An empty
     table gives an empty result; repeated rows are scored alike.
     """
     prepare(docs.sparkSession)
     names = list(categories)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.expr(e).cast("int").alias(c) for c, e in categories.items()]).dropna()
-    known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.groupBy("doc_id").agg(F.max(F.struct(*names)).alias("y")).select("doc_id", "y.*")
+    known = store(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # at most ``sample`` rows of labels and their documents' buckets reach the driver
-    fit = rows.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_buckets, "doc_id long, words binary")
+    fit = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).mapInArrow(_buckets, "doc_id long, words binary")
     by_id = {r[0]: r[1:] for r in known.collect()}
     taken = sorted(((r[0], np.frombuffer(r[1], np.int32).astype(np.int64)) for r in fit.collect()), key=lambda r: r[0])
     schema = "doc_id long, " + "".join(f"p_{c} double, " for c in names) + "toxic boolean"
