@@ -177,7 +177,7 @@ def exact_dedup(docs: DataFrame, capacity: int = 4 << 20, deepest: int = 14, buf
         parts = parts.repartition("key", "salt").sortWithinPartitions("key", "salt", "entry").select("entry", "key", "salt", *data[2:])
         merged = store(parts.mapInArrow(_merged, _MERGED), "merged")
         into = merged.where("key is null").select("entry", "into")
-        entries = entries.join(often, "key", "left_anti").union(merged.where("key is not null").select(*data))
+        entries = entries.join(often, "key", "left_anti").select(*data).union(merged.where("key is not null").select(*data))
     prefix = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-_FAR)), 64 - deepest).cast("int")
     histogram = {r[0]: r[1] for r in entries.groupBy(prefix.alias("p")).agg(F.sum(F.octet_length("body")).cast("long")).collect()}
     capacity = max(capacity, 2 * sum(histogram.values()) >> deepest)
