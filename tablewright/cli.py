@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import json
 import sys
 from datetime import datetime, timezone
 from functools import partial
@@ -15,39 +16,65 @@ from pyspark.sql import functions as F
 from .operators import evaluation, generation, items, metrics, registry, runs, sampling, synthetic, training
 from .sources import json_files
 
-ITEM = f"pos long, example_id string, query string, options array<{json_files.OPTION}>, answer_option_id string, query_type_flags {json_files.FLAGS}"
+ITEM = (
+    f"pos long, example_id string, query string, options array<{json_files.OPTION}>, answer_option_id string, query_type_flags {json_files.FLAGS}, correctness_explanation map<string,variant>, "
+    "source_metadata struct<raw_dataset_path:string,raw_index:bigint,normalization:array<string>>"
+)
 MANIFEST = "split string, pos long, example_id string"
 
 
-def _violations(raw: DataFrame) -> DataFrame:
-    texts = F.from_json(F.to_json("correctness_explanation"), "map<string,string>")
-    listed = F.transform_values(texts, lambda k, v: F.coalesce(F.from_json(v, "array<string>"), F.array(v)))
-    return raw.withColumn("violation", items.raw_violation(F.col("query"), F.col("query_type"), F.col("options"), F.col("answer"), listed))
-
-
 def _checked(spark: SparkSession, path: str) -> DataFrame:
-    raw = _violations(json_files.read_raw(spark, path))
+    """The items of a raw file, all of them valid."""
+    raw = json_files.read_raw(spark, path)
+    raw = raw.withColumn("violation", items.raw_violation(*map(F.col, ("query", "query_type", "options", "answer", "correctness_explanation"))))
     bad = items.first_violation(raw).first()
     if bad:
         raise ValueError(f"raw record {bad.pos}: {bad.violation}")
-    return items.normalise(raw)
+    return items.normalise(raw, items.source_path(path))
+
+
+def _prepared(spark: SparkSession, path: str) -> DataFrame:
+    """The items of a prepared file, all of them valid."""
+    rows = json_files.read_lines(spark, path, ITEM)
+    bad = items.first_violation(rows.withColumn("violation", items.item_violation(F.col("options"), F.col("answer_option_id")))).first()
+    if bad:
+        raise ValueError(f"prepared record {bad.pos}: {bad.violation}")
+    if items.duplicates(rows, "example_id").head(1):
+        raise ValueError("prepared records share an id")
+    return rows
+
+
+def _of_kind(spark: SparkSession, a) -> DataFrame:
+    if a.kind not in ("raw", "prepared"):
+        raise ValueError(f"unknown kind: {a.kind}")
+    return (_checked if a.kind == "raw" else _prepared)(spark, a.input)
+
+
+def _told(df: DataFrame) -> None:
+    """Print a histogram (name, n)."""
+    for r in df.orderBy("name").collect():  # a few rows: one a status, strategy or track
+        print(f"{r['name']}\t{r.n}")
 
 
 def prepare_data(spark, a):
+    """Items, and their split: as rows, or as one object if the path ends with .json."""
     rows = _checked(spark, a.input)
     json_files.write_lines(rows, a.output, ["pos"])
-    split = sampling.split_exact(rows.withColumn("signature", items.signature(F.col("query_type_flags"))).select("example_id", "signature", "pos"), "example_id", "signature", "pos", a.seed)
-    json_files.write_lines(split.join(rows.select("example_id", "pos"), "example_id").select("split", "pos", "example_id"), a.split_output, ["pos"])
+    signed = rows.withColumn("signature", items.signature(F.col("query_type_flags"))).select("example_id", "signature", "pos")
+    split = sampling.split_exact(signed, "example_id", "signature", "pos", a.seed).join(rows.select("example_id", "pos"), "example_id")
+    if a.split_output.endswith(".json"):
+        json_files.write_document(sampling.manifest(split, "example_id", "signature", "pos", a.seed), a.split_output)
+    else:
+        json_files.write_lines(split.select("split", "pos", "example_id"), a.split_output, ["pos"])
 
 
 def validate_data(spark, a):
-    print(f"{_checked(spark, a.input).count()} records are valid")
+    print(f"{_of_kind(spark, a).count()} records are valid")
 
 
 def dataset_stats(spark, a):
-    rows = json_files.read_lines(spark, a.input, ITEM)
-    for r in metrics.histogram(rows, items.signature(F.col("query_type_flags"))).orderBy("name").collect():  # at most 32 rows
-        print(f"{r['name']}\t{r.n}")
+    for r in items.stats(_of_kind(spark, a)).orderBy("kind", "name").collect():  # at most 38 rows
+        print(f"{r.kind}\t{r['name']}\t{r.n}")
 
 
 def _manifest(spark, path: str) -> DataFrame:
@@ -77,7 +104,9 @@ def export_split(spark, a):
 
 def augment_train(spark, a):
     a.split = "train"
-    json_files.write_lines(items.augmented(_split(spark, a), a.max_variants), a.output, ["parent_example_id", "variant_index"])
+    rows = items.augmented(_split(spark, a), a.max_variants)
+    json_files.write_lines(rows, a.output, ["parent_example_id", "variant_index"])
+    _told(metrics.histogram(rows, F.col("strategy")))
 
 
 def _generate(spark, a, full: bool) -> None:
@@ -91,7 +120,9 @@ def _generate(spark, a, full: bool) -> None:
 def _review(spark, a, full: bool) -> None:
     rows = _synthetic(spark, a.input, full)
     known = json_files.read_lines(spark, a.dataset, ITEM)
-    json_files.write_lines(generation.review(rows, known, _named(a.client), a.model, runs.now(), full), a.output, ["pos"])
+    done = generation.review(rows, known, _named(a.client), a.model, runs.now(), full)
+    json_files.write_lines(done, a.output, ["pos"])
+    _told(metrics.histogram(json_files.read_lines(spark, a.output, done.schema), F.col("review_status")))
 
 
 def _synthetic(spark, path: str, full: bool, status: str | None = None) -> DataFrame:
@@ -141,20 +172,26 @@ def build_synthetic_train(spark, a):
     if synthetic.collisions(rows, known).head(1):
         raise ValueError("synthetic rows use ids twice, or ids of items")
     json_files.write_lines(rows, a.output, ["track", "example_id"])
-    for r in metrics.histogram(rows, F.col("track")).orderBy("name").collect():  # two rows
-        print(f"{r['name']}\t{r.n}")
+    _told(metrics.histogram(rows, F.col("track")))
     rows.unpersist()
 
 
 def run_eval(spark, a):
     inputs = {"dataset": a.dataset, "splits": a.splits}
+    if a.parent_run_id:  # the model is the parent's, unless another is named
+        found = runs.parent_model(_runs(spark, a.registry), a.parent_run_id)
+        inputs["parent_model"], a.model = found, a.model or found
+    if not a.model:
+        raise ValueError("a model or a parent run is needed")
     with runs.tracked(spark, a.registry, "eval", a.model, a.stage, a.parent_run_id, a.command_line, inputs) as run:
         run["outputs"] = {"output_dir": a.output}
         rows = _split(spark, a).withColumn("pos", F.col("split_pos")).withColumnRenamed("query_type_flags", "flags")
         scored = evaluation.evaluate(rows, _named(a.client), a.eval_mode, None if a.limit is None else int(a.limit))
         json_files.write_lines(scored, f"{a.output}/rows", ["pos"])
-        result = evaluation.summary(json_files.read_lines(spark, f"{a.output}/rows", scored.schema), a.model, a.split, a.eval_mode)
+        scored = json_files.read_lines(spark, f"{a.output}/rows", scored.schema)
+        result = evaluation.summary(scored, a.model, a.split, a.eval_mode)
         json_files.write_lines(result, f"{a.output}/summary")
+        json_files.write_document(evaluation.document(scored, result), f"{a.output}/result.json")
         found = result.first().asDict(recursive=True)  # one row
         run["metrics"] = {n: found["metrics"][n] for n in ("overall", "parse_failures", "total_correct", "total")}
         run["outputs"]["result_json"] = f"{a.output}/summary"
@@ -200,8 +237,23 @@ def compare_runs(spark, a):
     request = spark.createDataFrame(list(enumerate(a.run_id)), "pos int, run_id string")
     if registry.missing(request, entries, "run_id").head(1):
         raise ValueError("a requested run is not in the registry")
-    names = ["run_id", "run_type", "stage", "status", "model_name"]
-    print(registry.text_table([r.asDict() for r in registry.compared(request, entries, "run_id").orderBy("pos").select(*names).collect()], names))
+    names = ["run_id", "run_type", "stage", "status", "model_name", "overall", "parse_failures"]
+    figure = lambda n: F.try_element_at("metrics", F.lit(n)).alias(n)
+    found = registry.compared(request, entries, "run_id").orderBy("pos").select(*names[:5], figure("overall"), figure("parse_failures"), "created_at", "finished_at")
+    rows = [r.asDict() for r in found.collect()]  # one row a requested run
+    text = json.dumps(rows, indent=2)
+    if a.output:
+        json_files.write_text(spark, text, a.output)
+    print(text if a.format == "json" else registry.text_table(rows, names))
+
+
+def plot_results(spark, a):
+    """The leaderboard of result files as text, and as a chart (SVG) if an output is named. Files that are not there are skipped."""
+    board = evaluation.leaderboard(json_files.read_results(spark, a.input), only=a.only, exclude=a.exclude).orderBy(F.desc("percent"), "name")
+    rows = [r.asDict() for r in board.collect()]  # one row a result file
+    print(registry.text_table(rows, ["name", "split", "total", "correct", "percent", "parse_failures"]))
+    if a.output:
+        json_files.write_text(spark, evaluation.bar_chart([(r["name"], r["percent"]) for r in rows], a.title), a.output)
 
 
 def promote_run(spark, a):
@@ -216,15 +268,15 @@ def promote_run(spark, a):
 
 _GENERATE, _APPROVE = "dataset splits client model output seed=1508", "input dataset splits approval-batch-id output max-examples?"
 COMMANDS = {
-    "prepare-data": (prepare_data, "input output split-output seed=1508"), "validate-data": (validate_data, "input"), "dataset-stats": (dataset_stats, "input"),
+    "prepare-data": (prepare_data, "input output split-output seed=1508"), "validate-data": (validate_data, "input kind=raw"), "dataset-stats": (dataset_stats, "input kind=prepared"),
     "export-split": (export_split, "dataset splits split output"), "augment-train": (augment_train, "dataset splits output max-variants=2"),
     "generate-synthetic-query": (partial(_generate, full=False), f"{_GENERATE} limit=75 max-candidates-per-parent=3"), "generate-synthetic-full": (partial(_generate, full=True), f"{_GENERATE} limit=40 max-candidates-per-seed=1"),
     "review-synthetic-query": (partial(_review, full=False), "input dataset client model output"), "review-synthetic-full": (partial(_review, full=True), "input dataset client model output"),
     "approve-synthetic-query": (partial(_approve, full=False), _APPROVE), "approve-synthetic-full": (partial(_approve, full=True), _APPROVE),
     "build-synthetic-train": (build_synthetic_train, "dataset splits output query-approved? full-approved? target-ratio? full-share=0.0 max-query-examples? max-full-examples? seed=1508"),
-    "run-eval": (run_eval, "dataset splits split=test model client registry output eval-mode=generative limit? stage=baseline parent-run-id?"),
+    "run-eval": (run_eval, "dataset splits split=test model? client registry output eval-mode=generative limit? stage=baseline parent-run-id?"),
     "run-train": (run_train, "dataset splits model registry output augmented? trainer? stage=candidate parent-run-id?"),
-    "list-runs": (list_runs, "registry run-type? status? stage? format=table"), "compare-runs": (compare_runs, "registry run-id+"), "promote-run": (promote_run, "registry run-id stage output?"),
+    "list-runs": (list_runs, "registry run-type? status? stage? format=table"), "compare-runs": (compare_runs, "registry run-id+ format=table output?"), "plot-results": (plot_results, "input+ only* exclude* title=Accuracy output?"), "promote-run": (promote_run, "registry run-id stage output?"),
 }
 
 
@@ -237,8 +289,8 @@ def main(args: list[str] | None = None) -> int:
             flag, _, default = option.partition("=")
             if default:
                 sub.add_argument(f"--{flag}", type=int if default.isdigit() else str, default=int(default) if default.isdigit() else default)
-            elif flag.endswith("+"):
-                sub.add_argument(f"--{flag[:-1]}", action="append", required=True)
+            elif flag[-1] in "+*":  # given once for each value
+                sub.add_argument(f"--{flag[:-1]}", action="append", required=flag.endswith("+"))
             else:
                 sub.add_argument(f"--{flag.rstrip('?')}", required=not flag.endswith("?"))
     a = parser.parse_args(args)

@@ -16,6 +16,7 @@ DECLARED = (
     r"\b(?:I\s+CHOOSE|I\s+PICK|I\s+SELECT|CHOOSE|PICK|SELECT)\s+(?:OPTION\s*)?\(?([A-E])\)?(?=\b)",
     r"\b(?:MY\s+ANSWER|MY\s+CHOICE)\s*(?:IS|:)\s*\(?([A-E])\)?[\)\.\:\-]?(?=\s|$)",
 )
+# The same pattern with its letter in one group, as extraction takes one group out.
 MENTION = r"OPTION\s+[A-E]\b|(?:^|\s)[A-E]\)"
 LEAD = r"\s*\(?([A-E])\)?[\)\.\:\-]\s+\S"
 DESCRIBED = r"BEST OPTION IS\s+(.+?)(?:\.|##|\z)"
@@ -55,7 +56,7 @@ def _described(text: Column, options: Column) -> Column:
 
     def best(candidate: Column) -> Column:
         def score(entry: Column, i: Column) -> Column:
-            words = F.filter(F.split(strip(F.upper(entry["value"])), rf"(?U){SPACE}+"), lambda w: F.length(w) > 3)
+            words = F.filter(F.split(strip(F.upper(entry["value"])), f"{SPACE}+"), lambda w: F.length(w) > 3)
             share = lambda w: F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.contains(candidate, x))) / F.size(w))
             return F.struct(let(words, share).alias("share"), (-i).alias("rank"), entry["key"].alias("letter"))
 

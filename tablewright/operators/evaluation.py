@@ -53,6 +53,13 @@ def summary(rows: DataFrame, model: str, split: str, mode: str = "generative") -
     return long.agg(F.struct(*overall, *types).alias("metrics")).select(F.lit(model).alias("model"), F.lit(split).alias("split"), F.lit(mode).alias("eval_mode"), "metrics")
 
 
+def document(rows: DataFrame, summarised: DataFrame) -> DataFrame:
+    """One row: the summary with all scored rows in the order of their place, as one document (an export for readers of one file)."""
+    fields = ["example_id", "predicted_id", "predicted_letter", "correct_letter", "is_correct", "parse_failure", "raw_response"]
+    listed = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", *fields))), lambda r: F.struct(r["pos"].alias("index"), *[r[f].alias(f) for f in fields])).alias("results"))
+    return summarised.crossJoin(listed)  # one row each
+
+
 def report(result: dict) -> str:
     """A summary row (as a nested dict) as a few lines of text; types without figures are left out."""
     m = result["metrics"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import PurePath
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +25,24 @@ def _blank(text: Column) -> Column:
     return text.isNull() | (strip(text) == "")
 
 
+def flag_values(flags: Column) -> Column:
+    """Flags (map of name to variant) as 0 and 1; what is neither a number nor a truth value is null."""
+    kind = lambda v: F.schema_of_variant(v)
+    return F.transform_values(flags, lambda k, v: F.when(kind(v).isin("BOOLEAN", "BIGINT", "DOUBLE") | kind(v).startswith("DECIMAL"), F.try_variant_get(v, "$", "double")))
+
+
+def explanation_lists(explanation: Column) -> Column:
+    """An explanation (map of key to variant, a text or a list of texts) as a map of key to list; anything else is null."""
+    kind = lambda v: F.schema_of_variant(v)
+    return F.transform_values(explanation, lambda k, v: F.when(kind(v) == "STRING", F.array(F.try_variant_get(v, "$", "string"))).when(kind(v).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.try_variant_get(v, "$", "array<string>")))
+
+
 def raw_violation(query: Column, flags: Column, options: Column, answer: Column, explanation: Column) -> Column:
     """The first check that a raw record fails, or null.
 
-    flags: map of name to int; options: map of id to text; explanation: map of key to list of texts.
+    flags: map of name to variant; options: map of id to text; explanation: map of key to variant.
     """
+    flags, explanation = flag_values(flags), explanation_lists(explanation)
     ids, texts = F.map_keys(options), F.map_values(options)
     checks = [
         (query.isNull() | flags.isNull() | options.isNull() | answer.isNull() | explanation.isNull(), "missing keys"),
@@ -59,15 +75,45 @@ def first_violation(df: DataFrame, violation: str = "violation", pos: str = "pos
     return df.where(F.col(violation).isNotNull()).groupBy().agg(F.min(F.struct(pos, violation)).alias("v")).where("v is not null").select("v.*")
 
 
-def normalise(raw: DataFrame) -> DataFrame:
-    """Raw records (pos, query, query_type, options map, answer, ...) to items: ids by place, stripped query, options in order."""
+def normalise(raw: DataFrame, path: str = "") -> DataFrame:
+    """Raw records (pos, query, query_type, options map, answer, correctness_explanation) to items.
+
+    Ids by place, stripped query, options in order; the explanation as it is; where a record came from and what
+    was done to it is in source_metadata.
+    """
     query = strip(F.col("query"))
+    steps = F.when(query != F.col("query"), F.array(F.lit("strip_query_outer_whitespace"))).otherwise(F.array().cast("array<string>"))
+    flags = flag_values(F.col("query_type"))
+    # fixed value: the format of the ids
     return raw.select(
         "pos", F.format_string("rmpr-%04d", F.col("pos") + 1).alias("example_id"), query.alias("query"),
         F.transform(F.map_entries("options"), lambda e: F.struct(e["key"].alias("option_id"), e["value"].alias("text"))).alias("options"),
         F.col("answer").alias("answer_option_id"),
-        F.struct(*[(F.col("query_type")[t] == 1).alias(t) for t in TYPES]).alias("query_type_flags"),
-        F.when(query != F.col("query"), F.array(F.lit("strip_query_outer_whitespace"))).otherwise(F.array().cast("array<string>")).alias("normalisation"))
+        F.struct(*[(flags[t] == 1).alias(t) for t in TYPES]).alias("query_type_flags"), "correctness_explanation",
+        F.struct(F.lit(path).alias("raw_dataset_path"), F.col("pos").cast("long").alias("raw_index"), steps.alias("normalization")).alias("source_metadata"))
+
+
+def stats(items: DataFrame) -> DataFrame:
+    """(kind, name, n): the number of items, of each active flag, and of each signature."""
+    flags = F.col("query_type_flags")
+    active = F.array(*[F.when(flags[t], F.struct(F.lit("flag").alias("kind"), F.lit(t).alias("name"))) for t in TYPES])
+    one = lambda kind, name: F.array(F.struct(F.lit(kind).alias("kind"), name.alias("name")))
+    each = items.select(F.explode(F.array_compact(F.concat(one("items", F.lit("all")), one("signature", signature(flags)), active))).alias("x"))
+    return each.groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
+
+
+def model_inputs(scoring: DataFrame, tokenised: Column | None = None) -> DataFrame:
+    """Scoring rows (option_rows) with a tokenizer's columns (a struct) beside them; fixed fields win over the tokenizer's."""
+    if tokenised is None:
+        return scoring
+    more = scoring.select("*", tokenised.alias("_t"))
+    return more.select(*scoring.columns, *[F.col("_t")[f].alias(f) for f in more.schema["_t"].dataType.names if f not in scoring.columns])
+
+
+def source_path(path: str, root: str | None = None) -> str:
+    """A path relative to ``root`` (the working folder), or as it is if it lies elsewhere."""
+    at, base = PurePath(os.path.realpath(path)), os.path.realpath(root or os.getcwd())
+    return at.relative_to(base).as_posix() if at.is_relative_to(base) else PurePath(path).as_posix()
 
 
 def option_rows(items: DataFrame) -> DataFrame:

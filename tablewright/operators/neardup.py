@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import math
+import re
 import tempfile
 
 import pandas as pd
@@ -88,7 +89,10 @@ def kept(df: DataFrame) -> DataFrame:
     """Cut the lineage in the cluster's checkpoint folder; one of its own only where none is set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if place is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(place or tempfile.mkdtemp())
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pandas as pd
@@ -37,27 +38,65 @@ def _assign(ranked: DataFrame, sizes: DataFrame, strata: str) -> DataFrame:
     return ranked.join(sizes.drop("n"), strata).withColumn("split", split).drop("rank", "train", "validation", "test")
 
 
-def split_by_hash(df: DataFrame, key: str, strata: str, seed: int = SEED) -> DataFrame:
-    """A split column; within a stratum rows go by sha256("seed:key")."""
-    order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(strata).orderBy(order, key)))
-    return _assign(ranked, split_sizes(df, strata), strata)
+def ranked_by_hash(df: DataFrame, key: str, strata: str, seed: int = SEED) -> DataFrame:
+    """A rank column from 1 within each stratum, by sha256("seed:key"), then key.
 
+    The hash's first three digits deal a stratum to 4096 parts of about equal size; a rank is the place in its
+    part and the sizes of those before. No task sees a stratum whole, however few there are.
+    """
+    kept = df.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)).withColumn("_part", F.substring("_h", 1, 3))
+    sizes = kept.groupBy(strata, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(strata).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col(strata).alias("_stratum"), F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = kept.withColumn("_at", F.row_number().over(Window.partitionBy(strata, "_part").orderBy("_h", key)))
+    ranked = placed.join(sizes, placed[strata].eqNullSafe(sizes["_stratum"]) & (placed["_part"] == sizes["_of"]))
+    return ranked.select(*df.columns, (F.col("_before") + F.col("_at")).alias("rank"))
 
-def split_exact(df: DataFrame, key: str, strata: str, pos: str, seed: int = SEED) -> DataFrame:
-    """As split_by_hash with a Mersenne-Twister shuffle of each stratum in order of ``pos`` (one stratum, keys only, in a task)."""
+
+def ranked_exact(df: DataFrame, key: str, strata: str, pos: str, seed: int = SEED) -> DataFrame:
+    """(key, stratum, rank): each stratum in order of ``pos``, after a Mersenne-Twister shuffle.
+
+    The shuffle's seed is the first 16 hex digits of sha256("seed:stratum"). It is one sequence of draws, so a
+    stratum's keys are in one task; use ranked_by_hash where they do not fit.
+    """
 
     def shuffle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(pos)
+        rows = rows.sort_values("_pos")
         order = list(range(len(rows)))
-        random.Random(f"{seed}:{rows[strata].iloc[0]}").shuffle(order)
+        drawn = hashlib.sha256(f"{seed}:{rows[strata].iloc[0]}".encode()).hexdigest()[:16]
+        random.Random(int(drawn, 16)).shuffle(order)
         out = rows.iloc[order].copy()
         out["rank"] = range(1, len(rows) + 1)
         return out[[key, strata, "rank"]]
 
     kinds = dict(df.dtypes)
-    ranked = df.select(key, strata, pos).groupBy(strata).applyInPandas(shuffle, f"{key} {kinds[key]}, {strata} {kinds[strata]}, rank long")
-    return _assign(ranked, split_sizes(df, strata), strata)
+    return df.select(key, strata, F.col(pos).alias("_pos")).groupBy(strata).applyInPandas(shuffle, f"{key} {kinds[key]}, {strata} {kinds[strata]}, rank long")
+
+
+def split_by_hash(df: DataFrame, key: str, strata: str, seed: int = SEED) -> DataFrame:
+    """A split column; within a stratum rows go by sha256("seed:key")."""
+    return _assign(ranked_by_hash(df, key, strata, seed), split_sizes(df, strata), strata)
+
+
+def split_exact(df: DataFrame, key: str, strata: str, pos: str, seed: int = SEED) -> DataFrame:
+    """(key, stratum, split) by ranked_exact."""
+    return _assign(ranked_exact(df, key, strata, pos, seed), split_sizes(df, strata), strata)
+
+
+def manifest(split: DataFrame, key: str, strata: str, pos: str, seed: int = SEED, ratios=RATIOS) -> DataFrame:
+    """One row, the manifest as one object: metadata (strategy, seed, ratios, counts, signature counts) and splits (ids in order of ``pos``).
+
+    A document for readers of one file, so its ids are in one row; the table (split, pos, id) has no such bound.
+    """
+    names = [n for n, _ in ratios]
+    of = lambda n, c: F.when(F.col("split") == n, c)
+    ids = [F.transform(F.array_sort(F.collect_list(of(n, F.struct(pos, key)))), lambda x: x[key]).alias(n) for n in names]
+    counts = split.groupBy("split", strata).agg(F.count("*").alias("n"))
+    figures = counts.agg(
+        F.struct(*[F.coalesce(F.sum(of(n, F.col("n"))), F.lit(0)).alias(n) for n in names]).alias("counts"),
+        F.struct(*[F.map_from_entries(F.array_sort(F.collect_list(of(n, F.struct(strata, "n"))))).alias(n) for n in names]).alias("query_type_signature_counts"))
+    metadata = F.struct(F.lit("stratified_by_query_type_signature").alias("strategy"), F.lit(seed).alias("seed"), F.struct(*[F.lit(r).alias(n) for n, r in ratios]).alias("ratios"), "counts", "query_type_signature_counts")
+    return split.agg(F.struct(*ids).alias("splits")).crossJoin(figures).select(metadata.alias("metadata"), "splits")  # one row each
 
 
 def hash_sample(df: DataFrame, key: Column, limit: int | None, seed: int = SEED) -> DataFrame:
@@ -69,12 +108,22 @@ def hash_sample(df: DataFrame, key: Column, limit: int | None, seed: int = SEED)
     return df.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)).limit(limit)
 
 
+def _shares(df: DataFrame, strata: str, limit: int) -> DataFrame:
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    sizes = df.groupBy(F.col(strata).alias("name")).agg(F.count("*").alias("n"))
+    return allocate(sizes, F.least(F.lit(limit), F.sum("n").over(Window.partitionBy()))).select(F.col("name").alias(strata), "allocated")
+
+
 def stratified_sample(df: DataFrame, key: str, strata: str, limit: int, seed: int = SEED) -> DataFrame:
     """``limit`` rows shared out over strata by largest remainders, by hash within each."""
-    sizes = df.groupBy(F.col(strata).alias("name")).agg(F.count("*").alias("n"))
-    share = allocate(sizes, F.least(F.lit(limit), F.sum("n").over(Window.partitionBy()))).select(F.col("name").alias(strata), "allocated")
-    order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(strata).orderBy(order, key))).join(share, strata).where("_rank <= allocated").drop("_rank", "allocated")
+    return ranked_by_hash(df, key, strata, seed).join(_shares(df, strata, limit), strata).where("rank <= allocated").select(*df.columns)
+
+
+def stratified_sample_exact(df: DataFrame, key: str, strata: str, pos: str, limit: int, seed: int = SEED) -> DataFrame:
+    """As stratified_sample, by ranked_exact; all rows if there are no more than ``limit``. ``pos`` gives the original order."""
+    taken = ranked_exact(df, key, strata, pos, seed).join(_shares(df, strata, limit), strata).where("rank <= allocated").select(key)
+    return df.join(taken, key, "left_semi")
 
 
 def ratio_targets(train: int, ratio: float, full_share: float, has_query: bool = True, has_full: bool = True) -> tuple[int, int]:

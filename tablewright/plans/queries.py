@@ -39,11 +39,16 @@ opt AS (SELECT p.p_partkey, k, 'opt-' || o.p_partkey AS option_id, o.p_name || '
 items AS (SELECT p.p_partkey AS pos, 'ex-' || lpad((p.p_partkey + 1)::VARCHAR, 6, '0') AS example_id, 'Need a ' || p_name || ' ' || lower(p_type) AS query, p_partkey % 5 AS gold,
   p_size % 2 = 0 AS specific, p_size % 3 = 0 AS commonsense, p_size % 5 = 0 AS negated, p_size % 7 = 0 AS analogical, p_size % 11 = 0 AS temporal FROM part p)"""
 
-RESPONSES = ("A", "b", "Answer: C", "I choose option d.", "(E)", "No valid answer", "", "A) because it fits")
+#: Answers that reach every stage of the parser, and some that none may take; {} is the text of the third option.
+RESPONSES = (
+    "A", "b", "Answer: C", "I choose option d.", "(E)", "No valid answer", "", "A) because it fits", "Option c.", "I said answer: A once, yet my choice is B", "So <think> over </think> E",
+    "I like option D) or option B) or A) or C) most", "B. since A) and B) differ", "The best option is {}. Good", "So \\boxed{D} it is", "All hangs on choice E", " \t(d):\n", "Pick C, then final answer is D.", "best option is nothing like it",
+)
 
 
 def _responses(items: DataFrame) -> DataFrame:
-    return items.withColumn("raw_response", F.get(F.array(*map(F.lit, RESPONSES)), (F.col("pos") % 8).cast("int")))
+    said = F.get(F.array(*map(F.lit, RESPONSES)), (F.col("pos") % len(RESPONSES)).cast("int"))
+    return items.withColumn("raw_response", F.replace(said, F.lit("{}"), F.get("options", F.lit(2))["text"]))
 
 
 def _scored(spark, sf_dir) -> DataFrame:
@@ -69,6 +74,11 @@ def flag_counts(spark, sf_dir):
     return rows.groupBy("x.flag").agg(F.sum("x.v").alias("n"))
 
 
+def dataset_stats(spark, sf_dir):
+    """Numbers of items, of active flags and of signatures."""
+    return it.stats(mc_items(spark, sf_dir).withColumnRenamed("flags", "query_type_flags"))
+
+
 def option_scoring_rows(spark, sf_dir):
     return it.option_rows(mc_items(spark, sf_dir)).select("example_id", "option_id", "option_index", "option_text", "label")
 
@@ -104,6 +114,11 @@ def stratified_split_exact(spark, sf_dir):
     return sampling.split_exact(docs.withColumn("pos", F.col("doc_id")), "doc_id", "lang", "pos").select("doc_id", "lang", "split")
 
 
+def stratified_sample_exact(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return sampling.stratified_sample_exact(docs, "doc_id", "lang", "doc_id", 75)
+
+
 def split_lookup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("example_id"), "lang", "source")
     manifest = _doc_split(spark, sf_dir).select("split", F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("example_id"))
@@ -121,9 +136,9 @@ def prompt_completion_rows(spark, sf_dir):
 
 
 def loglikelihood_choice(spark, sf_dir):
-    """The option with the largest score, here a hash of item and letter."""
-    score = lambda x: F.pmod(F.crc32(F.concat("example_id", F.lit(x))), F.lit(5))
-    return mc_items(spark, sf_dir).select("example_id", metrics.best_choice(F.create_map(*[c for x in prompts.LETTERS for c in (F.lit(x), score(x))])).alias("choice"))
+    """The option with the largest score, the first of equals; here the score is made of the item's place and the letter's."""
+    score = lambda i: (F.col("pos") * (2 * i + 1) + i) % 5
+    return mc_items(spark, sf_dir).select("example_id", metrics.best_choice(F.create_map(*[c for i, x in enumerate(prompts.LETTERS) for c in (F.lit(x), score(i))])).alias("choice"))
 
 
 def hash_sample_topk(spark, sf_dir):
@@ -140,7 +155,8 @@ def text_key_dedup_first(spark, sf_dir):
 
 
 def _benchmark_keys(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "benchmark").select(text_key(F.split("text", r"[.]")[0]).alias("key")).distinct()
+    """The sentences of all benchmark items, whole."""
+    return _table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[.]")).alias("s")).select(text_key(F.col("s")).alias("key")).where("key <> ''").distinct()
 
 
 def _sentences(spark, sf_dir) -> DataFrame:
@@ -286,19 +302,31 @@ def sft_training_sets(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    mc_accuracy_by_type, eval_result_rows, signature_histogram, flag_counts, option_scoring_rows, validation_violations, stratified_allocation, stratified_split_hash, split_signature_histogram,
+    mc_accuracy_by_type, eval_result_rows, signature_histogram, flag_counts, dataset_stats, stratified_sample_exact, option_scoring_rows, validation_violations, stratified_allocation, stratified_split_hash, split_signature_histogram,
     stratified_split_exact, split_lookup, prompt_shuffle_exact, prompt_completion_rows, loglikelihood_choice, hash_sample_topk, stratified_sample, text_key_dedup_first, exact_dup_to_reference_anti,
     exact_dup_semi, token_jaccard_pairs, near_dup_greedy, approval_rejections, approve_query_rows, augment_variants, augment_strategy_counts, train_admission_mix, registry_latest, registry_filter,
     registry_compare, sft_conversation_pairs, evaluation_rows, generated_queries, sft_training_sets)}
 
-_SCORED = f"""WITH {_ITEMS},
-resp AS (SELECT *, CASE pos % 8 WHEN 0 THEN 'A' WHEN 1 THEN 'b' WHEN 2 THEN 'Answer: C' WHEN 3 THEN 'I choose option d.' WHEN 4 THEN '(E)' WHEN 5 THEN 'No valid answer' WHEN 6 THEN '' ELSE 'A) because it fits' END AS raw_response,
-  CASE pos % 8 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' WHEN 4 THEN 'E' WHEN 7 THEN 'A' END AS letter FROM items),
-scored AS (SELECT resp.*, o.option_id AS predicted_id, letter AS predicted_letter, 'ABCDE'[gold + 1] AS correct_letter, coalesce(letter = 'ABCDE'[gold + 1], false) AS is_correct, letter IS NULL AS parse_failure
-  FROM resp LEFT JOIN opt o ON o.p_partkey = pos AND 'ABCDE'[k + 1] = letter)"""
+_SAID = ", ".join("'" + r.replace("'", "''") + "'" for r in RESPONSES)
+_MARK = r"[).:\-]?"
+# The parser's stages in the SQL engine's own patterns, which have no lookahead: an end or one white space is matched instead.
+_SCORED = rf"""WITH {_ITEMS},
+said AS (SELECT items.*, trim(replace(replace([{_SAID}][pos % {len(RESPONSES)} + 1], '{{}}', o.text), chr(10), ' '), ' ' || chr(9)) AS raw_response,
+  upper(trim(replace([{_SAID}][pos % {len(RESPONSES)} + 1], '{{}}', o.text), ' ' || chr(9) || chr(10))) AS u FROM items JOIN opt o ON o.p_partkey = pos AND o.k = 2),
+pats(rank, pat) AS (VALUES (0, '\\BOXED\{{([A-E])\}}'), (1, '\b(?:FINAL\s+ANSWER|ANSWER|CORRECT\s+ANSWER|BEST\s+OPTION|BEST\s+MATCHING\s+RECIPE|PREDICTION|CHOICE)\s*(?:IS|:)?\s*\(?([A-E])\)?{_MARK}(?:\s|$)'),
+  (2, '\b(?:I\s+CHOOSE|I\s+PICK|I\s+SELECT|CHOOSE|PICK|SELECT)\s+(?:OPTION\s*)?\(?([A-E])\)?\b'), (3, '\b(?:MY\s+ANSWER|MY\s+CHOICE)\s*(?:IS|:)\s*\(?([A-E])\)?{_MARK}(?:\s|$)')),
+decl AS (SELECT pos, list(regexp_extract_all(u, pat, 1)[-1] ORDER BY length(u) - length(rtrim(string_split_regex(u, pat)[-1])) DESC, rank)[1] AS letter FROM said, pats WHERE len(regexp_extract_all(u, pat, 1)) > 0 GROUP BY pos),
+covered AS (SELECT pos, k, list_filter(string_split_regex(upper(text), '\s+'), lambda w: length(w) > 3) AS ws, regexp_extract_all(u, 'BEST OPTION IS\s+(.+?)(?:\.|##|$)', 1)[-1] AS told FROM said JOIN opt ON p_partkey = pos),
+fuzzy AS (SELECT pos, list(k ORDER BY share DESC, k)[1] AS k FROM (SELECT pos, k, len(list_filter(ws, lambda w: contains(told, w))) / len(ws) AS share FROM covered WHERE told IS NOT NULL) WHERE share >= 0.5 GROUP BY pos),
+staged AS (SELECT said.*, coalesce(nullif(regexp_extract(u, '^\(?([A-E])\)?{_MARK}$', 1), ''), nullif(regexp_extract(u, '^OPTION\s*([A-E]){_MARK}$', 1), ''), decl.letter,
+  CASE WHEN NOT regexp_matches(regexp_extract(u, '(?s)^(.*?(?:^|[\s>])\(?)([A-E])\)?{_MARK}\s*$', 1), '(?:OPTION|CHOICE)\s*$') THEN nullif(regexp_extract(u, '(?s)^(.*?(?:^|[\s>])\(?)([A-E])\)?{_MARK}\s*$', 2), '') END,
+  CASE WHEN len(list_distinct(list_transform(regexp_extract_all(u, 'OPTION\s+[A-E]\b|(?:^|\s)[A-E]\)'), lambda m: regexp_extract(m, '([A-E])\)?$', 1)))) < 3 THEN nullif(regexp_extract(u, '^\s*\(?([A-E])\)?[).:\-]\s+\S', 1), '') END,
+  'ABCDE'[fuzzy.k + 1]) AS letter FROM said LEFT JOIN decl USING (pos) LEFT JOIN fuzzy USING (pos)),
+scored AS (SELECT staged.*, o.option_id AS predicted_id, letter AS predicted_letter, 'ABCDE'[gold + 1] AS correct_letter, coalesce(letter = 'ABCDE'[gold + 1], false) AS is_correct, letter IS NULL AS parse_failure
+  FROM staged LEFT JOIN opt o ON o.p_partkey = pos AND 'ABCDE'[k + 1] = letter)"""
 _FLAGS = ("specific", "commonsense", "negated", "analogical", "temporal")
 _KEY = r"regexp_replace(replace(replace(lower(trim(regexp_replace({0}, '\s+', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ'), '[?.!,;:]+$', '')"
-_SENT = f"s AS (SELECT doc_id, {_KEY.format('x')} AS key FROM (SELECT doc_id, unnest(string_split(text, '.')) x FROM documents)), b AS (SELECT DISTINCT {_KEY.format('''string_split(text, '.')[1]''')} AS key FROM benchmark)"
+_SENT = f"s AS (SELECT doc_id, {_KEY.format('x')} AS key FROM (SELECT doc_id, unnest(string_split(text, '.')) x FROM documents)), b AS (SELECT DISTINCT {_KEY.format('x')} AS key FROM (SELECT unnest(string_split(text, '.')) x FROM benchmark))"
 _SPLIT = """sizes AS (SELECT lang, count(*) n FROM documents GROUP BY lang),
 t AS (SELECT *, floor(sum(n) OVER () * 0.70) AS target_t, floor(sum(n) OVER () * 0.15) AS target_v, sum(n) OVER () AS every FROM sizes),
 t1 AS (SELECT *, floor(n::DOUBLE * target_t / every) AS floor_t, n::DOUBLE * target_t / every - floor(n::DOUBLE * target_t / every) AS rest_t FROM t),
@@ -324,6 +352,13 @@ _ORDERED = """l AS (SELECT example_id, list(text ORDER BY r) ts, list(k ORDER BY
 shown AS (SELECT rows.*, ks, format('{0}', query, ts[1], ts[2], ts[3], ts[4], ts[5]) AS prompt FROM rows JOIN l USING (example_id))""".replace("{0}", _PROMPT)
 
 ORACLE_SQL = {
+    "dataset_stats": f"WITH {_ITEMS} SELECT 'items' AS kind, 'all' AS name, count(*) AS n FROM items UNION ALL SELECT 'signature', coalesce(nullif(concat_ws('|', " + ", ".join(f"CASE WHEN {f} THEN '{f.capitalize()}' END" for f in _FLAGS) + "), ''), 'None'), count(*) FROM items GROUP BY 2 " + " ".join(f"UNION ALL SELECT 'flag', '{f.capitalize()}', count(*) FROM items WHERE {f} HAVING count(*) > 0" for f in _FLAGS),
+    "loglikelihood_choice": f"WITH {_ITEMS} SELECT example_id, (SELECT list(x ORDER BY (pos * (2 * i + 1) + i) % 5 DESC, i)[1] FROM (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D'), (4, 'E')) l(i, x)) AS choice FROM items",
+    "approve_query_rows": f"""WITH {_ITEMS}, c AS (SELECT pos, example_id || '-sq-01' AS example_id, 'Any ' || substr(query, 8) || ' today' AS query, CASE WHEN pos % 5 = 0 THEN 'parent_not_in_train' WHEN pos % 9 = 0 THEN 'review_not_approved' WHEN 1 - (pos % 6) / 100.0 < 0.95 THEN 'low_answer_preservation'
+  WHEN 1 - (pos % 11) / 100.0 < 0.90 THEN 'low_semantic_preservation' WHEN (pos % 21) / 100.0 > 0.20 THEN 'high_leakage_risk' END AS reason FROM items),
+k AS (SELECT *, list_sort(list_distinct(regexp_extract_all({_KEY.format('query')}, '[\\p{{L}}\\p{{N}}_]+'))) AS ws FROM c),
+first AS (SELECT ws, min(pos) AS pos FROM k WHERE reason IS NULL GROUP BY ws)
+SELECT example_id, CASE WHEN reason IS NULL AND k.pos <> first.pos THEN 'near_duplicate_to_approved' ELSE reason END AS reason FROM k LEFT JOIN first USING (ws)""",
     "evaluation_rows": f"""WITH {_ITEMS}, rows AS (SELECT * FROM items), {_ORDERED},
 said AS (SELECT *, CASE WHEN length(prompt) % 11 <> 0 THEN (length(prompt) % 5 + 1)::INT END AS sel FROM shown)
 SELECT example_id, option_id AS predicted_id, 'ABCDE'[sel] AS predicted_letter, 'ABCDE'[list_position(ks, gold)] AS correct_letter, coalesce(ks[sel] = gold, false) AS is_correct, sel IS NULL AS parse_failure
@@ -350,7 +385,7 @@ SELECT split, example_id, prompt, 'ABCDE'[list_position(ks, gold)] AS completion
     "text_key_dedup_first": f"SELECT min(doc_id) AS doc_id, key FROM (SELECT doc_id, sha256({_KEY.format('''coalesce(text, '')''')}) AS key FROM documents) GROUP BY key",
     "exact_dup_to_reference_anti": f"WITH {_SENT} SELECT doc_id, count(*) AS n_sentences FROM s ANTI JOIN b USING (key) WHERE key <> '' GROUP BY doc_id",
     "exact_dup_semi": f"WITH {_SENT} SELECT doc_id, count(*) AS n_sentences FROM s SEMI JOIN b USING (key) WHERE key <> '' GROUP BY doc_id",
-    "token_jaccard_pairs": f"WITH k AS (SELECT item_id, list_distinct(regexp_extract_all({_KEY.format('text')}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')) w FROM benchmark), p AS (SELECT a.item_id a, b.item_id b, len(list_intersect(a.w, b.w)) i, len(a.w) x, len(b.w) y FROM k a JOIN k b ON a.item_id < b.item_id) SELECT a, b, round(i / (x + y - i), 6)::DOUBLE AS score FROM p WHERE i / (x + y - i) >= 0.1",
+    "token_jaccard_pairs": f"WITH k AS (SELECT item_id, list_distinct(regexp_extract_all({_KEY.format('text')}, '[\\p{{L}}\\p{{N}}_]+')) w FROM benchmark), p AS (SELECT a.item_id a, b.item_id b, len(list_intersect(a.w, b.w)) i, len(a.w) x, len(b.w) y FROM k a JOIN k b ON a.item_id < b.item_id) SELECT a, b, round(i / (x + y - i), 6)::DOUBLE AS score FROM p WHERE i / (x + y - i) >= 0.1",
     "approval_rejections": f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN doc_id % 50 >= 45 THEN 'missing_parent' WHEN doc_id % 50 >= 40 THEN 'parent_not_in_train' WHEN quality <> 1 THEN 'review_not_approved' WHEN {_GATE.format(7)} < 0.95 THEN 'low_answer_preservation' WHEN {_GATE.format(13)} < 0.90 THEN 'low_semantic_preservation' WHEN {_GATE.format(12)} < 0.90 THEN 'low_constraint_preservation' WHEN {_GATE.format(14)} < 0.90 THEN 'low_language_quality' WHEN ((doc_id % 25) / 100.0)::DOUBLE > 0.20 THEN 'high_leakage_risk' END AS reason FROM labels JOIN documents USING (doc_id)) WHERE reason IS NOT NULL GROUP BY reason",
     "augment_variants": _AUG + " SELECT example_id || '-aug-' || lpad(i::VARCHAR, 2, '0') AS example_id, example_id AS parent_example_id, query, strategy FROM w WHERE i <= 2",
     "augment_strategy_counts": _AUG + " SELECT strategy, count(*) AS n FROM w WHERE i <= 2 GROUP BY strategy",

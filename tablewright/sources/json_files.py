@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OPTION = "struct<option_id:string,text:string>"
@@ -14,7 +16,9 @@ FLAGS = "struct<Specific:boolean,Commonsense:boolean,Negated:boolean,Analogical:
 _SYNTHETIC = f"pos long, example_id string, query string, options array<{OPTION}>, answer_option_id string, query_type_flags {FLAGS}, synthetic_mode string, generator_model string, generation_prompt_version string, approval_batch_id string, review_status string, review_scores map<string,double>, created_at string, intended_query_type_target string, generation_notes string, review_summary string, reviewer_model string, reviewed_at string, review_prompt_version string"
 SYNTHETIC_QUERY = f"{_SYNTHETIC}, parent_example_id string, generation_method string"
 SYNTHETIC_FULL = f"{_SYNTHETIC}, seed_example_ids array<string>, correctness_explanation map<string,array<string>>, distractor_generation_method string, distribution_fit_score double"
-RAW = "array<struct<query:string,query_type:map<string,int>,options:map<string,string>,answer:string,correctness_explanation:variant>>"
+RAW = "array<struct<query:string,query_type:map<string,variant>,options:map<string,string>,answer:string,correctness_explanation:map<string,variant>>>"
+#: Fields that a prediction must have; the others may be missing.
+NEEDED = ("run_id", "phase", "provider", "model_name", "split", "example_id", "prompt_version", "raw_response", "gold_option_id", "is_correct")
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -41,9 +45,58 @@ def manifest_violation(manifest: DataFrame) -> DataFrame:
     return named.union(manifest.groupBy("example_id").count().where("count > 1").select(F.lit("id in two places"), "example_id"))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation results, one JSON document a file: a missing mode is generative."""
-    return spark.read.schema(RESULT).json(path, multiLine=True).withColumn("eval_mode", F.coalesce("eval_mode", F.lit("generative"))).withColumn("file", F.col("_metadata.file_name"))
+def _refuse(name: str, bad: Column) -> Column:
+    return F.when(bad, F.raise_error(F.lit(f"{name} is missing")))
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Prediction records as JSON lines: missing optional fields are null, missing metadata is empty, other missing fields fail the read."""
+    rows = spark.read.schema(PREDICTION).json(path, mode="FAILFAST")
+    for name in NEEDED:
+        kind = rows.schema[name].dataType
+        rows = rows.withColumn(name, F.coalesce(name, _refuse(name, F.lit(True)).cast(kind)))
+    return rows.withColumn("metadata", F.coalesce("metadata", F.parse_json(F.lit("{}"))))
+
+
+def write_predictions(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
+    write_lines(rows.select(*[f.split()[0] for f in PREDICTION.split(", ")]), path, order)
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """A frame of one row as one JSON document, readable text; null fields are kept."""
+    document.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"})).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths (or patterns) that lead to something, in order."""
+    places = [(p, spark._jvm.org.apache.hadoop.fs.Path(p)) for p in paths]
+    return [p for p, at in places if len(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or [])]
+
+
+def read_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Evaluation results, one JSON document a file: a missing mode is generative, missing figures fail the read.
+
+    Of several paths those that are not there are skipped.
+    """
+    found = existing(spark, [path] if isinstance(path, str) else path)
+    rows = spark.read.schema(RESULT).json(found, multiLine=True) if found else spark.createDataFrame([], RESULT)
+    has = lambda name: F.try_variant_get("metrics", f"$.{name}", "double").isNotNull()
+    lost = F.coalesce(*[_refuse(n, ~has(n)) for n in ("overall", "total_correct", "total")], *[_refuse(n, F.col(n).isNull()) for n in ("model", "split")])
+    rows = rows.withColumn("eval_mode", F.coalesce(lost.cast("string"), "eval_mode", F.lit("generative")))
+    return rows.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1) if found else F.lit(None).cast("string"))
+
+
+def read_config(path: str) -> dict:
+    """Settings from one JSON object; a file that is not there is empty."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return json.load(f)
+    except FileNotFoundError:
+        return {}
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:

@@ -1,11 +1,13 @@
 import random
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
 from tablewright.functions import prompts
 from tablewright.functions.parse import parse_choice
 from tablewright.functions.rewrite import variants
-from tablewright.functions.text import query_key, text_key, tokens
+from tablewright.functions.text import casefold, collapse, query_key, strip, text_key, tokens
 
 OPTIONS = {"A": "Grilled salmon", "B": "Tomato basil soup", "C": "Chocolate lava cake", "D": "Rice pudding", "E": "Chicken noodle casserole"}
 ANSWERS = [
@@ -27,6 +29,25 @@ def test_keys(spark):
     assert spark.range(1).select(tokens(F.lit("héllo you héllo"))).first()[0] == ["héllo", "you"]
 
 
+def test_text_functions_equal_the_standard_library_on_every_character(spark):
+    """But for characters that the two runtimes' Unicode versions tell apart (added after version 13)."""
+    rows = [(c, chr(c)) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.ucd_3_2_0.category(chr(c)) != "Cn"]
+    t = F.col("t")
+    df = spark.createDataFrame(rows, "c int, t string").select("c", casefold(t).alias("fold"), strip(F.concat(t, F.lit(" a "), t)).alias("bare"), tokens(F.concat(F.lit("x"), t, F.lit("y"))).alias("words"), collapse(F.concat(F.lit("x"), t, t, F.lit("y"))).alias("one"))
+    got = {r.c: r for r in df.collect()}
+    for c, x in rows:
+        assert got[c].fold == x.casefold() and got[c].bare == f"{x} a {x}".strip() and got[c].one == re.sub(r"\s+", " ", f"x{x}{x}y"), hex(c)
+        assert got[c].words == list(dict.fromkeys(re.findall(r"\w+", f"x{x}y"))), hex(c)
+
+
+def test_keys_of_long_and_odd_texts(spark):
+    texts = ["½ cup x²", "cafe\u0301 au lait", "ﬁne ŉ ſ ẞ ΑΣ Σ", " " * 1_000_000 + "a" + " " * 1_000_000 + "b" + " " * 1_000_000, "?!" * 500_000, "\u3000x\u2028 y\x85."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    key = lambda t: " ".join(t.split()).casefold().rstrip("?.!,;:")
+    got = {r.i: (r.k, r.w) for r in df.select("i", text_key(F.col("t")).alias("k"), tokens(text_key(F.col("t"))).alias("w")).collect()}
+    assert got == {i: (key(t), list(dict.fromkeys(re.findall(r"\w+", key(t))))) for i, t in enumerate(texts)}
+
+
 def test_shuffle_is_that_of_the_standard_library(spark):
     import hashlib
 

@@ -1,12 +1,15 @@
 import difflib
+import hashlib
+import json
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators import neardup, registry, sampling, synthetic
-from tablewright.operators.items import normalise, raw_violation
+from tablewright.operators.items import model_inputs, normalise, raw_violation, source_path
 from tablewright.sources import json_files
 
 
@@ -107,18 +110,17 @@ def test_registry(spark):
 
 
 def test_raw_records(spark, tmp_path):
-    import json
-
     flags = {"Specific": 1, "Commonsense": 0, "Negated": 0, "Analogical": 0, "Temporal": 1}
     record = {"query": " soup\t", "query_type": flags, "options": {f"o{i}": f"t{i}" for i in range(5)}, "answer": "o0", "correctness_explanation": {"k": ["v"]}}
     faults = [record, {**record, "query": " "}, {**record, "answer": "none"}, {**record, "options": {"o0": "x"}}, {**record, "query_type": {"Specific": 1}}, {k: v for k, v in record.items() if k != "answer"}]
     (tmp_path / "raw.json").write_text(json.dumps(faults))
     raw = json_files.read_raw(spark, str(tmp_path / "raw.json"))
-    bad = raw_violation(F.col("query"), F.col("query_type"), F.col("options"), F.col("answer"), F.from_json(F.to_json("correctness_explanation"), "map<string,array<string>>"))
+    bad = raw_violation(F.col("query"), F.col("query_type"), F.col("options"), F.col("answer"), F.col("correctness_explanation"))
     got = [r.v for r in raw.select("pos", bad.alias("v")).orderBy("pos").collect()]
     assert got == [None, "query must be a non-empty string", "answer must match one option id", "must contain exactly 5 options", "query_type keys", "missing keys"]
-    first = normalise(raw.where("pos = 0")).first()
-    assert (first.example_id, first.query, first.normalisation, first.options[4].text) == ("rmpr-0001", "soup", ["strip_query_outer_whitespace"], "t4")
+    first = normalise(raw.where("pos = 0"), "raw.json").first()
+    assert (first.example_id, first.query, first.options[4].text) == ("rmpr-0001", "soup", "t4")
+    assert first.source_metadata.asDict() == {"raw_dataset_path": "raw.json", "raw_index": 0, "normalization": ["strip_query_outer_whitespace"]}
     assert json_files.read_registry(spark, str(tmp_path / "absent")).count() == 0
     manifest = {"metadata": {}, "splits": {"train": ["a", "b"], "odd": ["b"]}}
     (tmp_path / "m.json").write_text(json.dumps(manifest))
@@ -127,6 +129,101 @@ def test_raw_records(spark, tmp_path):
     assert sorted(tuple(r) for r in json_files.manifest_violation(rows).collect()) == [("id in two places", "b"), ("unknown split", "odd")]
 
 
+def test_raw_flags_and_explanations(spark, tmp_path):
+    """Truth values and numbers are flags; explanations are texts or lists, and go along as they are."""
+    types = ("Specific", "Commonsense", "Negated", "Analogical", "Temporal")
+    record = lambda flags, why: {"query": "soup", "query_type": dict(zip(types, flags)), "options": {f"o{i}": f"t{i}" for i in range(5)}, "answer": "o0", "correctness_explanation": why}
+    why = {"z": "text é", "a": ["one", "two"]}
+    rows = [
+        (record([True, False, 1, 0, 1.0], why), None), (record([True, False, 1, 0, "1"], why), "query_type must be boolean-like"), (record([True, False, 1, 0, None], why), "query_type must be boolean-like"),
+        (record([0, 0, 0, 0, 2], why), "query_type must be boolean-like"), (record([0] * 5, {}), "explanation must be a non-empty mapping"), (record([0] * 5, {"a": []}), "explanation values must be non-empty"),
+        (record([0] * 5, {"a": [" "]}), "explanation values must be non-empty"), (record([0] * 5, {"a": 3}), "explanation values must be non-empty"), (record([0] * 5, {" ": "x"}), "explanation keys must be non-empty"), (record([0] * 5, None), "missing keys"),
+    ]
+    (tmp_path / "raw.json").write_text(json.dumps([r for r, _ in rows]))
+    raw = json_files.read_raw(spark, str(tmp_path / "raw.json"))
+    bad = raw_violation(*map(F.col, ("query", "query_type", "options", "answer", "correctness_explanation")))
+    assert [r.v for r in raw.select("pos", bad.alias("v")).orderBy("pos").collect()] == [v for _, v in rows]
+    json_files.write_lines(normalise(raw.where("pos = 0"), "raw.json"), str(tmp_path / "items"))
+    again = json.loads(spark.read.text(str(tmp_path / "items")).first()[0])
+    assert again["correctness_explanation"] == why and list(again["correctness_explanation"]) == ["z", "a"]
+    assert again["query_type_flags"] == dict(zip(types, (True, False, True, False, True))) and again["source_metadata"]["raw_index"] == 0
+
+
+def test_exact_shuffles_equal_the_standard_library(spark):
+    """Splits and samples held to a plain shuffle of each stratum, seeded by its digest."""
+    rows = [(i, f"id{i}", "abcd"[(i * i) % 7 % 4]) for i in range(203)]
+    df = spark.createDataFrame(rows, "pos long, id string, s string").repartition(5)
+    order = {}
+    for s in "abcd":
+        order[s] = [i for _, i, t in rows if t == s]
+        random.Random(int(hashlib.sha256(f"1508:{s}".encode()).hexdigest()[:16], 16)).shuffle(order[s])
+
+    def shares(sizes, target):
+        exact = {s: n * target / sum(sizes.values()) for s, n in sizes.items()}
+        got = {s: int(x) for s, x in exact.items()}
+        for s in sorted(sizes, key=lambda s: (got[s] - exact[s], s))[: target - sum(got.values())]:
+            got[s] += 1
+        return got
+
+    sizes = {s: len(x) for s, x in order.items() if x}
+    train = shares(sizes, int(203 * 0.7))
+    validation = shares({s: n - train[s] for s, n in sizes.items()}, int(203 * 0.15))
+    want = {i: "train" if n < train[s] else "validation" if n < train[s] + validation[s] else "test" for s, ids in order.items() for n, i in enumerate(ids)}
+    split = sampling.split_exact(df, "id", "s", "pos")
+    assert {r.id: r.split for r in split.collect()} == want
+    part = shares(sizes, 40)
+    assert {r.id for r in sampling.stratified_sample_exact(df, "id", "s", "pos", 40).collect()} == {i for s, ids in order.items() for i in ids[: part.get(s, 0)]}
+    assert sampling.stratified_sample_exact(df, "id", "s", "pos", 1000).count() == 203
+    with pytest.raises(ValueError):
+        sampling.stratified_sample_exact(df, "id", "s", "pos", -1)
+    # golden values of one stratum
+    assert order["a"][:3] == [r.id for r in sampling.ranked_exact(df, "id", "s", "pos").where("s = 'a'").orderBy("rank").limit(3).collect()]
+    made = json.loads(sampling.manifest(split.join(df.select("id", "pos"), "id"), "id", "s", "pos").toJSON().first())
+    assert {n: made["splits"][n] for n in ("train", "validation", "test")} == {n: [i for _, i, _ in rows if want[i] == n] for n in ("train", "validation", "test")}
+    assert made["metadata"]["counts"] == dict(Counter(want.values())) and made["metadata"]["ratios"] == {"train": 0.7, "validation": 0.15, "test": 0.15} and made["metadata"]["seed"] == 1508
+    assert made["metadata"]["query_type_signature_counts"]["test"] == dict(sorted(Counter(s for _, i, s in rows if want[i] == "test").items()))
+
+
+def test_ranks_by_hash(spark):
+    rows = [(i, "ab"[i % 3 == 0]) for i in range(500)] + [(1000, None)]
+    got = sampling.ranked_by_hash(spark.createDataFrame(rows, "id long, s string"), "id", "s").collect()
+    want = {}
+    for s in ("a", "b", None):
+        for n, (_, i) in enumerate(sorted((hashlib.sha256(f"1508:{i}".encode()).hexdigest(), i) for i, t in rows if t == s)):
+            want[i] = n + 1
+    assert {r.id: r["rank"] for r in got} == want
+
+
+def test_predictions_and_results(spark, tmp_path):
+    full = {"run_id": "r", "phase": "p", "provider": "v", "model_name": "m", "split": "test", "example_id": "e1", "prompt_version": "1", "raw_response": "é A", "parsed_choice": "A", "predicted_option_id": "o", "gold_option_id": "o", "is_correct": True, "latency_ms": 1.5, "metadata": {"t": 0}}
+    short = {k: v for k, v in full.items() if k not in ("parsed_choice", "predicted_option_id", "latency_ms", "metadata")} | {"example_id": "e2"}
+    (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, (full, short))))
+    rows = json_files.read_predictions(spark, str(tmp_path / "p.jsonl"))
+    json_files.write_predictions(rows, str(tmp_path / "out"), ["example_id"])
+    again = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert again == [full, {**short, "parsed_choice": None, "predicted_option_id": None, "latency_ms": None, "metadata": {}}]
+    (tmp_path / "bad.jsonl").write_text(json.dumps({k: v for k, v in full.items() if k != "gold_option_id"}))
+    with pytest.raises(Exception, match="gold_option_id is missing"):
+        json_files.read_predictions(spark, str(tmp_path / "bad.jsonl")).collect()
+    result = {"model": "a/b", "split": "test", "metrics": {"overall": 0.5, "total_correct": 1, "total": 2}}
+    (tmp_path / "one.json").write_text(json.dumps(result))
+    (tmp_path / "two.json").write_text(json.dumps({**result, "eval_mode": "loglikelihood"}))
+    got = json_files.read_results(spark, [str(tmp_path / "one.json"), str(tmp_path / "absent*.json"), str(tmp_path / "two.json")]).collect()
+    assert sorted((r.file, r.eval_mode) for r in got) == [("one.json", "generative"), ("two.json", "loglikelihood")]
+    assert json_files.read_results(spark, str(tmp_path / "absent.json")).collect() == []
+    (tmp_path / "one.json").write_text(json.dumps({**result, "metrics": {"overall": 0.5, "total": 2}}))
+    with pytest.raises(Exception, match="total_correct is missing"):
+        json_files.read_results(spark, str(tmp_path / "one.json")).collect()
+    assert json_files.read_config(str(tmp_path / "absent.json")) == {} and json_files.read_config(str(tmp_path / "two.json"))["split"] == "test"
+
+
+def test_model_inputs_and_paths(spark, tmp_path):
+    df = spark.createDataFrame([("e", "o", 1)], "example_id string, option_id string, label int")
+    got = model_inputs(df, F.struct(F.array(F.lit(5)).alias("input_ids"), F.lit("x").alias("option_id"))).first()
+    assert got.asDict() == {"example_id": "e", "option_id": "o", "label": 1, "input_ids": [5]}
+    assert source_path(str(tmp_path / "a" / "b.json"), str(tmp_path)) == "a/b.json" and source_path("/else/c.json", str(tmp_path)) == "/else/c.json"
+
+
 def test_stream(spark, tmp_path):
     from tests.conftest import DATA
 
