@@ -18,7 +18,7 @@ from .sources import json_files
 
 ITEM = (
     f"pos long, example_id string, query string, options array<{json_files.OPTION}>, answer_option_id string, query_type_flags {json_files.FLAGS}, correctness_explanation map<string,variant>, "
-    "source_metadata struct<raw_dataset_path:string,raw_index:bigint,normalization:array<string>>"
+    "source_metadata variant"
 )
 MANIFEST = "split string, pos long, example_id string"
 
@@ -127,7 +127,7 @@ def _review(spark, a, full: bool) -> None:
 
 def _synthetic(spark, path: str, full: bool, status: str | None = None) -> DataFrame:
     """Synthetic rows, checked: ids, provenance and, if given, the review status of every row."""
-    rows = json_files.read_lines(spark, path, json_files.SYNTHETIC_FULL if full else json_files.SYNTHETIC_QUERY)
+    rows = json_files.read_full(spark, path) if full else json_files.read_lines(spark, path, json_files.SYNTHETIC_QUERY)
     needed = ["synthetic_mode", "generator_model", "generation_prompt_version", "created_at", "intended_query_type_target", "distractor_generation_method" if full else "parent_example_id"]
     bad = F.coalesce(
         synthetic.provenance_violation(F.col("review_status"), F.col("review_scores"), [F.col(c) for c in needed]),

@@ -12,7 +12,7 @@ from ..functions.text import strip, text_key
 from .items import TYPES, signature
 from .neardup import kept
 from .providers import Client, with_replies
-from .sampling import SEED, first_occurrences, stratified_sample
+from .sampling import SEED, first_occurrences, stratified_sample_exact
 from .synthetic import explanation_map, number_candidates
 
 _FLAGS = "struct<" + ",".join(f"{t}:boolean" for t in TYPES) + ">"
@@ -71,7 +71,7 @@ def request(name: str, **parts: Column) -> Column:
 
 def _asked(train: DataFrame, flags: Column, name: str, client: Client, limit: int, most: int, seed: int) -> DataFrame:
     """(item columns, candidate_pos, c) of a stratified sample of training items; a failed or malformed reply gives no candidates."""
-    rows = stratified_sample(train.withColumn("signature", signature(flags)), "example_id", "signature", limit, seed)
+    rows = stratified_sample_exact(train.withColumn("signature", signature(flags)), "example_id", "signature", "pos", limit, seed)
     about = "parent_example" if name == "synthetic_query_generation" else "seed_example"
     asked = with_replies(rows, request(name, **{about: shown(flags), "target_query_type_signature": F.col("signature"), "max_candidates": F.lit(most)}), client)
     # kept, so that plans which read the candidates twice do not ask twice

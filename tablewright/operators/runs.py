@@ -22,6 +22,11 @@ EVENT = (
     f"command array<string>, environment map<string,string>, input_artifacts array<{ARTIFACT}>, output_artifacts array<{ARTIFACT}>, metrics map<string,double>, metadata map<string,string>"
 )
 
+MANIFEST = (
+    f"schema_version string, run_id string, run_type string, status string, created_at string, finished_at string, entrypoint string, command array<string>, git_commit string, git_dirty boolean, environment variant, "
+    f"input_artifacts array<{ARTIFACT}>, output_artifacts array<{ARTIFACT}>, model variant, prompt variant, metrics variant, parent_run_id string, metadata variant"
+)
+
 
 def now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -49,6 +54,15 @@ def read_events(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.schema(EVENT).json(log, mode="FAILFAST").withColumn("seq", F.coalesce("seq", F.lit(0)))
 
 
+def read_manifests(spark: SparkSession, root: str) -> DataFrame:
+    """The manifests of a folder, ``root``/runs/<run>/run_manifest.json, in order of their paths; without any the table is empty."""
+    pattern = f"{root}/runs/*/run_manifest.json"
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    if not len(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).json(pattern, multiLine=True, mode="FAILFAST").orderBy(F.col("_metadata.file_path"))
+
+
 def current(events: DataFrame) -> DataFrame:
     """One row a run: its latest event, by partial maxima of the sequence number and then by a join."""
     top = latest(events.select("run_id", "seq"), "run_id", ["seq"])
@@ -77,8 +91,10 @@ def artifact_refs(spark: SparkSession, paths: dict[str, str]) -> list[dict]:
         if ref["exists"] and files.getFileStatus(where).isDirectory():
             ref |= {"artifact_type": "dir", "size_bytes": files.getContentSummary(where).getLength()}
         elif ref["exists"]:
-            found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256), "length").first()
-            ref |= {"artifact_type": "file", "sha256": found[0], "size_bytes": found[1]}
+            stream = files.open(where)  # digested as a stream, whatever its size
+            digest = spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+            stream.close()
+            ref |= {"artifact_type": "file", "sha256": digest, "size_bytes": files.getFileStatus(where).getLen()}
         out.append(ref)
     return out
 

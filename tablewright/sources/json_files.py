@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.items import explanation_lists
+
 OPTION = "struct<option_id:string,text:string>"
 EXAMPLE = f"example_id string, query string, options array<{OPTION}>, answer_option_id string, query_type_flags struct<Specific:boolean,Commonsense:boolean,Negated:boolean,Analogical:boolean,Temporal:boolean>, correctness_explanation variant, source_metadata variant"
 PREDICTION = "run_id string, phase string, provider string, model_name string, split string, example_id string, prompt_version string, raw_response string, parsed_choice string, predicted_option_id string, gold_option_id string, is_correct boolean, latency_ms double, metadata variant"
@@ -16,6 +18,9 @@ FLAGS = "struct<Specific:boolean,Commonsense:boolean,Negated:boolean,Analogical:
 _SYNTHETIC = f"pos long, example_id string, query string, options array<{OPTION}>, answer_option_id string, query_type_flags {FLAGS}, synthetic_mode string, generator_model string, generation_prompt_version string, approval_batch_id string, review_status string, review_scores map<string,double>, created_at string, intended_query_type_target string, generation_notes string, review_summary string, reviewer_model string, reviewed_at string, review_prompt_version string"
 SYNTHETIC_QUERY = f"{_SYNTHETIC}, parent_example_id string, generation_method string"
 SYNTHETIC_FULL = f"{_SYNTHETIC}, seed_example_ids array<string>, correctness_explanation map<string,array<string>>, distractor_generation_method string, distribution_fit_score double"
+_MADE = f"{_SYNTHETIC}, seed_example_ids array<string>, distractor_generation_method string, distribution_fit_score double".split("query_type_flags " + FLAGS + ", ")[1]
+#: Full synthetic records as two nested objects: the item, and where it is from.
+NESTED_FULL = f"recipe_example struct<{EXAMPLE}>, provenance struct<{_MADE}>"
 RAW = "array<struct<query:string,query_type:map<string,variant>,options:map<string,string>,answer:string,correctness_explanation:map<string,variant>>>"
 #: Fields that a prediction must have; the others may be missing.
 NEEDED = ("run_id", "phase", "provider", "model_name", "split", "example_id", "prompt_version", "raw_response", "gold_option_id", "is_correct")
@@ -32,6 +37,26 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def read_full(spark: SparkSession, path: str) -> DataFrame:
+    """Full synthetic rows as JSON lines, flat (SYNTHETIC_FULL) or nested (NESTED_FULL); rows without a place get one in the order of the file."""
+    flat = SYNTHETIC_FULL.replace("correctness_explanation map<string,array<string>>", "correctness_explanation map<string,variant>")
+    rows = spark.read.schema(f"{flat}, {NESTED_FULL.replace('correctness_explanation variant', 'correctness_explanation map<string,variant>')}").json(path, mode="FAILFAST")
+    nested = {n: F.col(p)[n] for p in ("recipe_example", "provenance") for n in rows.schema[p].dataType.names}
+    named = {c: F.coalesce(F.col(c), nested[c]) if c in nested else F.col(c) for c in rows.columns if c not in ("recipe_example", "provenance")}
+    named["pos"] = F.coalesce("pos", F.monotonically_increasing_id())
+    named["correctness_explanation"] = explanation_lists(named["correctness_explanation"])
+    return rows.select(*[c.alias(n) for n, c in named.items()])
+
+
+def write_nested_full(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Full synthetic rows as nested records, one JSON object a line."""
+    made = [c for c in rows.columns if c in {f.split()[0] for f in _MADE.split(", ")}]
+    empty = F.parse_json(F.lit("{}"))
+    item = F.struct("example_id", "query", "options", "answer_option_id", "query_type_flags", "correctness_explanation", empty.alias("source_metadata"))
+    ordered = rows.orderBy(*order) if order else rows
+    write_lines(ordered.select(item.alias("recipe_example"), F.struct(*made).alias("provenance")), path)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A split manifest, one JSON object: (split, pos, example_id)."""
     text = spark.read.text(path, wholetext=True)

@@ -210,3 +210,15 @@ def test_run_commands(spark, files, capsys):
     assert done.metrics["total"] == 3.0 and done.command[0] == "run-eval" and run("promote-run", "--registry", at("log"), "--run-id", done.run_id, "--stage", "validated") == 0
     assert run("list-runs", "--registry", at("log"), "--stage", "validated") == 0
     assert done.run_id in capsys.readouterr().out
+    document = json.loads("\n".join(r[0] for r in spark.read.text(at("eval/result.json")).collect()))
+    assert document["metrics"]["total"] == 3 and [r["index"] for r in document["results"]] == sorted(r["index"] for r in document["results"]) and len(document["results"]) == 3
+    assert json_files.read_results(spark, at("eval/result.json")).first().model == "m"
+    trained = next(r for r in state if r.run_type == "train" and r.status == "completed")
+    data = [*data[:-2]]
+    assert run("run-eval", *data, "--output", at("eval2"), "--client", f"{me}:client", "--limit", 2, "--parent-run-id", trained.run_id) == 0
+    child = next(r for r in runs.current(runs.read_events(spark, at("log"))).collect() if r.parent_run_id)
+    assert child.model_name == runs.parent_model(runs.current(runs.read_events(spark, at("log"))), trained.run_id)
+    assert run("run-eval", *data, "--output", at("eval3"), "--client", f"{me}:client") == 1
+    assert run("run-eval", *data, "--output", at("eval3"), "--client", f"{me}:client", "--parent-run-id", done.run_id) == 1
+    capsys.readouterr()
+    assert run("compare-runs", "--registry", at("log"), "--run-id", done.run_id) == 0 and "overall" in capsys.readouterr().out

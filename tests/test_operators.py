@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import neardup, registry, sampling, synthetic
+from tablewright.operators import neardup, registry, runs, sampling, synthetic
 from tablewright.operators.items import model_inputs, normalise, raw_violation, source_path
 from tablewright.sources import json_files
 
@@ -217,6 +217,27 @@ def test_predictions_and_results(spark, tmp_path):
     assert json_files.read_config(str(tmp_path / "absent.json")) == {} and json_files.read_config(str(tmp_path / "two.json"))["split"] == "test"
 
 
+def test_nested_full_records_and_run_manifests(spark, tmp_path):
+    flags = {"Specific": True, "Commonsense": False, "Negated": False, "Analogical": False, "Temporal": True}
+    item = {"example_id": "s1", "query": "q", "options": [{"option_id": f"o{i}", "text": f"t{i}"} for i in range(5)], "answer_option_id": "o0", "query_type_flags": flags, "correctness_explanation": {"k": "v", "l": ["a", "b"]}, "source_metadata": {}}
+    made = {"synthetic_mode": "full_generation", "generator_model": "m", "review_status": "pending", "review_scores": {"a": 0.5}, "seed_example_ids": ["e1"], "distractor_generation_method": "d", "distribution_fit_score": 0.25}
+    (tmp_path / "full.jsonl").write_text(json.dumps({"recipe_example": item, "provenance": made}))
+    rows = json_files.read_full(spark, str(tmp_path / "full.jsonl"))
+    got = rows.first()
+    assert (got.example_id, got.options[4].text, got.correctness_explanation, got.seed_example_ids, got.review_scores, got.distribution_fit_score) == ("s1", "t4", {"k": ["v"], "l": ["a", "b"]}, ["e1"], {"a": 0.5}, 0.25)
+    json_files.write_nested_full(rows, str(tmp_path / "nested"))
+    json_files.write_lines(rows, str(tmp_path / "flat"))
+    again = [json_files.read_full(spark, str(tmp_path / p)).first() for p in ("nested", "flat")]
+    assert again[0] == again[1] == got
+    assert runs.read_manifests(spark, str(tmp_path)).collect() == []
+    for name in ("b", "a"):
+        (tmp_path / "runs" / name).mkdir(parents=True)
+        (tmp_path / "runs" / name / "run_manifest.json").write_text(json.dumps({"run_id": name, "run_type": "eval", "metrics": {"overall": 0.5}, "command": ["x"]}, indent=2))
+    assert [(r.run_id, r.command) for r in runs.read_manifests(spark, str(tmp_path)).collect()] == [("a", ["x"]), ("b", ["x"])]
+    ref, = runs.artifact_refs(spark, {"f": str(tmp_path / "full.jsonl")})
+    assert ref["sha256"] == hashlib.sha256((tmp_path / "full.jsonl").read_bytes()).hexdigest() and ref["size_bytes"] == (tmp_path / "full.jsonl").stat().st_size
+
+
 def test_model_inputs_and_paths(spark, tmp_path):
     df = spark.createDataFrame([("e", "o", 1)], "example_id string, option_id string, label int")
     got = model_inputs(df, F.struct(F.array(F.lit(5)).alias("input_ids"), F.lit("x").alias("option_id"))).first()
