@@ -36,7 +36,7 @@ def _model(path: str):
 
 
 class ChunkTable:
-    """Ids and decoded surface of each distinct chunk of a text, its first one left out."""
+    """Ids (as text) of each distinct chunk of a text, its first one left out; and the chunks that do not decode to themselves."""
 
     def __init__(self, path: str, most: int = 300_000):
         self.model, self.most = _model(path), most
@@ -45,26 +45,22 @@ class ChunkTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.text: list[str] = []
-        self.shown: list[str] = []
+        self.shown: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.place) > self.most:
+        if len(self.shown) > self.most:
             self._clear()
-        new = [c for c in chunks if c not in self.place]
+        new = [c for c in chunks if c not in self.shown]
         # the model marks a text's begin as a space does, so a space is left to it; a line break shields the others
         asked = self.model.encode([c[1:] if c[0] == " " else "\n" + c for c in new], num_threads=1)
-        for c, ids in zip(new, asked):
-            if c == " ":
-                ids = [self.space]
-            elif c[0] != " ":
-                ids = ids[1 + len(self.line) :]
-            self.place[c] = len(self.ids)
-            self.ids.append(ids)
-            self.shown.append(",".join(map(str, ids)))
-        self.text += [t[1:] for t in self.model.decode([self.line + ids for ids in self.ids[len(self.text) :]], num_threads=1)] if new else []
+        skip = 1 + len(self.line)
+        asked = [[self.space] if c == " " else ids if c[0] == " " else ids[skip:] for c, ids in zip(new, asked)]
+        told = self.model.decode([self.line + ids for ids in asked], num_threads=1) if new else []
+        for c, ids, text in zip(new, asked, told):
+            self.shown[c] = ",".join(map(str, ids))
+            if text[1:] != c or not ids:
+                self.odd[c] = text[1:]
 
 
 def _code(path: str, with_ids: bool):
@@ -77,22 +73,23 @@ def _code(path: str, with_ids: bool):
             texts = [t or "" for t in b.column(1).to_pylist()]
             cut = [None if MARK in t else _CHUNK.findall(t) for t in texts]
             table.learn({c for chunks in cut if chunks for c in chunks[1:]})
-            place, shown, surface, known = table.place, table.shown, table.text, table.ids
+            shown, odd = table.shown, table.odd
             out = []
             for text, chunks in zip(texts, cut):
-                if chunks is None:  # the marker itself in a text: the library takes it whole
+                if not chunks:  # nothing, or the marker itself in a text: the library takes it whole
                     ids = model.encode(text)
-                    code, back, n = ",".join(map(str, ids)), model.decode(ids), len(ids)
-                elif chunks:
-                    first = model.encode(chunks[0])
-                    at = [place[c] for c in chunks[1:]]
-                    code = ",".join([",".join(map(str, first)), *[shown[i] for i in at]])
-                    back = model.decode(first) + "".join([surface[i] for i in at])
-                    n = len(first) + sum([len(known[i]) for i in at])
-                    ids = first + [x for i in at for x in known[i]] if with_ids else None
+                    code, back = ",".join(map(str, ids)), model.decode(ids)
                 else:
-                    code, back, n, ids = "", "", 0, []
-                out.append((n, hashlib.sha256(code.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), ids))
+                    head, first, rest = chunks[0], model.encode(chunks[0]), chunks[1:]
+                    parts = [",".join(map(str, first)), *[shown[c] for c in rest]]
+                    if odd.keys().isdisjoint(rest):
+                        back = model.decode(first) + text[len(head) :]
+                    else:
+                        parts = [p for p in parts if p]
+                        back = model.decode(first) + "".join([odd.get(c, c) for c in rest])
+                    code = ",".join(parts)
+                n = code.count(",") + 1 if code else 0
+                out.append((n, hashlib.sha256(code.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), [int(x) for x in code.split(",") if x] if with_ids else None))
             if out:
                 n, code, back, ids = zip(*out)
                 cols = [b.column(0), pa.array(n, pa.int64()), pa.array(code), pa.array(back)]

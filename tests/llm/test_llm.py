@@ -402,6 +402,38 @@ def test_piece_coding_equals_the_library(spark, table):
         assert r.ids == want and r.n_tokens == len(want) and r.ids_sha256 == sha(",".join(map(str, want))) and r.decoded_sha256 == sha(model.decode(want))
 
 
+def test_each_chunk_of_a_task_reaches_the_library_once():
+    table, asked = piece_coding.ChunkTable(MODEL()), Counter()
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def encode(self, texts, **more):
+            asked.update(texts)
+            return self.model.encode(texts, **more)
+
+        def decode(self, ids, **more):
+            return self.model.decode(ids, **more)
+
+    table.model = Counted(table.model)
+    r = random.Random(3)
+    for _ in range(20):
+        table.learn({r.choice([" ", "\n", " word", "wörd", "  two"]) + str(r.randrange(50)) for _ in range(30)} | {" ", "\n", "   "})
+    assert set(asked.values()) == {1}
+
+
+def test_piece_coding_of_odd_characters(table):
+    """Every character of a few planes, alone, inside words and beside blanks, held to the library."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL())
+    rows = [(i, "".join(f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}\n{chr(c)}" for c in range(i * 64, i * 64 + 64) if not 0xD800 <= c < 0xE000)) for i in range(0, 1100)]
+    for r in piece_coding.piece_coding(table(rows, "doc_id long, text string"), MODEL()).collect():
+        ids = model.encode(dict(rows)[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(model.decode(ids))), r.doc_id
+
+
 @given(st.sampled_from(["user", "assistant", "a\\n\nb", "<s>"]), st.text(alphabet="a\\<s>/[INST]\n", max_size=30))
 @settings(max_examples=300, deadline=None)
 def test_template_reads_back(role, text):
