@@ -32,6 +32,14 @@ SPECIAL = "<|endoftext|>"
 _GAP = re.compile(r"\s{10000}")
 
 
+@lru_cache(maxsize=2)
+def _library(json_path: str):
+    """Read when a text needs it: few do, and every worker would hold it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(json_path)
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(json_path: str, ranks_path: str, pattern: str):
     """Ids of the JSON tokenizer, made by the faster reader of the same vocabulary.
@@ -40,16 +48,14 @@ def _tokenizer(json_path: str, ranks_path: str, pattern: str):
     reads white space of any length: such texts go to it.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(n) for a, n in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
         if SPECIAL in text or (len(text) >= 10_000 and _GAP.search(text)):
-            return slow.encode(text, add_special_tokens=False).ids
+            return _library(json_path).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode

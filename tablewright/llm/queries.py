@@ -67,12 +67,8 @@ BLOCKED = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "sp
 def op7_url_filter(spark, sf_dir):
     """Blocked are domains such as casino-win.example.com; that their subdomains are is found along the graph."""
     seeds = lambda hosts: spark.createDataFrame([(h, 1.0) for h in hosts], "host string, weight double")
-    return url_filter.url_filter(table(spark, sf_dir, "pages"), RULES, seeds(TRUSTED), seeds([f"{b}.{t}" for b in BLOCKED for t in TRUSTED]))
-
-
-def op7_url_rules(spark, sf_dir):
-    """The part of op7 that SQL can say: host, path and rule of every page."""
-    return op7_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+    judged = url_filter.url_filter(table(spark, sf_dir, "pages"), RULES, seeds(TRUSTED), seeds([f"{b}.{t}" for b in BLOCKED for t in TRUSTED]))
+    return judged.drop("trust", "distrust")  # sums of floats: their last digits depend on the order
 
 
 def op8_piece_coding(spark, sf_dir):
@@ -103,7 +99,6 @@ QUERIES = {
     "op5_chat_layouts": op5_chat_layouts,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
-    "op7_url_rules": op7_url_rules,
     "op8_piece_coding": op8_piece_coding,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
@@ -133,12 +128,27 @@ SELECT conv_id, count_if(told)::BIGINT AS n_turns, sha256(coalesce(string_agg(r
   coalesce(sum(length(t)) FILTER (told AND r = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (told AND r = 'assistant'), '')) AS loss_sha256,
   coalesce(sum(length(t) + length(t) - length(replace(t, chr(92), '')) + len(regexp_extract_all(t, '<s>|</s>|\[INST\]|\[/INST\]')) + CASE WHEN r = 'assistant' THEN 7 ELSE 14 + length(r) END) FILTER (told), 0)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id""",
-    "op7_url_rules": r"""
-WITH u AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    # both walks as sums over paths of at most 90 links; rows under 1e-7 end a path, so cycles end too
+    "op7_url_filter": r"""
+WITH RECURSIVE u AS (SELECT page_id, coalesce(html, '') AS html, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+refs AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']?((?:https?:)?//[^"''\s>]+)', 1)) AS ref FROM p),
+links AS (SELECT src, translate(regexp_extract(ref, '//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM refs),
+named AS (SELECT src, dst, count(*)::DOUBLE AS w FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+hosts AS (SELECT dst AS host FROM named UNION SELECT host FROM p WHERE host <> ''),
+up(src, dst) AS (SELECT host, array_to_string(string_split(host, '.')[2:], '.') FROM hosts WHERE len(string_split(host, '.')) > 2 UNION SELECT dst, array_to_string(string_split(dst, '.')[2:], '.') FROM up WHERE len(string_split(dst, '.')) > 2),
+edges AS (SELECT src, dst, w FROM named UNION ALL SELECT src, dst, 1.0 FROM up),
+forward AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM edges),
+backward AS (SELECT dst AS src, src AS dst, w / sum(w) OVER (PARTITION BY dst) AS share FROM edges),
+good(host) AS (VALUES ('example.com'), ('example.net'), ('example.org')),
+bad AS (SELECT b || '.' || host AS host FROM good, (VALUES ('adult-x'), ('ads-track'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) x(b)),
+tw(host, s, i) AS (SELECT host, 1.0::DOUBLE / 3, 0 FROM good UNION ALL SELECT dst, 0.85 * s * share, i + 1 FROM tw JOIN forward ON src = host WHERE i < 90 AND s > 1e-7),
+dw(host, s, i) AS (SELECT host, 1.0::DOUBLE / 18, 0 FROM bad UNION ALL SELECT dst, 0.85 * s * share, i + 1 FROM dw JOIN backward ON src = host WHERE i < 90 AND s > 1e-7),
+t AS (SELECT host, sum(s) / (SELECT sum(s) FROM tw) AS trust FROM tw GROUP BY host), d AS (SELECT host, sum(s) / (SELECT sum(s) FROM dw) AS distrust FROM dw GROUP BY host),
 rules(verdict, name, prefix) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 fit AS (SELECT page_id, name || prefix AS rule, verdict FROM p JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, prefix) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(name || prefix) DESC) = 1)
-SELECT page_id, host, path, rule, verdict AS rule_verdict FROM p LEFT JOIN fit USING (page_id)""",
+SELECT page_id, p.host, path, rule, coalesce(verdict, CASE WHEN coalesce(distrust, 0) > 0.5 * (coalesce(trust, 0) + coalesce(distrust, 0)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit USING (page_id) LEFT JOIN t ON t.host = p.host LEFT JOIN d ON d.host = p.host""",
     "op3_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) i FROM d)),
