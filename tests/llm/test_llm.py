@@ -402,25 +402,38 @@ def test_piece_coding_equals_the_library(spark, table):
         assert r.ids == want and r.n_tokens == len(want) and r.ids_sha256 == sha(",".join(map(str, want))) and r.decoded_sha256 == sha(model.decode(want))
 
 
-def test_each_chunk_of_a_task_reaches_the_library_once():
-    table, asked = piece_coding.ChunkTable(MODEL()), Counter()
-
-    class Counted:
-        def __init__(self, model):
-            self.model = model
-
-        def encode(self, texts, **more):
-            asked.update(texts)
-            return self.model.encode(texts, **more)
-
-        def decode(self, ids, **more):
-            return self.model.decode(ids, **more)
-
-    table.model = Counted(table.model)
-    r = random.Random(3)
-    for _ in range(20):
-        table.learn({r.choice([" ", "\n", " word", "wörd", "  two"]) + str(r.randrange(50)) for _ in range(30)} | {" ", "\n", "   "})
-    assert set(asked.values()) == {1}
+def test_each_chunk_of_the_corpus_reaches_the_library_once(spark, monkeypatch):
+    """Two tasks' blocks, their owners and the answers, with the library's calls counted."""
+    import pyarrow as pa
+
+    asked, learn = Counter(), piece_coding.ChunkTable.learn
+
+    def counted(self, chunks):
+        asked.update(c for c in chunks if c not in self.shown)
+        learn(self, chunks)
+
+    monkeypatch.setattr(piece_coding.ChunkTable, "learn", counted)
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()] + [None, "", "\n \n", "▁ a", "one"]
+    rows = []
+    for task in range(2):
+        mine = texts[task::2]
+        numbers = pa.array(range(len(mine)), pa.int64())
+        batch = pa.RecordBatch.from_arrays([numbers, pa.array(mine, pa.string()), pa.array([n.as_py() + (task << 33) for n in numbers], pa.int64())], names=["doc_id", "text", "uid"])
+        for out in piece_coding._words(20_000, 5)([batch.slice(0, 7), batch.slice(7)]):
+            rows += out.to_pylist()
+    assert len({r["block"] for r in rows}) > 4
+    rows.sort(key=lambda r: r["part"])
+    told = [r for out in piece_coding._owner(MODEL())([pa.RecordBatch.from_pylist(rows[:9], schema=piece_coding._rows([(0, 0, 0, b"")]).schema), pa.RecordBatch.from_pylist(rows[9:], schema=piece_coding._rows([(0, 0, 0, b"")]).schema)]) for r in out.to_pylist()]
+    assert [(r["block"], r["part"]) for r in told] == [(r["block"], r["part"]) for r in rows]
+    want = {c for t in texts if t for c in (piece_coding._cut(t) or [])[1:]}
+    assert set(asked) == want and set(asked.values()) == {1}
+
+
+@pytest.mark.parametrize("block", [1, 300, 10_000])
+def test_blocks_of_any_size_give_the_same_codes(spark, block):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    show = lambda d: sorted(map(tuple, d.collect()))
+    assert show(piece_coding.piece_coding(docs, MODEL(), block=block)) == show(piece_coding.piece_coding(docs, MODEL()))
 
 
 def test_piece_coding_of_odd_characters(table):
