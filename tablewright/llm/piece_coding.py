@@ -51,11 +51,14 @@ class ChunkTable:
         self.model, self.most = _model(path), most
         self.space = self.model.piece_to_id(MARK)
         self.line = self.model.encode("\n")[1:]
-        self.clear()
-
-    def clear(self) -> None:
         self.shown: dict[str, str] = {}
         self.odd: dict[str, str] = {}
+        self.learn(["\n"])
+        self._line = dict(self.shown), dict(self.odd)
+
+    def clear(self) -> None:
+        """Forget all but the line break."""
+        self.shown, self.odd = map(dict, self._line)
 
     def learn(self, chunks) -> None:
         if len(self.shown) > self.most:
@@ -78,7 +81,7 @@ def _packed(**columns: pa.Array) -> bytes:
     """A record batch as compressed bytes."""
     batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -88,6 +91,11 @@ def _unpacked(body) -> list[list]:
         return [c.to_pylist() for c in read.read_next_batch().columns]
 
 
+def _joined(values: list[str]) -> pa.Array:
+    """One string of values without line breaks, which packs better than a list."""
+    return pa.array(["\n".join(values)], pa.large_string())
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     block, kind, part, body = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(body, pa.binary())], names=["block", "kind", "part", "body"])
@@ -126,13 +134,14 @@ def _texts(most: int):
 
 
 def _words(most: int, buckets: int):
-    """Rows of kind 0: the distinct chunks of a block, one row a bucket."""
+    """Rows of kind 0: the distinct chunks of a block but the line break, one row a bucket."""
 
     def told(block: int, seen: set[str]):
+        seen.discard("\n")
         dealt: list[list[str]] = [[] for _ in range(buckets)]
         for c in seen:
             dealt[zlib.crc32(c.encode()) % buckets].append(c)
-        rows = [(block, 0, n, _packed(chunk=pa.array(sorted(chunks), pa.large_string()))) for n, chunks in enumerate(dealt) if chunks]
+        rows = [(block, 0, n, _packed(chunks=_joined(sorted(chunks)))) for n, chunks in enumerate(dealt) if chunks]
         for i in range(0, len(rows), 64):
             yield _rows(rows[i : i + 64])
 
@@ -162,10 +171,12 @@ def _owner(path: str):
                 if part != bucket:
                     bucket = part
                     table.clear()
-                (chunks,) = _unpacked(body)
+                chunks = _unpacked(body)[0][0].split("\n")
                 table.learn(chunks)
-                shown, odd = table.shown, table.odd
-                out.append((block, kind, part, _packed(chunk=pa.array(chunks, pa.large_string()), ids=pa.array([shown[c] for c in chunks], pa.large_string()), odd=pa.array([odd.get(c) for c in chunks], pa.large_string()))))
+                odd = [c for c in chunks if c in table.odd]
+                told = {"chunks": _joined(chunks), "ids": _joined([table.shown[c] for c in chunks])}
+                told |= {"odd": pa.array([odd], pa.list_(pa.large_string())), "read": pa.array([[table.odd[c] for c in odd]], pa.list_(pa.large_string()))}
+                out.append((block, kind, part, _packed(**told)))
             if out:
                 yield _rows(out)
 
@@ -201,9 +212,9 @@ def _code(path: str, with_ids: bool):
                     current = block
                     table.clear()
                 if kind == 0:
-                    chunks, ids, odd = _unpacked(body)
-                    table.shown.update(zip(chunks, ids))
-                    table.odd.update((c, o) for c, o in zip(chunks, odd) if o is not None)
+                    (chunks,), (ids,), (odd,), (read,) = _unpacked(body)
+                    table.shown.update(zip(chunks.split("\n"), ids.split("\n")))
+                    table.odd.update(zip(odd, read))
                     continue
                 docs, texts = _unpacked(body)
                 n, code, back, ids = zip(*[coded(t, table) for t in texts])
@@ -213,20 +224,20 @@ def _code(path: str, with_ids: bool):
     return run
 
 
-def piece_coding(docs: DataFrame, model_path: str, with_ids: bool = False, block: int = 24_000_000) -> DataFrame:
+def piece_coding(docs: DataFrame, model_path: str, with_ids: bool = False, block: int = 40_000_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are ignored): doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for.
 
     Ids are those of the library's encode of the whole text (null: empty), without begin or end ids;
     the decoded text is that of its decode of these ids. An empty text has no ids. An empty table
     gives an empty result; repeated rows give repeated results. A block ends at the text that brings
     it to ``block`` characters; a longer text is a block of its own or ends one. There are as many
-    buckets as shuffle partitions. ``docs`` must be a deterministic read (files): it is read for the
+    buckets as shuffle partitions, or as files' splits if these are more. ``docs`` must be a deterministic read (files): it is read for the
     words and for the texts, and both must form the same blocks.
     """
     spark = docs.sparkSession
     prepare(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = with_uid(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     words = rows.mapInArrow(_words(block, buckets), _ROWS).repartition(buckets, "part").sortWithinPartitions("part")
     answers = words.mapInArrow(_owner(model_path), _ROWS)
     met = answers.unionByName(rows.mapInArrow(_texts(block), _ROWS)).repartition(buckets, "block").sortWithinPartitions("block", "kind", "part")
