@@ -498,6 +498,58 @@ def test_toxicity_on_held_out_rows(spark):
     assert missed <= 0.15 * bad and wrong <= 0.005 * clean
 
 
+def _newton(x, y, ridge=1e-3):
+    """Weights and bias (unpenalised) at the optimum of the logistic loss, by Newton steps over dense rows."""
+    n, k = x.shape
+    full, w, penalty = np.column_stack([x, np.ones(n)]), np.zeros(k + 1), np.append(np.full(k, ridge / 8), 0)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-full @ w))
+        step = np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full / n + np.diag(penalty + 1e-12), full.T @ (p - y) / n + penalty * w)
+        w -= step
+        if abs(step).max() < 1e-10:
+            break
+    return lambda rows: 1 / (1 + np.exp(-(np.column_stack([rows, np.ones(len(rows))]) @ w)))
+
+
+def test_toxicity_equals_a_brute_force_chain(spark, table, monkeypatch):
+    """Both links, their out-of-fold features, the threshold and the verdicts, on few words, where no feature is left out."""
+    from functools import partial
+
+    monkeypatch.setattr(toxicity, "fit_linear", partial(toxicity.fit_linear, steps=4000))
+    r, texts, labels = random.Random(11), {}, {}
+    for d in range(420):
+        bad = r.random() < 0.3
+        low = r.random() < (0.8 if bad else 0.2)
+        said = [f"w{r.randrange(24)}" for _ in range(12)] + ["vile"] * (bad and r.random() < 0.8) + ["sloppy"] * (low and r.random() < 0.7)
+        texts[d], labels[d] = " ".join(r.sample(said, len(said))), (int(not low), int(bad))
+    known = [d for d in texts if d % 7]  # the others are only scored
+    words_of = {d: set(t.split()) for d, t in texts.items()}
+    vocabulary = sorted(set().union(*words_of.values()))
+    every = np.array([[w in words_of[d] for w in vocabulary] for d in texts], float)
+    x, fold = every[known], np.arange(len(known)) % 3
+    held, scores = np.zeros((len(known), 0)), np.zeros((len(texts), 0))
+    for link in range(2):
+        y = np.array([1 - labels[d][0] if link == 0 else labels[d][1] for d in known], float)
+        seen, out = np.column_stack([x, held]), np.zeros(len(known))
+        for f in range(3):
+            out[fold == f] = _newton(seen[fold != f], y[fold != f])(seen[fold == f])
+        scores = np.column_stack([scores, _newton(seen, y)(np.column_stack([every, scores]))])
+        held = np.column_stack([held, out])
+    quality = {}
+    for t in np.linspace(0.1, 0.9, 17):
+        flagged = out >= t
+        quality[t] = 1.25 * y[flagged].sum() / max(1.0, flagged.sum() + 0.25 * y.sum())
+    best = [t for t, q in quality.items() if q >= max(quality.values()) - 1e-9]
+    threshold = best[len(best) // 2]
+
+    got = toxicity.toxicity(table(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(d, *labels[d]) for d in known], "doc_id long, quality int, toxic int"), {"low_quality": "1 - quality", "toxic": "toxic"})
+    rows = got.collect()
+    assert sorted(g.doc_id for g in rows) == sorted(texts) and {g.toxic for g in rows} == {True, False}
+    for g in rows:
+        assert abs(g.p_low_quality - scores[g.doc_id, 0]) < 0.01 and abs(g.p_toxic - scores[g.doc_id, 1]) < 0.01
+        assert g.toxic == (scores[g.doc_id, 1] >= threshold) or abs(scores[g.doc_id, 1] - threshold) < 0.01
+
+
 def _walk(edges, seeds, damping):
     """Personalised PageRank by power steps over dicts; a host without links returns to the seeds."""
     total = sum(seeds.values())
