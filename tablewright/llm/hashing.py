@@ -130,8 +130,12 @@ def window_minima(values: np.ndarray, first: np.ndarray, width: int) -> np.ndarr
         return np.zeros(0, dtype=np.int64)
     best, inside = sliding_minimum(values, first, width)
     at = np.unique(best[inside])
-    seq = np.searchsorted(first, at, side="right")
-    tied = (values[at[1:]] == values[at[:-1]]) & (np.diff(at) < width) & (seq[1:] == seq[:-1])
+    return thinned(at, values[at], np.searchsorted(first, at, side="right"), width)
+
+
+def thinned(at: np.ndarray, values: np.ndarray, seq: np.ndarray, width: int) -> np.ndarray:
+    """Places without those that stand close between places of the same value and sequence: one in ``width`` stays."""
+    tied = (values[1:] == values[:-1]) & (np.diff(at) < width) & (seq[1:] == seq[:-1])
     keep = np.ones(len(at), dtype=bool)
     inner = np.flatnonzero(tied[1:] & tied[:-1]) + 1  # neither first nor last of a run of equal minima
     last = -1
@@ -144,3 +148,38 @@ def window_minima(values: np.ndarray, first: np.ndarray, width: int) -> np.ndarr
             held = at[i]
         last = i
     return at[keep]
+
+
+def byte_minima(raw: bytes, first: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of winnowed k-byte strings (k >= 8): every ``least`` bytes of one of the texts ``first`` bounds hold a place with their smallest key.
+
+    A key is a hash without its last 12 bits, which hold the place while minima are sought; thus all copies of
+    a window have a place with the same key.
+    """
+    n, width = len(raw), least - k + 1
+    if n < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    hashed = mix64(np.ndarray((n + 1,), "<u8", raw + bytes(8), strides=(1,))[:n])
+    size = 8
+    while size < k:
+        step = min(size, k - size)  # the last step overlaps
+        hashed = mix64(hashed[:-step] * _STEP + hashed[step:])
+        size += step
+    low = np.uint64(0xFFF)
+    coded = (hashed & ~low) | (~np.arange(len(hashed), dtype=np.uint64) & low)
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        coded = np.minimum(coded[:-step], coded[step:])
+        have += step
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, first[:-1], 1)
+    np.add.at(edge, np.maximum(first[:-1], first[1:] - least + 1), -1)
+    at = np.flatnonzero(np.cumsum(edge[: len(coded)]) > 0)
+    code = coded[at]
+    new = np.concatenate([[True], code[1:] != code[:-1]])[: len(at)]
+    at, code = at[new], code[new]
+    place = np.unique(at + ((~code - at.astype(np.uint64)) & low).astype(np.int64))
+    key = hashed[place] & ~low
+    kept = thinned(place, key, np.searchsorted(first, place, side="right"), width)
+    return kept, hashed[kept] & ~low

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, jaccard_join, line_dedup, packing, piece_coding, quality_rules, substring_dedup, toxicity, url_filter
+from . import chat_format, exact_dedup, jaccard_join, line_dedup, packing, periodic_runs, piece_coding, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filter, whitening
 from .shared import table
 
 
@@ -90,6 +90,35 @@ def op10_quality_rules_by_count(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), share=0.0).drop("uid")
 
 
+def op11_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("uid", "kept")
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
+def planted_periods(docs):
+    """Documents of which those with crc32(doc_id) % 10 = 0 repeat a stretch of their words to their end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w, n, g = F.col("_w"), F.size("_w"), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    word = lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p))
+    planted = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")
+    chosen = docs.withColumn("_w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(quality_rules.WORD), F.lit(0))))
+    return chosen.withColumn("text", F.when(n > 0, planted).otherwise(F.col("text"))).drop("_w")
+
+
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic_runs.periodic_runs(planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_words", "n_runs", (-F.col("b.start")).alias("start"), "b.length", (-F.col("b.period")).alias("period"), F.floor(1000 * F.col("b.length") / -F.col("b.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -102,6 +131,9 @@ QUERIES = {
     "op8_piece_coding": op8_piece_coding,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
     "op10_quality_rules_by_count": op10_quality_rules_by_count,
     "op1_line_dedup_every_line": op1_line_dedup_every_line,
 }
@@ -157,6 +189,16 @@ gone AS (SELECT doc_id, list_sort(list(DISTINCT p)) ps FROM (SELECT doc_id, unne
 words AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) p FROM d),
 left_over AS (SELECT words.doc_id, string_agg(w[p], ' ' ORDER BY p) t, count(*) n FROM words ANTI JOIN (SELECT doc_id, unnest(ps) p FROM gone) x USING (doc_id, p) GROUP BY words.doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN left_over USING (doc_id)""",
+    # two hex digits are a byte
+    "op11_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+pos AS (SELECT doc_id, h, unnest(range(1, length(h), 2)) i FROM d),
+w AS (SELECT doc_id, i, substr(h, i, 2) b, CASE WHEN i + 199 <= length(h) THEN substr(h, i, 200) END g FROM pos),
+r AS (SELECT doc_id, i, b, g IS NOT NULL AND row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS later FROM w),
+c AS (SELECT doc_id, i, b, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM r),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+k AS (SELECT doc_id, count_if(gone) AS m, count_if(opens) AS spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS t FROM s GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(m, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
     "op9_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
 s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) g FROM d),
