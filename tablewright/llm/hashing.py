@@ -153,8 +153,9 @@ def thinned(at: np.ndarray, values: np.ndarray, seq: np.ndarray, width: int) ->
 def byte_minima(raw: bytes, first: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, key) of winnowed k-byte strings (k >= 8): every ``least`` bytes of one of the texts ``first`` bounds hold a place with their smallest key.
 
-    A key is a hash without its last 12 bits, which hold the place while minima are sought; thus all copies of
-    a window have a place with the same key.
+    A key is a hash without its last 12 bits, which hold the place in blocks of 4,096 while minima are sought. Of
+    equal keys in a window the last is taken, so copies of a window have places with the same key, and these differ
+    even if the copies overlap.
     """
     n, width = len(raw), least - k + 1
     if n < least:
@@ -165,21 +166,23 @@ def byte_minima(raw: bytes, first: np.ndarray, least: int, k: int) -> tuple[np.n
         step = min(size, k - size)  # the last step overlaps
         hashed = mix64(hashed[:-step] * _STEP + hashed[step:])
         size += step
-    low = np.uint64(0xFFF)
-    coded = (hashed & ~low) | (~np.arange(len(hashed), dtype=np.uint64) & low)
+    low, block = np.uint64(0xFFF), 4096
+    fresh = block - width + 1  # windows of a block, which overlaps the next one
+    blocks = -(-len(hashed) // fresh)
+    padded = np.concatenate([hashed, np.full(blocks * fresh + block - len(hashed), ~low)])
+    coded = np.lib.stride_tricks.as_strided(padded, (blocks, block), (8 * fresh, 8))
+    coded = (coded & ~low) | np.arange(block - 1, -1, -1, dtype=np.uint64)
     have = 1
     while have < width:
         step = min(have, width - have)
-        coded = np.minimum(coded[:-step], coded[step:])
+        coded = np.minimum(coded[:, :-step], coded[:, step:])
         have += step
+    coded = coded.reshape(-1)
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, first[:-1], 1)
     np.add.at(edge, np.maximum(first[:-1], first[1:] - least + 1), -1)
-    at = np.flatnonzero(np.cumsum(edge[: len(coded)]) > 0)
-    code = coded[at]
-    new = np.concatenate([[True], code[1:] != code[:-1]])[: len(at)]
-    at, code = at[new], code[new]
-    place = np.unique(at + ((~code - at.astype(np.uint64)) & low).astype(np.int64))
+    at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    place = np.unique(at // fresh * fresh + block - 1 - (coded[at] & low).astype(np.int64))
     key = hashed[place] & ~low
     kept = thinned(place, key, np.searchsorted(first, place, side="right"), width)
     return kept, hashed[kept] & ~low

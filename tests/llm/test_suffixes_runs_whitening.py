@@ -96,6 +96,21 @@ def test_copies_of_a_window_share_an_anchor(texts, k, more):
     assert all(len(found) == 1 for found in met.values())
 
 
+def test_copies_that_overlap_have_anchors_of_their_own():
+    """Periodic stretches over all borders of blocks: the key of a window that starts twice has two places."""
+    r = random.Random(12)
+    raw = b"".join(bytes(r.choices(b"abcdefgh", k=r.randrange(1, 60))) * r.randrange(1, 30) for _ in range(200))
+    at, key = byte_minima(raw, np.array([0, len(raw)]), 100, 40)
+    keys, places = dict(zip(at.tolist(), key.tolist())), Counter(key.tolist())
+    starts = {}
+    for i in range(len(raw) - 99):
+        starts.setdefault(raw[i : i + 100], []).append(i)
+    assert len(raw) > 40_000
+    for found in starts.values():
+        if len(found) > 1:
+            assert places[min(keys[p] for p in range(found[0], found[0] + 61) if p in keys)] > 1
+
+
 def _runs(w, least):
     found = {}
     for p in range(1, len(w) // 2 + 1):
