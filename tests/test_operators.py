@@ -63,6 +63,53 @@ def test_greedy_near_duplicates(spark, threshold):
         assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("threshold,lengths,hot", [(0.8, (1, 2, 5, 9, 30, 60), 10_000), (0.97, (40, 80), 60), (0.995, (120, 220, 450), 10_000)])
+def test_near_pairs_against_all_pairs(spark, threshold, lengths, hot, monkeypatch):
+    r, texts = random.Random(5), set()
+    base = ["".join(r.choice("abc de") for _ in range(n)) for n in lengths]
+    for _ in range(100):
+        t = list(r.choice(base))
+        for _ in range(r.randrange(5)):
+            i = r.randrange(len(t) + 1)
+            t[i : i + r.randrange(2)] = r.choice(["", "x", "y "])
+        texts.add(re.sub(" +", " ", "".join(t)).strip())
+    texts = sorted(texts - {""})
+    r.shuffle(texts)
+    keys = spark.createDataFrame(list(enumerate(texts)), "node long, key string")
+    monkeypatch.setattr(neardup, "HOT", hot)
+    got = {(x.earlier, x.later) for x in neardup.near_pairs(keys, threshold).collect()}
+    assert got == {(i, j) for j in range(len(texts)) for i in range(j) if _score(texts[j], texts[i]) >= threshold}
+
+
+def test_ten_thousand_keys_with_one_common_stretch_make_few_candidates(spark):
+    """Two thirds of each key are the same words; only the rest tells near copies."""
+    r = random.Random(2)
+    common = "could you please find me some warm dish that a friend of mine would like to have on a cold winter evening after work " * 2
+    keys = [common + "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(120)) for _ in range(10_000)]
+    keys += [k + "s" for k in keys[:50]]
+    found = neardup.edit_candidates(spark.createDataFrame(list(enumerate(keys)), "node long, key string"), 0.995).distinct().collect()
+    pairs = {tuple(sorted((x.x, x.y))) for x in found}
+    assert {(i, 10_000 + i) for i in range(50)} <= pairs and len(pairs) < 20_000
+
+
+def test_losers_of_a_chain_and_of_a_random_graph(spark):
+    """A chain as long as its graph is decided in few rounds, whatever fits in one task."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5000)], "earlier long, later long")
+    for bound, most in ((1 << 20, 1), (1000, 8)):
+        rounds = []
+        assert {x.node for x in neardup.losers(chain, bound, rounds).collect()} == set(range(1, 5001, 2)) and len(rounds) <= most
+    r = random.Random(3)
+    edges = {tuple(sorted(r.sample(range(300), 2))) for _ in range(700)}
+    stays = set()
+    for v in range(300):
+        if not any((u, v) in edges for u in stays):
+            stays.add(v)
+    graph = spark.createDataFrame(sorted(edges), "earlier long, later long")
+    for bound in (1 << 20, 150):
+        assert {x.node for x in neardup.losers(graph, bound).collect()} == set(range(300)) - stays
+    assert neardup.losers(graph.limit(0)).collect() == []
+
+
 def test_approve_full_names_the_first_reason(spark):
     good = {"single_answer_validity": 1.0, "distractor_plausibility": 1.0, "distribution_fit_score": 1.0, "language_quality": 1.0, "leakage_risk": 0.0}
     rows = [
