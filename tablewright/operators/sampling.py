@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+from array import array
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .neardup import kept
+
 SEED = 1508
 RATIOS = (("train", 0.70), ("validation", 0.15), ("test", 0.15))
 
@@ -53,24 +56,46 @@ def ranked_by_hash(df: DataFrame, key: str, strata: str, seed: int = SEED) -> Da
     return ranked.select(*df.columns, (F.col("_before") + F.col("_at")).alias("rank"))
 
 
+def _permutations(seed: int):
+    """(stratum, size) in; (stratum, at, rank) of each stratum's shuffled numbers out."""
+
+    def run(batches):
+        for b in batches:
+            for i, (name, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                order = array("q", range(n))
+                drawn = hashlib.sha256(f"{seed}:{name}".encode()).hexdigest()[:16]
+                random.Random(int(drawn, 16)).shuffle(order)
+                for low in range(0, n, 100_000):
+                    at = pa.array(order[low : low + 100_000], pa.int64())
+                    names = b.column(0).take(pa.array([i] * len(at), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([names, at, pa.array(range(low + 1, low + 1 + len(at)), pa.int64())], names=["_stratum", "_at", "rank"])
+
+    return run
+
+
+def numbered(df: DataFrame, strata: str, pos: str) -> DataFrame:
+    """``df`` with _at, the place of a row in its stratum by ``pos`` (unique), from 0: places in ranges of rows, and the sizes of those before."""
+    ranged = kept(df.repartitionByRange(strata, pos).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(F.col(strata).alias("_stratum"), F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_stratum").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_stratum", "_of", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = ranged.withColumn("_in", F.row_number().over(Window.partitionBy(strata, "_range").orderBy(pos)) - 1)
+    joined = placed.join(sizes, placed[strata].eqNullSafe(sizes["_stratum"]) & (placed["_range"] == sizes["_of"]))
+    return joined.select(*df.columns, (F.col("_before") + F.col("_in")).alias("_at"))
+
+
 def ranked_exact(df: DataFrame, key: str, strata: str, pos: str, seed: int = SEED) -> DataFrame:
     """(key, stratum, rank): each stratum in order of ``pos``, after a Mersenne-Twister shuffle.
 
-    The shuffle's seed is the first 16 hex digits of sha256("seed:stratum"). It is one sequence of draws, so a
-    stratum's keys are in one task; use ranked_by_hash where they do not fit.
+    The shuffle's seed is the first 16 hex digits of sha256("seed:stratum"). It depends on that and the stratum's size alone, so
+    only numbers are shuffled (8 bytes a row, one sequence of draws a stratum); rows are numbered and joined with
+    them, and no task holds a stratum's keys.
     """
-
-    def shuffle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_pos")
-        order = list(range(len(rows)))
-        drawn = hashlib.sha256(f"{seed}:{rows[strata].iloc[0]}".encode()).hexdigest()[:16]
-        random.Random(int(drawn, 16)).shuffle(order)
-        out = rows.iloc[order].copy()
-        out["rank"] = range(1, len(rows) + 1)
-        return out[[key, strata, "rank"]]
-
-    kinds = dict(df.dtypes)
-    return df.select(key, strata, F.col(pos).alias("_pos")).groupBy(strata).applyInPandas(shuffle, f"{key} {kinds[key]}, {strata} {kinds[strata]}, rank long")
+    rows = numbered(df.select(key, strata, F.col(pos).alias("_pos")), strata, "_pos")
+    kind = df.schema[strata].dataType.simpleString()
+    sizes = df.groupBy(F.col(strata).alias("_stratum")).agg(F.count("*").alias("_n")).repartition("_stratum")
+    shuffled = sizes.mapInArrow(_permutations(seed), f"_stratum {kind}, _at long, rank long")
+    return rows.join(shuffled, rows[strata].eqNullSafe(shuffled["_stratum"]) & (rows["_at"] == shuffled["_at"])).select(key, strata, "rank")
 
 
 def split_by_hash(df: DataFrame, key: str, strata: str, seed: int = SEED) -> DataFrame:
@@ -99,13 +124,41 @@ def manifest(split: DataFrame, key: str, strata: str, pos: str, seed: int = SEED
     return split.agg(F.struct(*ids).alias("splits")).crossJoin(figures).select(metadata.alias("metadata"), "splits")  # one row each
 
 
-def hash_sample(df: DataFrame, key: Column, limit: int | None, seed: int = SEED) -> DataFrame:
-    """The ``limit`` rows with the smallest sha256("seed:key"); all rows as they are without a limit."""
+def hash_sample(df: DataFrame, key: Column, limit: int | None, seed: int = SEED, small: int = 10_000) -> DataFrame:
+    """The ``limit`` rows with the smallest sha256("seed:key"), of equal keys any; all rows as they are without a limit.
+
+    Beyond ``small`` rows, which tasks keep as they read, the last hash taken is looked up first: counts by its
+    digits, four at a time, until few rows share them. What lies below it is a filter; nothing is sorted.
+    """
     if limit is None:
         return df
     if limit < 0:
         raise ValueError("limit must not be negative")
-    return df.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)).limit(limit)
+    hashed = F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
+    if limit <= small:
+        return df.orderBy(hashed.asc_nulls_last()).limit(limit)
+    rows = df.withColumn("_h", F.coalesce(hashed, F.lit("g")))  # a null key is last
+    digits, left = "", limit
+    while True:
+        inside = rows.where(F.col("_h").startswith(digits))
+        if len(digits) < 64:
+            counts = sorted(tuple(r) for r in inside.groupBy(F.substring("_h", 1, len(digits) + 4)).count().collect())  # 65,536 rows or fewer
+        else:
+            counts = [(digits, inside.count())]
+        for digits, n in counts:
+            if n > left:
+                break
+            left -= n
+        else:
+            return df  # no more rows than the limit
+        if not left or n <= small or len(digits) >= 64 or digits == "g":
+            break
+    below = rows.where(F.col("_h") < digits).drop("_h")
+    if not left:
+        return below
+    last = rows.where(F.col("_h").startswith(digits))
+    last = last if len(digits) == 64 else last.orderBy("_h")  # few rows, or equal ones
+    return below.unionByName(last.limit(left).drop("_h"))
 
 
 def _shares(df: DataFrame, strata: str, limit: int) -> DataFrame:

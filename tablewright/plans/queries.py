@@ -119,6 +119,22 @@ def stratified_sample_exact(spark, sf_dir):
     return sampling.stratified_sample_exact(docs, "doc_id", "lang", "doc_id", 75)
 
 
+def stratified_split_exact_sizes(spark, sf_dir):
+    """Rows of each stratum in each part of the exact split."""
+    return stratified_split_exact(spark, sf_dir).groupBy("split", "lang").agg(F.count("*").alias("n"))
+
+
+def stratified_sample_exact_sizes(spark, sf_dir):
+    """Rows of each stratum in the exact sample."""
+    return stratified_sample_exact(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+def hash_sample_half(spark, sf_dir):
+    """Half of all line items, by hash: the last one is looked up, none are sorted."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return sampling.hash_sample(lines, F.concat_ws("-", "l_orderkey", "l_linenumber"), lines.count() // 2)
+
+
 def split_lookup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("example_id"), "lang", "source")
     manifest = _doc_split(spark, sf_dir).select("split", F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("example_id"))
@@ -305,7 +321,7 @@ QUERIES = {f.__name__: f for f in (
     mc_accuracy_by_type, eval_result_rows, signature_histogram, flag_counts, dataset_stats, stratified_sample_exact, option_scoring_rows, validation_violations, stratified_allocation, stratified_split_hash, split_signature_histogram,
     stratified_split_exact, split_lookup, prompt_shuffle_exact, prompt_completion_rows, loglikelihood_choice, hash_sample_topk, stratified_sample, text_key_dedup_first, exact_dup_to_reference_anti,
     exact_dup_semi, token_jaccard_pairs, near_dup_greedy, approval_rejections, approve_query_rows, augment_variants, augment_strategy_counts, train_admission_mix, registry_latest, registry_filter,
-    registry_compare, sft_conversation_pairs, evaluation_rows, generated_queries, sft_training_sets)}
+    registry_compare, stratified_split_exact_sizes, stratified_sample_exact_sizes, hash_sample_half, sft_conversation_pairs, evaluation_rows, generated_queries, sft_training_sets)}
 
 _SAID = ", ".join("'" + r.replace("'", "''") + "'" for r in RESPONSES)
 _MARK = r"[).:\-]?"
@@ -390,8 +406,12 @@ SELECT split, example_id, prompt, 'ABCDE'[list_position(ks, gold)] AS completion
     "augment_variants": _AUG + " SELECT example_id || '-aug-' || lpad(i::VARCHAR, 2, '0') AS example_id, example_id AS parent_example_id, query, strategy FROM w WHERE i <= 2",
     "augment_strategy_counts": _AUG + " SELECT strategy, count(*) AS n FROM w WHERE i <= 2 GROUP BY strategy",
     "train_admission_mix": "WITH t AS (SELECT round_even(count(*) * 0.25, 0) AS t FROM documents WHERE lang = 'en'), r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('1508:' || doc_id)) r FROM documents WHERE lang IN ('de', 'fr')) SELECT doc_id::VARCHAR AS example_id, CASE lang WHEN 'de' THEN 'query' ELSE 'full' END AS track FROM r, t WHERE r <= CASE lang WHEN 'fr' THEN round_even(t * 0.3, 0) ELSE t - round_even(t * 0.3, 0) END",
+    "hash_sample_half": "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY sha256('1508:' || l_orderkey || '-' || l_linenumber) LIMIT (SELECT count(*) // 2 FROM lineitem)",
     "registry_latest": f"WITH {_REG} SELECT * FROM reg",
     "registry_filter": f"WITH {_REG} SELECT user_id, event_id FROM reg WHERE status = 'purchase'",
     "registry_compare": f"WITH {_REG}, q(pos, user_id) AS (VALUES (0, 5), (1, 2), (2, 5), (3, -1)) SELECT pos, user_id::BIGINT AS user_id, coalesce(event_id::VARCHAR, '') AS event_id, coalesce(status, '') AS stage FROM q LEFT JOIN reg USING (user_id)",
     "sft_conversation_pairs": "SELECT conv_id, turn, prompt, completion FROM (SELECT conv_id, turn, role, text AS prompt, lead(role) OVER w AS nx, lead(text) OVER w AS completion FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nx = 'assistant'",
 }
+# the exact ways differ in which rows they take, not in how many
+ORACLE_SQL["stratified_split_exact_sizes"] = ORACLE_SQL["split_signature_histogram"]
+ORACLE_SQL["stratified_sample_exact_sizes"] = f"SELECT lang, count(*) AS n FROM ({ORACLE_SQL['stratified_sample']}) x GROUP BY lang"

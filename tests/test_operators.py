@@ -110,6 +110,32 @@ def test_losers_of_a_chain_and_of_a_random_graph(spark):
     assert neardup.losers(graph.limit(0)).collect() == []
 
 
+def test_large_samples_by_hash_sort_nothing(spark):
+    """Half of a table, with repeated and null keys, by digits of the hash; equal to sorting everything."""
+    keys = [str(i % 3000) for i in range(6000)] + ["again"] * 900 + [None] * 300
+    rows = spark.createDataFrame([(k,) for k in keys], "k string")
+    order = sorted((k for k in keys if k), key=lambda k: hashlib.sha256(f"7:{k}".encode()).hexdigest()) + [None] * 300
+    for limit in (1, 3450, 6899, 6900, 7100, 7200, 9000):
+        for small in (50, 0):
+            got = sampling.hash_sample(rows, F.col("k"), limit, 7, small)
+            assert Counter(r.k for r in got.collect()) == Counter(order[:limit])
+    plan = sampling.hash_sample(rows, F.col("k"), 3450, 7, 0)._jdf.queryExecution().toString()
+    assert "Window" not in plan and sampling.hash_sample(rows, F.col("k"), 0).count() == 0
+
+
+@pytest.mark.parametrize("files", [1, 7])
+def test_exact_shuffle_of_numbers_alone(spark, files):
+    rows = [(f"k{i:04d}", None if i % 5 == 4 else f"s{i * i % 7}", (i * 37) % 1000) for i in range(1000)]
+    want = {}
+    for name in {s for _, s, _ in rows}:
+        keys = [k for _, k in sorted((p, k) for k, s, p in rows if s == name)]
+        random.Random(int(hashlib.sha256(f"1508:{name}".encode()).hexdigest()[:16], 16)).shuffle(keys)
+        want |= {(k, name): i + 1 for i, k in enumerate(keys)}
+    ranked = sampling.ranked_exact(spark.createDataFrame(rows, "k string, s string, p long").repartition(files), "k", "s", "p")
+    assert {(r.k, r.s): r["rank"] for r in ranked.collect()} == want
+    assert "FlatMapGroupsInPandas" not in ranked._jdf.queryExecution().toString()
+
+
 def test_approve_full_names_the_first_reason(spark):
     good = {"single_answer_validity": 1.0, "distractor_plausibility": 1.0, "distribution_fit_score": 1.0, "language_quality": 1.0, "leakage_risk": 0.0}
     rows = [
