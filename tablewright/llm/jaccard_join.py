@@ -55,22 +55,22 @@ def size_classes(percent: int, most: int = 1 << 40) -> tuple[list[int], list[int
     return bounds, [apart(b - 1) for b in bounds[1:]]
 
 
-def set_keys(grams: np.ndarray, hot: np.ndarray, percent: int, bounds: list[int], differ: list[int]) -> np.ndarray:
-    """The candidate keys of one set, free of the n-grams that very many sets hold.
+def set_keys(grams: np.ndarray, size: int, hot: np.ndarray, percent: int, bounds: list[int], differ: list[int]) -> np.ndarray:
+    """The candidate keys of one set of ``size`` n-grams by its hashes, free of the n-grams that very many sets hold.
 
     Sets that differ in at most D n-grams do so without their hot ones too. Sets that are mostly hot get
     keys of all their n-grams instead; where the two ways meet, a set gets both, as linked sets'
     shares of hot n-grams differ by little.
     """
     if not len(hot):
-        return segment_keys(grams, len(grams), 0, percent, bounds, differ)
+        return segment_keys(grams, size, 0, percent, bounds, differ)
     is_hot = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
     share, out = is_hot.mean(), []
     apart = (100 - percent) / percent
     if share <= 0.5:
-        out.append(segment_keys(grams[~is_hot], len(grams), 0, percent, bounds, differ))
+        out.append(segment_keys(grams[~is_hot], size, 0, percent, bounds, differ))
     if share >= min(0.5 / (1 + apart), (0.5 - apart) / (1 - apart)) - 1e-9:
-        out.append(segment_keys(grams, len(grams), 1, percent, bounds, differ))
+        out.append(segment_keys(grams, size, 1, percent, bounds, differ))
     return np.concatenate(out)
 
 
@@ -117,6 +117,29 @@ def gram_sets(words: Words, k: int) -> list[np.ndarray]:
     return out
 
 
+def word_numbers(texts: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The words of texts (words joined by one space; ``sizes``: how many) as numbers, equal only for equal words."""
+    word = pc.split_pattern(pa.array(texts, pa.binary()), " ").flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return word[np.repeat(sizes > 0, np.maximum(sizes, 1))] if (sizes == 0).any() else word  # an empty text splits into one empty word
+
+
+def exact_sizes(words: Words, sets: list[np.ndarray], plain: list[bytes], k: int) -> list[int]:
+    """Distinct n-grams of each text by their words: hashes that n-grams of unlike words share are found by comparing each place with the hash's first one."""
+    sizes = [len(s) for s in sets]
+    place = np.flatnonzero(words.full(k))
+    if not len(place):
+        return sizes
+    word = word_numbers(plain, np.diff(words.first))
+    _, first, column = np.unique(words.grams(k)[place], return_index=True, return_inverse=True)
+    unlike = np.zeros(len(place), bool)
+    for j in range(k):
+        unlike |= word[place + j] != word[place[first][column] + j]
+    for d in np.unique(words.doc[place[np.isin(column, column[unlike])]]).tolist() if unlike.any() else ():
+        at = np.arange(words.first[d], words.first[d + 1] - k + 1)
+        sizes[d] = np.unique(np.stack([word[at + j] for j in range(k)]), axis=1).shape[1]
+    return sizes
+
+
 def _hot_counts(k: int, chunk: int = 4 << 20):
     """(n-gram, documents) of n-grams that three documents of a chunk hold, or more."""
 
@@ -162,19 +185,21 @@ def _sketch(k: int, percent: int, hot):
         for batch in batches:
             words = Words(batch.column(1).to_pylist(), lower=True)
             sets = gram_sets(words, k)
+            plain = [words.plain(i) for i in range(len(sets))]
+            sizes = exact_sizes(words, sets, plain, k)
             uids = uid + np.arange(len(sets))
             entry = uids.copy()
             for i, s in enumerate(sets):
                 if not len(s):
                     continue
-                first = seen.setdefault(digest64(words.plain(i)), int(uids[i]))
+                first = seen.setdefault(digest64(plain[i]), int(uids[i]))
                 entry[i] = first
                 if first == uids[i]:
-                    keys.append(set_keys(s, hot.value, percent, bounds, differ))
+                    keys.append(set_keys(s, sizes[i], hot.value, percent, bounds, differ))
                     owners.append(np.full(len(keys[-1]), first))
-                    needs.append((first, support(differ[int(np.searchsorted(bounds, len(s), side="right")) - 1])))
+                    needs.append((first, support(differ[int(np.searchsorted(bounds, sizes[i], side="right")) - 1])))
             uid += len(sets)
-            yield rows(_DOC, uids, entry, batch.column(0).cast(pa.int64()), [len(s) for s in sets])
+            yield rows(_DOC, uids, entry, batch.column(0).cast(pa.int64()), sizes)
         if not keys:
             return
         key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
@@ -207,9 +232,7 @@ def gram_table(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """
     words = Words(texts)
     n, size = len(texts), np.diff(words.first)
-    word = pc.split_pattern(pa.array(texts, pa.binary()), " ").flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    if (size == 0).any():  # an empty text splits into one empty word
-        word = word[np.repeat(size > 0, np.maximum(size, 1))]
+    word = word_numbers(texts, size)
     place = np.flatnonzero(words.full(k))
     _, first, column = np.unique(words.grams(k)[place], return_index=True, return_inverse=True)
     if any((word[place + j] != word[place[first][column] + j]).any() for j in range(k)):
