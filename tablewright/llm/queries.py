@@ -82,12 +82,13 @@ def op9_jaccard_join(spark, sf_dir):
 
 
 def op10_quality_rules(spark, sf_dir):
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("uid")
+    """Lines are cut by count, whatever the host's size."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), share=0.0).drop("uid")
 
 
-def op10_quality_rules_by_count(spark, sf_dir):
-    """op10 with lines cut by count alone, as in the pipeline."""
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), share=0.0).drop("uid")
+def op10_quality_rules_by_share(spark, sf_dir):
+    """op10 with lines cut that a fifth of the host's distinct texts hold too."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), share=0.2).drop("uid")
 
 
 def op11_suffix_dedup(spark, sf_dir):
@@ -134,7 +135,8 @@ QUERIES = {
     "op11_suffix_dedup": op11_suffix_dedup,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_periodic_runs": op13_periodic_runs,
-    "op10_quality_rules_by_count": op10_quality_rules_by_count,
+    "op10_quality_rules_by_share": op10_quality_rules_by_share,
+    "op10_quality_rules_by_count": op10_quality_rules,
     "op1_line_dedup_every_line": op1_line_dedup_every_line,
 }
 
@@ -219,7 +221,7 @@ lines AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) line FROM d
 nl AS (SELECT doc_id, source, t, lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')) k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) n, line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) n_dup_lines FROM nl GROUP BY doc_id),
 hosts AS (SELECT source, count(DISTINCT t) texts FROM nl GROUP BY source),
-over_limit AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT t) held FROM nl GROUP BY ALL) JOIN hosts USING (source) WHERE held > 10 AND held > 0.2 * texts),
+over_limit AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT t) held FROM nl GROUP BY ALL) JOIN hosts USING (source) WHERE held > 10),
 gone AS (SELECT doc_id, sum(n) g FROM nl JOIN over_limit USING (source, k) GROUP BY doc_id),
 spots AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) i FROM d),
 grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) c FROM spots),
@@ -232,7 +234,8 @@ SELECT doc_id, n_words::BIGINT n_words, word_chars::BIGINT word_chars, n_symbols
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_line_words_removed) >= 50 * n_words AS kept FROM base""",
 }
 
-ORACLE_SQL["op10_quality_rules_by_count"] = ORACLE_SQL["op10_quality_rules"].replace(" AND held > 0.2 * texts", "")
+ORACLE_SQL["op10_quality_rules_by_share"] = ORACLE_SQL["op10_quality_rules"].replace("WHERE held > 10", "WHERE held > 10 AND held > 0.2 * texts")
+ORACLE_SQL["op10_quality_rules_by_count"] = ORACLE_SQL["op10_quality_rules"]
 ORACLE_SQL["op1_line_dedup_every_line"] = r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) p FROM documents),
 n AS (SELECT doc_id, p, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') k FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),

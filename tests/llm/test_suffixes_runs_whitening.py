@@ -253,3 +253,13 @@ def test_deviation_is_exact_beyond_64_bits():
     got = whitening._deviation(x, 10**6, np.array([5, 7]))
     want = [sum((10**6 * int(v) - s) ** 2 for v, s in zip(row, (5, 7))) for row in x]
     assert got == [v if v < 1 << 63 else None for v in want] and None in got
+
+
+def test_op10_rejects_documents_that_its_lines_deplete(spark, tmp_path):
+    """The query itself: a footer that eleven texts of a host hold is cut, and what is then under half is rejected."""
+    footer = " ".join(f"footer{i}" for i in range(60))
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(i, f"{own(i, 20 if i < 4 else 70)}\n{footer}", "h") for i in range(11)] + [(20 + i, f"{own(20 + i, 20)}\n{footer}", "g") for i in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.base_failed, r.kept) for r in queries.op10_quality_rules(spark, str(tmp_path)).collect()}
+    assert got == {d: (False, d >= 4) for d, _, _ in rows}
