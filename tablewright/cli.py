@@ -191,7 +191,7 @@ def run_eval(spark, a):
         scored = json_files.read_lines(spark, f"{a.output}/rows", scored.schema)
         result = evaluation.summary(scored, a.model, a.split, a.eval_mode)
         json_files.write_lines(result, f"{a.output}/summary")
-        json_files.write_document(evaluation.document(scored, result), f"{a.output}/result.json")
+        json_files.write_listed(result, "results", evaluation.listed(scored), "index", f"{a.output}/result.json")
         found = result.first().asDict(recursive=True)  # one row
         run["metrics"] = {n: found["metrics"][n] for n in ("overall", "parse_failures", "total_correct", "total")}
         run["outputs"]["result_json"] = f"{a.output}/summary"

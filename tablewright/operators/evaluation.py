@@ -18,7 +18,7 @@ MODES = ("generative", "loglikelihood")
 
 
 def evaluate(items: DataFrame, client: Client, mode: str = "generative", limit: int | None = None, order: Callable[[Column, Column], Column] = prompts.shuffled) -> DataFrame:
-    """Scored rows (metrics.result_rows, with pos and error) of items (pos, example_id, query, options, answer_option_id, flags).
+    """Scored rows (metrics.result_rows, with pos, error, query and the answer's id) of items (pos, example_id, query, options, answer_option_id, flags).
 
     generative: the client returns a text, parsed without options first, then with them. loglikelihood: it
     returns a score for each letter, the greatest wins. A failed call is an empty reply, so a wrong answer
@@ -38,7 +38,7 @@ def evaluate(items: DataFrame, client: Client, mode: str = "generative", limit:
         letter = best_choice(F.from_json("reply", "map<string,double>"))
         said = F.concat(F.lit("[loglikelihood] selected "), F.coalesce(letter, F.lit("None")))
     rows = rows.withColumn("letter", letter).withColumn("raw_response", said)
-    return result_rows(rows, "pos", "error")
+    return result_rows(rows.withColumn("correct_answer_id", F.col("answer_option_id")), "pos", "error", "query", "correct_answer_id")
 
 
 def summary(rows: DataFrame, model: str, split: str, mode: str = "generative") -> DataFrame:
@@ -53,11 +53,11 @@ def summary(rows: DataFrame, model: str, split: str, mode: str = "generative") -
     return long.agg(F.struct(*overall, *types).alias("metrics")).select(F.lit(model).alias("model"), F.lit(split).alias("split"), F.lit(mode).alias("eval_mode"), "metrics")
 
 
-def document(rows: DataFrame, summarised: DataFrame) -> DataFrame:
-    """One row: the summary with all scored rows in the order of their place, as one document (an export for readers of one file)."""
-    fields = ["example_id", "predicted_id", "predicted_letter", "correct_letter", "is_correct", "parse_failure", "raw_response"]
-    listed = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", *fields))), lambda r: F.struct(r["pos"].alias("index"), *[r[f].alias(f) for f in fields])).alias("results"))
-    return summarised.crossJoin(listed)  # one row each
+def listed(rows: DataFrame) -> DataFrame:
+    """The scored rows as they stand in a result document; the options only of wrong ones."""
+    # fixed values: the fields of a result
+    fields = ("example_id", "query", "correct_answer_id", "correct_letter", "predicted_letter", "predicted_id", "is_correct", "parse_failure", "raw_response", "options")
+    return rows.select(F.col("pos").alias("index"), *fields)
 
 
 def report(result: dict) -> str:

@@ -124,9 +124,19 @@ def option_rows(items: DataFrame) -> DataFrame:
 
 
 def augmented(items: DataFrame, most: int = 2) -> DataFrame:
-    """Rule-made variants as new items of the same answer."""
+    """Rule-made variants as new items: flags, explanation and metadata (those of them that ``items`` has) come from the parent.
+
+    The metadata is an object that also names the parent, the strategy and the variant's number, which are columns besides.
+    """
     rows = items.select("*", F.posexplode(variants(F.col("query"), most)).alias("variant", "v"))
-    return rows.select(F.format_string("%s-aug-%02d", F.col("example_id"), F.col("variant") + 1).alias("example_id"), F.col("example_id").alias("parent_example_id"), F.col("v.query").alias("query"), F.col("v.strategy").alias("strategy"), (F.col("variant") + 1).alias("variant_index"), "options", "answer_option_id")
+    made = {"parent_example_id": F.col("example_id"), "augmentation_strategy": F.col("v.strategy"), "variant_index": F.col("variant") + 1}
+    own = F.from_json(F.to_json("source_metadata"), "map<string,variant>") if "source_metadata" in items.columns else F.create_map().cast("map<string,variant>")
+    own = F.coalesce(F.map_filter(own, lambda k, v: ~k.isin(*made)), F.create_map().cast("map<string,variant>"))
+    metadata = F.to_variant_object(F.map_concat(own, F.create_map(*[x for k, v in made.items() for x in (F.lit(k), v.cast("variant"))])))
+    carried = [c for c in ("query_type_flags", "correctness_explanation") if c in items.columns]
+    return rows.select(
+        F.format_string("%s-aug-%02d", F.col("example_id"), F.col("variant") + 1).alias("example_id"), F.col("example_id").alias("parent_example_id"), F.col("v.query").alias("query"),
+        F.col("v.strategy").alias("strategy"), (F.col("variant") + 1).alias("variant_index"), "options", "answer_option_id", *carried, metadata.alias("source_metadata"))
 
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:

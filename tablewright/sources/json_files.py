@@ -40,7 +40,7 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_full(spark: SparkSession, path: str) -> DataFrame:
     """Full synthetic rows as JSON lines, flat (SYNTHETIC_FULL) or nested (NESTED_FULL); rows without a place get one in the order of the file."""
     flat = SYNTHETIC_FULL.replace("correctness_explanation map<string,array<string>>", "correctness_explanation map<string,variant>")
-    rows = spark.read.schema(f"{flat}, {NESTED_FULL.replace('correctness_explanation variant', 'correctness_explanation map<string,variant>')}").json(path, mode="FAILFAST")
+    rows = spark.read.schema(f"{flat}, source_metadata variant, {NESTED_FULL.replace('correctness_explanation variant', 'correctness_explanation map<string,variant>')}").json(path, mode="FAILFAST")
     nested = {n: F.col(p)[n] for p in ("recipe_example", "provenance") for n in rows.schema[p].dataType.names}
     named = {c: F.coalesce(F.col(c), nested[c]) if c in nested else F.col(c) for c in rows.columns if c not in ("recipe_example", "provenance")}
     named["pos"] = F.coalesce("pos", F.monotonically_increasing_id())
@@ -49,10 +49,11 @@ def read_full(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_nested_full(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """Full synthetic rows as nested records, one JSON object a line."""
+    """Full synthetic rows as nested records, one JSON object a line; an item's metadata is kept."""
     made = [c for c in rows.columns if c in {f.split()[0] for f in _MADE.split(", ")}]
     empty = F.parse_json(F.lit("{}"))
-    item = F.struct("example_id", "query", "options", "answer_option_id", "query_type_flags", "correctness_explanation", empty.alias("source_metadata"))
+    metadata = F.coalesce("source_metadata", empty) if "source_metadata" in rows.columns else empty
+    item = F.struct("example_id", "query", "options", "answer_option_id", "query_type_flags", "correctness_explanation", metadata.alias("source_metadata"))
     ordered = rows.orderBy(*order) if order else rows
     write_lines(ordered.select(item.alias("recipe_example"), F.struct(*made).alias("provenance")), path)
 
@@ -92,6 +93,42 @@ def write_document(document: DataFrame, path: str) -> None:
     document.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"})).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_listed(head: DataFrame, name: str, rows: DataFrame, order: str, path: str) -> None:
+    """One JSON document: the fields of ``head`` (one row), and all rows in ``order`` (unique) as a list.
+
+    Tasks write the list in ordered parts; the driver only copies their bytes, a buffer at a time, so no task and no
+    process holds the list. The parts stand in a folder beside ``path`` until they are copied; a document that is
+    broken off is not seen under its name. Null fields of a row are left out.
+    """
+    spark, parts, part = rows.sparkSession, f"{path}.parts", f"{path}.part"
+    line = F.to_json(F.struct(*rows.columns))
+    first = rows.orderBy(order).limit(1).select(order, line.alias("line")).first()
+    opening = head.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0][:-1]
+    if first is not None:
+        rest = rows.where(F.col(order) > F.lit(first[order])).orderBy(order)
+        rest.select(F.concat(F.lit(","), line)).write.mode("overwrite").text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(conf)
+    out = files.create(at(part), True)
+
+    def put(text: str) -> None:
+        out.write(bytearray(text.encode()))
+
+    put(f"{opening}{',' if len(opening) > 1 else ''}{json.dumps(name)}: [\n")
+    if first is not None:
+        put(first["line"] + "\n")
+        for found in sorted(str(f.getPath()) for f in files.listStatus(at(parts)) if f.getPath().getName().startswith("part-")):
+            source = files.open(at(found))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            source.close()
+    put("]}\n")
+    out.close()
+    files.delete(at(path), True)
+    files.rename(at(part), at(path))
+    files.delete(at(parts), True)
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

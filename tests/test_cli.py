@@ -16,7 +16,14 @@ def test_commands_from_raw_file_to_splits(spark, tmp_path, capsys):
     assert main(["export-split", "--dataset", at("items"), "--splits", at("splits"), "--split", "test", "--output", at("test")]) == 0
     assert spark.read.json(at("test")).count() == 6
     assert main(["augment-train", "--dataset", at("items"), "--splits", at("splits"), "--output", at("more")]) == 0
-    assert spark.read.json(at("more")).count() == 56
+    more = [json.loads(r[0]) for r in spark.read.text(at("more")).collect()]
+    parents = {r["example_id"]: r for r in (json.loads(x[0]) for x in spark.read.text(at("items")).collect())}
+    assert len(more) == 56
+    for row in more:
+        parent, metadata = parents[row["parent_example_id"]], row["source_metadata"]
+        assert (row["query_type_flags"], row["correctness_explanation"], row["options"]) == (parent["query_type_flags"], parent["correctness_explanation"], parent["options"])
+        assert metadata == {**parent["source_metadata"], "parent_example_id": row["parent_example_id"], "augmentation_strategy": row["strategy"], "variant_index": row["variant_index"]}
+    assert main(["validate-data", "--input", at("more"), "--kind", "prepared"]) == 0
     capsys.readouterr()
     assert main(["dataset-stats", "--input", at("items")]) == 0
     prepared = capsys.readouterr().out

@@ -212,6 +212,8 @@ def test_run_commands(spark, files, capsys):
     assert done.run_id in capsys.readouterr().out
     document = json.loads("\n".join(r[0] for r in spark.read.text(at("eval/result.json")).collect()))
     assert document["metrics"]["total"] == 3 and [r["index"] for r in document["results"]] == sorted(r["index"] for r in document["results"]) and len(document["results"]) == 3
+    for r in document["results"]:
+        assert r["query"] and r["correct_answer_id"] and (len(r.get("options", {})) == 0 if r["is_correct"] else len(r["options"]) == 5)
     assert json_files.read_results(spark, at("eval/result.json")).first().model == "m"
     trained = next(r for r in state if r.run_type == "train" and r.status == "completed")
     data = [*data[:-2]]
@@ -222,3 +224,15 @@ def test_run_commands(spark, files, capsys):
     assert run("run-eval", *data, "--output", at("eval3"), "--client", f"{me}:client", "--parent-run-id", done.run_id) == 1
     capsys.readouterr()
     assert run("compare-runs", "--registry", at("log"), "--run-id", done.run_id) == 0 and "overall" in capsys.readouterr().out
+
+
+def test_listed_document_in_parts(spark, tmp_path):
+    """Rows in many files and any order become one list in order; no rows an empty one; a document is replaced."""
+    head = spark.createDataFrame([("m \"1\"", None)], "model string, note string")
+    rows = spark.range(1000).select((999 - F.col("id")).alias("index"), F.when(F.col("id") % 2 == 0, F.lit("a\nb")).alias("text")).repartition(9)
+    path = str(tmp_path / "d.json")
+    for n in (1000, 1, 0):
+        json_files.write_listed(head, "results", rows.where(F.col("index") < n), "index", path)
+        got = json.loads(open(path).read())
+        assert got == {"model": "m \"1\"", "note": None, "results": [{"index": i, "text": "a\nb"} if i % 2 else {"index": i} for i in range(n)]}
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["d.json"]

@@ -292,7 +292,7 @@ def test_predictions_and_results(spark, tmp_path):
 
 def test_nested_full_records_and_run_manifests(spark, tmp_path):
     flags = {"Specific": True, "Commonsense": False, "Negated": False, "Analogical": False, "Temporal": True}
-    item = {"example_id": "s1", "query": "q", "options": [{"option_id": f"o{i}", "text": f"t{i}"} for i in range(5)], "answer_option_id": "o0", "query_type_flags": flags, "correctness_explanation": {"k": "v", "l": ["a", "b"]}, "source_metadata": {}}
+    item = {"example_id": "s1", "query": "q", "options": [{"option_id": f"o{i}", "text": f"t{i}"} for i in range(5)], "answer_option_id": "o0", "query_type_flags": flags, "correctness_explanation": {"k": "v", "l": ["a", "b"]}, "source_metadata": {"raw_index": 3, "steps": ["a"]}}
     made = {"synthetic_mode": "full_generation", "generator_model": "m", "review_status": "pending", "review_scores": {"a": 0.5}, "seed_example_ids": ["e1"], "distractor_generation_method": "d", "distribution_fit_score": 0.25}
     (tmp_path / "full.jsonl").write_text(json.dumps({"recipe_example": item, "provenance": made}))
     rows = json_files.read_full(spark, str(tmp_path / "full.jsonl"))
@@ -301,7 +301,8 @@ def test_nested_full_records_and_run_manifests(spark, tmp_path):
     json_files.write_nested_full(rows, str(tmp_path / "nested"))
     json_files.write_lines(rows, str(tmp_path / "flat"))
     again = [json_files.read_full(spark, str(tmp_path / p)).first() for p in ("nested", "flat")]
-    assert again[0] == again[1] == got
+    plain = lambda r: {**r.asDict(recursive=True), "source_metadata": json.loads(str(r.source_metadata))}
+    assert plain(again[0]) == plain(again[1]) == plain(got) and plain(got)["source_metadata"] == item["source_metadata"]
     assert runs.read_manifests(spark, str(tmp_path)).collect() == []
     for name in ("b", "a"):
         (tmp_path / "runs" / name).mkdir(parents=True)
