@@ -13,7 +13,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import evaluation, generation, items, metrics, registry, runs, sampling, synthetic, training
+from .operators import evaluation, generation, items, metrics, providers, registry, runs, sampling, synthetic, training
 from .sources import json_files
 
 ITEM = (
@@ -109,18 +109,23 @@ def augment_train(spark, a):
     _told(metrics.histogram(rows, F.col("strategy")))
 
 
+def _calls(a) -> providers.Calls:
+    """Attempts, and a ledger if one is named; replies in it are told apart by model."""
+    return providers.Calls(int(a.attempts), float(a.retry_delay), ledger=a.ledger, scope=a.model)
+
+
 def _generate(spark, a, full: bool) -> None:
     a.split = "train"
     train, known = _split(spark, a), json_files.read_lines(spark, a.dataset, ITEM)
     make = generation.generate_full if full else generation.generate_queries
-    rows = make(known, train, _named(a.client), a.model, runs.now(), a.limit, a.max_candidates_per_seed if full else a.max_candidates_per_parent, a.seed)
+    rows = make(known, train, _named(a.client), a.model, runs.now(), a.limit, a.max_candidates_per_seed if full else a.max_candidates_per_parent, a.seed, calls=_calls(a))
     json_files.write_lines(rows, a.output, ["pos"])
 
 
 def _review(spark, a, full: bool) -> None:
     rows = _synthetic(spark, a.input, full)
     known = json_files.read_lines(spark, a.dataset, ITEM)
-    done = generation.review(rows, known, _named(a.client), a.model, runs.now(), full)
+    done = generation.review(rows, known, _named(a.client), a.model, runs.now(), full, calls=_calls(a))
     json_files.write_lines(done, a.output, ["pos"])
     _told(metrics.histogram(json_files.read_lines(spark, a.output, done.schema), F.col("review_status")))
 
@@ -186,7 +191,7 @@ def run_eval(spark, a):
     with runs.tracked(spark, a.registry, "eval", a.model, a.stage, a.parent_run_id, a.command_line, inputs) as run:
         run["outputs"] = {"output_dir": a.output}
         rows = _split(spark, a).withColumn("pos", F.col("split_pos")).withColumnRenamed("query_type_flags", "flags")
-        scored = evaluation.evaluate(rows, _named(a.client), a.eval_mode, None if a.limit is None else int(a.limit))
+        scored = evaluation.evaluate(rows, _named(a.client), a.eval_mode, None if a.limit is None else int(a.limit), calls=_calls(a))
         json_files.write_lines(scored, f"{a.output}/rows", ["pos"])
         scored = json_files.read_lines(spark, f"{a.output}/rows", scored.schema)
         result = evaluation.summary(scored, a.model, a.split, a.eval_mode)
@@ -266,15 +271,16 @@ def promote_run(spark, a):
     json_files.write_lines(registry.promote(entries, a.run_id, a.stage, datetime.now(timezone.utc).isoformat()), a.output, ["created_at"])
 
 
-_GENERATE, _APPROVE = "dataset splits client model output seed=1508", "input dataset splits approval-batch-id output max-examples?"
+_CALLS = "attempts=3 retry-delay=2.0 ledger?"
+_GENERATE, _APPROVE = f"dataset splits client model output seed=1508 {_CALLS}", "input dataset splits approval-batch-id output max-examples?"
 COMMANDS = {
     "prepare-data": (prepare_data, "input output split-output seed=1508"), "validate-data": (validate_data, "input kind=raw"), "dataset-stats": (dataset_stats, "input kind=prepared"),
     "export-split": (export_split, "dataset splits split output"), "augment-train": (augment_train, "dataset splits output max-variants=2"),
     "generate-synthetic-query": (partial(_generate, full=False), f"{_GENERATE} limit=75 max-candidates-per-parent=3"), "generate-synthetic-full": (partial(_generate, full=True), f"{_GENERATE} limit=40 max-candidates-per-seed=1"),
-    "review-synthetic-query": (partial(_review, full=False), "input dataset client model output"), "review-synthetic-full": (partial(_review, full=True), "input dataset client model output"),
+    "review-synthetic-query": (partial(_review, full=False), f"input dataset client model output {_CALLS}"), "review-synthetic-full": (partial(_review, full=True), f"input dataset client model output {_CALLS}"),
     "approve-synthetic-query": (partial(_approve, full=False), _APPROVE), "approve-synthetic-full": (partial(_approve, full=True), _APPROVE),
     "build-synthetic-train": (build_synthetic_train, "dataset splits output query-approved? full-approved? target-ratio? full-share=0.0 max-query-examples? max-full-examples? seed=1508"),
-    "run-eval": (run_eval, "dataset splits split=test model? client registry output eval-mode=generative limit? stage=baseline parent-run-id?"),
+    "run-eval": (run_eval, f"dataset splits split=test model? client registry output eval-mode=generative limit? stage=baseline parent-run-id? {_CALLS}"),
     "run-train": (run_train, "dataset splits model registry output augmented? trainer? stage=candidate parent-run-id?"),
     "list-runs": (list_runs, "registry run-type? status? stage? format=table"), "compare-runs": (compare_runs, "registry run-id+ format=table output?"), "plot-results": (plot_results, "input+ only* exclude* title=Accuracy output?"), "promote-run": (promote_run, "registry run-id stage output?"),
 }

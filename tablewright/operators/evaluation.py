@@ -11,25 +11,25 @@ from ..functions import prompts
 from ..functions.parse import parse_choice
 from .items import TYPES
 from .metrics import accuracy, best_choice, result_rows
-from .providers import Client, with_replies
+from .providers import ONCE, Calls, Client, with_replies
 from .registry import display_name
 
 MODES = ("generative", "loglikelihood")
 
 
-def evaluate(items: DataFrame, client: Client, mode: str = "generative", limit: int | None = None, order: Callable[[Column, Column], Column] = prompts.shuffled) -> DataFrame:
+def evaluate(items: DataFrame, client: Client, mode: str = "generative", limit: int | None = None, order: Callable[[Column, Column], Column] = prompts.shuffled, calls: Calls = ONCE) -> DataFrame:
     """Scored rows (metrics.result_rows, with pos, error, query and the answer's id) of items (pos, example_id, query, options, answer_option_id, flags).
 
     generative: the client returns a text, parsed without options first, then with them. loglikelihood: it
     returns a score for each letter, the greatest wins. A failed call is an empty reply, so a wrong answer
-    and a parse failure, never a lost job. ``limit`` takes the first items by pos. Write the rows
-    before aggregating them: reading the frame twice would ask twice.
+    and a parse failure, never a lost job. ``limit`` takes the first items by pos. Without a ledger in ``calls`` write
+    the rows before aggregating them: reading the frame twice would ask twice.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
     rows = items if limit is None else items.orderBy("pos").limit(limit)
     rows = rows.withColumn("options", order(prompts.checked(F.col("options")), F.col("example_id")))
-    rows = with_replies(rows, prompts.render(F.col("query"), F.col("options")), client)
+    rows = with_replies(rows, prompts.render(F.col("query"), F.col("options")), client, calls)
     rows = rows.withColumn("letters", prompts.letter_map(F.col("options"))).withColumn("option_texts", prompts.letter_map(F.col("options"), "text"))
     if mode == "generative":
         said = F.coalesce("reply", F.lit(""))

@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, Inte
 from ..functions.text import strip, text_key
 from .items import TYPES, signature
 from .neardup import kept
-from .providers import Client, with_replies
+from .providers import ONCE, Calls, Client, with_replies
 from .sampling import SEED, first_occurrences, stratified_sample_exact
 from .synthetic import explanation_map, number_candidates
 
@@ -69,11 +69,11 @@ def request(name: str, **parts: Column) -> Column:
     return F.to_json(F.struct(F.lit(name).alias("schema_name"), *[c.alias(n) for n, c in parts.items()]))
 
 
-def _asked(train: DataFrame, flags: Column, name: str, client: Client, limit: int, most: int, seed: int) -> DataFrame:
+def _asked(train: DataFrame, flags: Column, name: str, client: Client, limit: int, most: int, seed: int, calls: Calls) -> DataFrame:
     """(item columns, candidate_pos, c) of a stratified sample of training items; a failed or malformed reply gives no candidates."""
     rows = stratified_sample_exact(train.withColumn("signature", signature(flags)), "example_id", "signature", "pos", limit, seed)
     about = "parent_example" if name == "synthetic_query_generation" else "seed_example"
-    asked = with_replies(rows, request(name, **{about: shown(flags), "target_query_type_signature": F.col("signature"), "max_candidates": F.lit(most)}), client)
+    asked = with_replies(rows, request(name, **{about: shown(flags), "target_query_type_signature": F.col("signature"), "max_candidates": F.lit(most)}), client, calls)
     # kept, so that plans which read the candidates twice do not ask twice
     return kept(asked.select(*rows.columns, F.posexplode(F.from_json("reply", REPLIES[name])["candidates"]).alias("candidate_pos", "c")))
 
@@ -88,7 +88,7 @@ def _provenance(mode: str, model: str, version: str, created_at: str, target: Co
         F.lit("pending").alias("review_status"), F.create_map().cast("map<string,double>").alias("review_scores"), F.lit(created_at).alias("created_at"), target.alias("intended_query_type_target"), _said(F.col("c.rationale"), F.lit("")).alias("generation_notes")]
 
 
-def generate_queries(items: DataFrame, train: DataFrame, client: Client, model: str, created_at: str, limit: int = 75, most: int = 3, seed: int = SEED, version: str = "query-v1") -> DataFrame:
+def generate_queries(items: DataFrame, train: DataFrame, client: Client, model: str, created_at: str, limit: int = 75, most: int = 3, seed: int = SEED, version: str = "query-v1", calls: Calls = ONCE) -> DataFrame:
     """New queries for a sample of training items: the item's options, answer and flags, numbered within each item.
 
     train: pos, example_id, query, options, answer_option_id, query_type_flags; items: example_id, query
@@ -96,7 +96,7 @@ def generate_queries(items: DataFrame, train: DataFrame, client: Client, model:
     """
     if most < 1:
         raise ValueError("at least one candidate an item is needed")
-    rows = _asked(train, F.col("query_type_flags"), "synthetic_query_generation", client, limit, most, seed)
+    rows = _asked(train, F.col("query_type_flags"), "synthetic_query_generation", client, limit, most, seed, calls)
     rows = rows.select(F.col("example_id").alias("parent_example_id"), F.col("pos").alias("parent_pos"), "candidate_pos", strip(F.col("c.query")).alias("query"), "options", "answer_option_id", "query_type_flags", "signature", "c")
     new = number_candidates(rows, items)
     pos = F.shiftleft(F.col("parent_pos").cast("long"), 20) + F.col("candidate_pos")
@@ -104,7 +104,7 @@ def generate_queries(items: DataFrame, train: DataFrame, client: Client, model:
                       *_provenance(QUERY_MODE, model, version, created_at, _said(F.col("c.intended_query_type_target"), F.col("signature"))), _said(F.col("c.method_tag"), F.lit("query_generation")).alias("generation_method"))
 
 
-def generate_full(items: DataFrame, train: DataFrame, client: Client, model: str, created_at: str, limit: int = 40, most: int = 1, seed: int = SEED, version: str = "full-v1") -> DataFrame:
+def generate_full(items: DataFrame, train: DataFrame, client: Client, model: str, created_at: str, limit: int = 40, most: int = 1, seed: int = SEED, version: str = "full-v1", calls: Calls = ONCE) -> DataFrame:
     """New items after a sample of training items, numbered over all accepted rows (at most ``limit`` times the candidates of a reply).
 
     A candidate needs a new query, five different options, an answer among them and all flags; rows without are
@@ -112,7 +112,7 @@ def generate_full(items: DataFrame, train: DataFrame, client: Client, model: str
     """
     if most < 1:
         raise ValueError("at least one candidate an item is needed")
-    rows = _asked(train, F.col("query_type_flags"), "synthetic_full_generation", client, limit, most, seed)
+    rows = _asked(train, F.col("query_type_flags"), "synthetic_full_generation", client, limit, most, seed, calls)
     rows = rows.select(F.col("example_id").alias("seed_id"), F.struct("pos", "candidate_pos").alias("at"), strip(F.col("c.query")).alias("query"), F.transform("c.options", strip).alias("texts"), "signature", "c")
     rows = rows.withColumn("_key", text_key(F.col("query"))).where((F.col("_key") != "") & (F.size("texts") == 5) & (F.size(F.array_distinct(F.transform("texts", text_key))) == 5) & F.col("c.answer_index").between(0, 4) & ~F.exists(F.array(*[F.col(f"c.query_type_flags.{t}") for t in TYPES]), F.isnull))
     fresh = rows.join(items.select(text_key(F.col("query")).alias("_key")).distinct(), "_key", "left_anti")
@@ -125,7 +125,7 @@ def generate_full(items: DataFrame, train: DataFrame, client: Client, model: str
                        _said(F.col("c.distractor_generation_method"), F.lit("template_conditioned_generation")).alias("distractor_generation_method"), F.lit(None).cast("double").alias("distribution_fit_score"))
 
 
-def review(rows: DataFrame, sources: DataFrame, client: Client, model: str, reviewed_at: str, full: bool = False, version: str = "review-v1") -> DataFrame:
+def review(rows: DataFrame, sources: DataFrame, client: Client, model: str, reviewed_at: str, full: bool = False, version: str = "review-v1", calls: Calls = ONCE) -> DataFrame:
     """``rows`` with the reviewer's status, scores and summary in place of the old ones.
 
     ``sources``: example_id, query of items; the parent, or the seeds that are found, go into the request. A failed or malformed
@@ -139,7 +139,7 @@ def review(rows: DataFrame, sources: DataFrame, client: Client, model: str, revi
     if not full and joined.where("_sources is null").head(1):
         raise ValueError("a row's parent is not among the items")
     what = F.struct("example_id", "query", F.transform("options", lambda o: o["text"]).alias("options"), answer_text(F.col("options"), F.col("answer_option_id")).alias("answer_text"))
-    asked = with_replies(joined, request(name, candidate=what, sources=F.col("_sources")), client)
+    asked = with_replies(joined, request(name, candidate=what, sources=F.col("_sources")), client, calls)
     asked = asked.withColumn("_v", F.from_json("reply", REPLIES[name]))
     good = F.coalesce(F.col("_v.review_status").isin("approved", "rejected") & F.col("_v.review_scores").isNotNull(), F.lit(False))
     scores = F.from_json(F.to_json("_v.review_scores"), "map<string,double>")

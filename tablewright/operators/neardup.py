@@ -10,7 +10,7 @@ import tempfile
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -166,14 +166,20 @@ def near_pairs(keys: DataFrame, threshold: float) -> DataFrame:
     return both.withColumn("score", score).where(F.col("score") >= threshold).select("earlier", "later", "score")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's checkpoint folder; one of its own only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; one of its own only where none is set and all runs in one process."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        place = spark.conf.get("spark.checkpoint.dir", None)
         if place is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(place or tempfile.mkdtemp())
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ..functions.parse import parse_choice
 from ..functions.text import jaccard, text_key, tokens
 from ..operators import evaluation, generation, metrics, neardup, registry, sampling, synthetic, training
 from ..operators import items as it
+from ..operators.providers import Calls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -291,6 +294,28 @@ def evaluation_rows(spark, sf_dir):
     return rows.select("example_id", "predicted_id", "predicted_letter", "correct_letter", "is_correct", "parse_failure")
 
 
+def _half_answering():
+    """The same provider on a day when it fails for every other prompt."""
+    answer = _answering()
+
+    def reply(prompt: str) -> str:
+        if zlib.crc32(prompt.encode()) % 2:
+            raise RuntimeError("overloaded")
+        return answer(prompt)
+
+    return reply
+
+
+def evaluation_rows_resumed(spark, sf_dir):
+    """The evaluation in two runs over one ledger: the second asks only what the first got no answer to."""
+    calls = Calls(ledger=f"{neardup.shared_folder(spark)}/replies-{uuid.uuid4().hex}", scope="m")
+    rows = [evaluation.evaluate(mc_items(spark, sf_dir), client, order=prompts.hash_ordered, calls=calls) for client in (_half_answering, _answering)][1]
+    found = neardup.kept(rows.select("example_id", "predicted_id", "predicted_letter", "correct_letter", "is_correct", "parse_failure"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(calls.ledger)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return found
+
+
 def _generating():
     """A provider whose candidates are new, the same again, known, empty, and new."""
 
@@ -321,7 +346,7 @@ QUERIES = {f.__name__: f for f in (
     mc_accuracy_by_type, eval_result_rows, signature_histogram, flag_counts, dataset_stats, stratified_sample_exact, option_scoring_rows, validation_violations, stratified_allocation, stratified_split_hash, split_signature_histogram,
     stratified_split_exact, split_lookup, prompt_shuffle_exact, prompt_completion_rows, loglikelihood_choice, hash_sample_topk, stratified_sample, text_key_dedup_first, exact_dup_to_reference_anti,
     exact_dup_semi, token_jaccard_pairs, near_dup_greedy, approval_rejections, approve_query_rows, augment_variants, augment_strategy_counts, train_admission_mix, registry_latest, registry_filter,
-    registry_compare, stratified_split_exact_sizes, stratified_sample_exact_sizes, hash_sample_half, sft_conversation_pairs, evaluation_rows, generated_queries, sft_training_sets)}
+    registry_compare, stratified_split_exact_sizes, stratified_sample_exact_sizes, hash_sample_half, sft_conversation_pairs, evaluation_rows, evaluation_rows_resumed, generated_queries, sft_training_sets)}
 
 _SAID = ", ".join("'" + r.replace("'", "''") + "'" for r in RESPONSES)
 _MARK = r"[).:\-]?"
@@ -413,5 +438,6 @@ SELECT split, example_id, prompt, 'ABCDE'[list_position(ks, gold)] AS completion
     "sft_conversation_pairs": "SELECT conv_id, turn, prompt, completion FROM (SELECT conv_id, turn, role, text AS prompt, lead(role) OVER w AS nx, lead(text) OVER w AS completion FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nx = 'assistant'",
 }
 # the exact ways differ in which rows they take, not in how many
+ORACLE_SQL["evaluation_rows_resumed"] = ORACLE_SQL["evaluation_rows"]
 ORACLE_SQL["stratified_split_exact_sizes"] = ORACLE_SQL["split_signature_histogram"]
 ORACLE_SQL["stratified_sample_exact_sizes"] = f"SELECT lang, count(*) AS n FROM ({ORACLE_SQL['stratified_sample']}) x GROUP BY lang"
