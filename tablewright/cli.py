@@ -204,7 +204,10 @@ def run_eval(spark, a):
 
 
 def run_train(spark, a):
-    """Training sets, and a trainer of the caller's: (sets, folder, model) to a dict of metrics, outputs and metadata."""
+    """Training sets, and a trainer of the caller's: (sets, folder, model) to a dict of metrics, outputs and metadata.
+
+    With ``--workers`` the trainer runs in that many tasks at once (training.Trainer).
+    """
     inputs = {"dataset": a.dataset, "splits": a.splits} | ({"augmented": a.augmented} if a.augmented else {})
     with runs.tracked(spark, a.registry, "train", a.model, a.stage, a.parent_run_id, a.command_line, inputs) as run:
         a.split = "train"
@@ -219,7 +222,7 @@ def run_train(spark, a):
         run["outputs"] = {"output_dir": a.output}
         if a.trainer:
             sets = spark.read.schema("example_id string, prompt string, completion string, split string").json(f"{a.output}/sets")
-            result = _named(a.trainer)(sets, a.output, a.model)
+            result = training.train_together(sets, _named(a.trainer), int(a.workers), a.output, a.model) if a.workers else _named(a.trainer)(sets, a.output, a.model)
             for part in ("metrics", "outputs", "metadata"):
                 run[part] |= result.get(part, {})
 
@@ -281,7 +284,7 @@ COMMANDS = {
     "approve-synthetic-query": (partial(_approve, full=False), _APPROVE), "approve-synthetic-full": (partial(_approve, full=True), _APPROVE),
     "build-synthetic-train": (build_synthetic_train, "dataset splits output query-approved? full-approved? target-ratio? full-share=0.0 max-query-examples? max-full-examples? seed=1508"),
     "run-eval": (run_eval, f"dataset splits split=test model? client registry output eval-mode=generative limit? stage=baseline parent-run-id? {_CALLS}"),
-    "run-train": (run_train, "dataset splits model registry output augmented? trainer? stage=candidate parent-run-id?"),
+    "run-train": (run_train, "dataset splits model registry output augmented? trainer? workers? stage=candidate parent-run-id?"),
     "list-runs": (list_runs, "registry run-type? status? stage? format=table"), "compare-runs": (compare_runs, "registry run-id+ format=table output?"), "plot-results": (plot_results, "input+ only* exclude* title=Accuracy output?"), "promote-run": (promote_run, "registry run-id stage output?"),
 }
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +44,72 @@ def training_sets(items: DataFrame, manifest: DataFrame, augmented: DataFrame |
     return completion_rows(rows, order, "split")
 
 
+@dataclass(frozen=True)
+class Rank:
+    """A worker's place among those that train together."""
+
+    number: int
+    size: int
+    context: BarrierTaskContext
+
+    @property
+    def addresses(self) -> list[str]:
+        """host:port of every worker's task, by rank; the first is where a process group may meet."""
+        return [t.address for t in self.context.getTaskInfos()]
+
+    def wait(self) -> None:
+        """Go on when all workers are here."""
+        self.context.barrier()
+
+    def gather(self, text: str) -> list[str]:
+        """What every worker says, by rank."""
+        return self.context.allGather(text)
+
+
+#: (rank, batches of its rows, folder, model) to a dict with metrics, outputs and metadata, any of which may be missing.
+Trainer = Callable[[Rank, Iterator[pa.RecordBatch], str, str], dict]
+
+
+def train_together(sets: DataFrame, trainer: Trainer, workers: int, folder: str, model: str) -> dict:
+    """Run ``trainer`` in ``workers`` tasks that start together, and return the first worker's result, with the rows each worker got.
+
+    A row's worker follows from its example_id alone, and a worker's rows come in order of split and example_id, so every
+    attempt and every cluster deals them alike. Rows of one id go to one worker: ids are meant to be unique. If one
+    worker is lost all start again, as a barrier stage does; a trainer that wants to go on from where it was keeps
+    checkpoints in ``folder``. Rows are streamed once; for further epochs a trainer spools them. The cluster needs
+    ``workers`` free slots at once. An empty table is an error.
+    """
+    if workers < 1:
+        raise ValueError("at least one worker is needed")
+    if sets.isEmpty():
+        raise ValueError("there are no rows to train on")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, seen = BarrierTaskContext.get(), 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal seen
+            for b in batches:
+                seen += b.num_rows
+                yield b
+
+        rank = Rank(context.partitionId(), workers, context)
+        mine = counted()
+        result = trainer(rank, mine, folder, model) or {}
+        for _ in mine:  # rows that the trainer left count too
+            pass
+        rank.wait()  # no result before all are done
+        yield pa.RecordBatch.from_pydict({"rank": pa.array([rank.number], pa.int32()), "rows": pa.array([seen], pa.int64()), "result": [json.dumps(result)]})
+
+    dealt = sets.repartition(workers, "example_id").sortWithinPartitions("split", "example_id")
+    told = dealt.mapInArrow(run, "rank int, rows long, result string", barrier=True)
+    found = told.repartition(1).collect()  # a row a worker; Spark restarts a barrier stage only if a shuffle follows it
+    found.sort(key=lambda r: r["rank"])
+    result = {part: {} for part in ("metrics", "outputs", "metadata")} | json.loads(found[0]["result"])
+    result["metadata"] = result["metadata"] | {"rows_by_rank": json.dumps([r["rows"] for r in found])}
+    return result
+
+
 def train_metrics(state: Column) -> Column:
     """Of a trainer's state (variant): the figures in TRAIN_METRICS that are present, as a map."""
     found = [F.struct(F.lit(n).alias("k"), F.try_variant_get(state, f"$.{n}", "double").alias("v")) for n in TRAIN_METRICS]

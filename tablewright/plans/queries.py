@@ -15,6 +15,7 @@ from ..functions.text import jaccard, text_key, tokens
 from ..operators import evaluation, generation, metrics, neardup, registry, sampling, synthetic, training
 from ..operators import items as it
 from ..operators.providers import Calls
+from ..sources import json_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -342,11 +343,20 @@ def sft_training_sets(spark, sf_dir):
     return training.training_sets(items, manifest, augmented_items(spark, sf_dir).join(trained, "parent_example_id", "left_semi"), prompts.hash_ordered)
 
 
+def nested_scalars(spark, sf_dir):
+    """Orders as nested objects, five levels deep, and all their scalars under dotted names."""
+    orders = _table(spark, sf_dir, "orders")
+    terms = F.struct(F.struct(F.concat(F.lit("["), "o_orderpriority").alias("text"), F.array(F.lit(1)).alias("list")).alias("priority"), F.lit(None).cast("string").alias("none"))
+    who = F.struct(F.col("o_custkey").alias("customer"), F.struct((F.col("o_orderstatus") == "O").alias("open"), terms.alias("terms")).alias("sale"))
+    nested = orders.select("o_orderkey", F.parse_json(F.to_json(F.struct(F.concat(F.lit("{"), "o_orderstatus").alias("status"), who.alias("who")), {"ignoreNullFields": "false"})).alias("v"))
+    return json_files.flat_scalars(nested, "o_orderkey", "v")
+
+
 QUERIES = {f.__name__: f for f in (
     mc_accuracy_by_type, eval_result_rows, signature_histogram, flag_counts, dataset_stats, stratified_sample_exact, option_scoring_rows, validation_violations, stratified_allocation, stratified_split_hash, split_signature_histogram,
     stratified_split_exact, split_lookup, prompt_shuffle_exact, prompt_completion_rows, loglikelihood_choice, hash_sample_topk, stratified_sample, text_key_dedup_first, exact_dup_to_reference_anti,
     exact_dup_semi, token_jaccard_pairs, near_dup_greedy, approval_rejections, approve_query_rows, augment_variants, augment_strategy_counts, train_admission_mix, registry_latest, registry_filter,
-    registry_compare, stratified_split_exact_sizes, stratified_sample_exact_sizes, hash_sample_half, sft_conversation_pairs, evaluation_rows, evaluation_rows_resumed, generated_queries, sft_training_sets)}
+    registry_compare, stratified_split_exact_sizes, stratified_sample_exact_sizes, hash_sample_half, sft_conversation_pairs, nested_scalars, evaluation_rows, evaluation_rows_resumed, generated_queries, sft_training_sets)}
 
 _SAID = ", ".join("'" + r.replace("'", "''") + "'" for r in RESPONSES)
 _MARK = r"[).:\-]?"
@@ -438,6 +448,10 @@ SELECT split, example_id, prompt, 'ABCDE'[list_position(ks, gold)] AS completion
     "sft_conversation_pairs": "SELECT conv_id, turn, prompt, completion FROM (SELECT conv_id, turn, role, text AS prompt, lead(role) OVER w AS nx, lead(text) OVER w AS completion FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nx = 'assistant'",
 }
 # the exact ways differ in which rows they take, not in how many
+ORACLE_SQL["nested_scalars"] = """SELECT o_orderkey, 'status' AS name, '{' || o_orderstatus AS value, NULL::DOUBLE AS number FROM orders WHERE o_orderstatus IS NOT NULL
+UNION ALL SELECT o_orderkey, 'who.customer', o_custkey::VARCHAR, o_custkey::DOUBLE FROM orders WHERE o_custkey IS NOT NULL
+UNION ALL SELECT o_orderkey, 'who.sale.open', (o_orderstatus = 'O')::VARCHAR, (o_orderstatus = 'O')::INT::DOUBLE FROM orders WHERE o_orderstatus IS NOT NULL
+UNION ALL SELECT o_orderkey, 'who.sale.terms.priority.text', '[' || o_orderpriority, NULL FROM orders WHERE o_orderpriority IS NOT NULL"""
 ORACLE_SQL["evaluation_rows_resumed"] = ORACLE_SQL["evaluation_rows"]
 ORACLE_SQL["stratified_split_exact_sizes"] = ORACLE_SQL["split_signature_histogram"]
 ORACLE_SQL["stratified_sample_exact_sizes"] = f"SELECT lang, count(*) AS n FROM ({ORACLE_SQL['stratified_sample']}) x GROUP BY lang"

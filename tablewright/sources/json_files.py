@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.items import explanation_lists
@@ -26,10 +26,65 @@ RAW = "array<struct<query:string,query_type:map<string,variant>,options:map<stri
 NEEDED = ("run_id", "phase", "provider", "model_name", "split", "example_id", "prompt_version", "raw_response", "gold_option_id", "is_correct")
 
 
+def read_array(spark: SparkSession, path: str) -> DataFrame:
+    """Files that are one JSON array of objects each: (file, pos, record), the text of each object and its place in its file.
+
+    A file is read by byte ranges, as pieces that end at a closing brace. Whether a piece starts within a string, and how
+    deep in objects, are sums over the pieces before it: quotes (escaped ones apart) and braces. They are summed within
+    each range, then over the ranges' totals, so a file is never in one task. Only pieces of one object meet again.
+    An array that is broken off, or holds anything but objects, fails the read; an empty file has no records.
+    """
+    # an escape never spans pieces: a brace is not escaped in JSON. lineSep is the brace, so pieces come without it
+    pieces = spark.read.text(path, lineSep="}").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    parts = F.split(F.regexp_replace("value", r"\\.", "__"), '"')
+    opened = lambda of: F.length(of) - F.length(F.replace(of, F.lit("{"), F.lit("")))
+    inside = lambda odd: F.aggregate(F.transform(parts, lambda p, i: F.when(i % 2 == odd, opened(p)).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    pieces = pieces.withColumn("quotes", F.size(parts) - 1)
+    # of a piece: the change of depth if it starts outside of a string, and if it starts inside one; its own brace counts where it ends outside
+    pieces = pieces.withColumn("d0", inside(0) - F.when(F.col("quotes") % 2 == 0, 1).otherwise(0)).withColumn("d1", inside(1) - F.when(F.col("quotes") % 2 == 1, 1).otherwise(0))
+
+    def running(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+        """Quotes and changes of depth before each row, for both states at the start of the window."""
+        before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("q", F.coalesce(F.sum("quotes").over(before), F.lit(0)))
+        here = lambda start: F.when((F.col("q") + start) % 2 == 0, F.col("d0")).otherwise(F.col("d1"))
+        rows = rows.withColumn("own0", here(0)).withColumn("own1", here(1))
+        return rows.withColumn("b0", F.coalesce(F.sum("own0").over(before), F.lit(0))).withColumn("b1", F.coalesce(F.sum("own1").over(before), F.lit(0)))
+
+    local = running(pieces, ["file", "block"], "n")
+    totals = local.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.sum("own0").alias("d0"), F.sum("own1").alias("d1"))
+    totals = running(totals, ["file"], "block")  # a row of numbers a range
+    every = Window.partitionBy("file")
+    # the last piece is the end of the array, and has no brace: it brings the depth to -1
+    broken = (F.sum("own0").over(every) != -1) | (F.sum("quotes").over(every) % 2 != 0)
+    totals = totals.select("file", "block", (F.col("q") % 2).alias("start"), F.col("b0").alias("deep"), broken.alias("broken"))
+    known = local.join(totals, ["file", "block"])
+    out = (F.col("q") + F.col("start") + F.col("quotes")) % 2 == 0
+    first = F.col("start") == 0
+    deep = F.col("deep") + F.when(first, F.col("b0") + F.col("own0")).otherwise(F.col("b1") + F.col("own1"))
+    known = known.select("file", "block", "n", "value", "broken", (out & (deep == 0)).alias("last"), (out & (deep < 0)).alias("tail"))
+    # records that end before a piece: within its range, then in the ranges before
+    seen = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    known = known.withColumn("done", F.coalesce(F.sum(F.col("last").cast("long")).over(seen), F.lit(0)))
+    ends = known.groupBy("file", "block").agg(F.sum(F.col("last").cast("long")).alias("ends"))
+    ends = ends.select("file", "block", F.coalesce(F.sum("ends").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    placed = known.join(ends, ["file", "block"]).withColumn("pos", F.col("base") + F.col("done"))
+    records = placed.groupBy("file", "pos").agg(
+        F.array_sort(F.collect_list(F.struct("block", "n", "value"))).alias("p"), F.max("broken").alias("broken"), F.max("tail").alias("tail"))
+    text = F.array_join(F.transform("p", lambda x: x["value"]), "}")
+    lead = F.when(F.col("pos") == 0, r"^\s*\[\s*").otherwise(r"^\s*,\s*")
+    fine = F.when(F.col("tail"), text.rlike(r"^\s*\]\s*$") | ((F.col("pos") == 0) & text.rlike(r"^\s*\[\s*\]\s*$"))).otherwise(F.regexp_like(text, F.concat(lead, F.lit(r"\{"))))
+    checked = records.withColumn("fine", fine & ~F.col("broken")).withColumn("text", F.concat(F.regexp_replace(text, lead, F.lit("")), F.lit("}")))
+    # the end of the array is checked with the records, as a row that is then left out
+    checked = checked.withColumn("record", F.when(F.col("fine"), F.when(~F.col("tail"), F.col("text"))).otherwise(F.raise_error(F.concat(F.lit("not an array of objects: "), F.col("file")))))
+    return checked.where(F.col("record").isNotNull()).select("file", "pos", "record")
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """A file that is one JSON array of records: (pos, query, query_type, options, answer, correctness_explanation)."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.from_json("value", RAW, {"mode": "FAILFAST"})).alias("pos", "r")).select("pos", "r.*")
+    record = F.from_json("record", RAW.removeprefix("array<").removesuffix(">"), {"mode": "FAILFAST"})
+    return read_array(spark, path).select("pos", record.alias("r")).select("pos", "r.*")
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -184,9 +239,39 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
 
 
-def flat_scalars(df: DataFrame, key: str, variant: str) -> DataFrame:
-    """(key, name, value): the scalars of a variant object two levels deep, under dotted names."""
-    top = df.select(key, F.explode(F.from_json(F.to_json(variant), "map<string,string>")).alias("name", "value"))
-    inner = F.from_json("value", "map<string,string>")
-    nested = top.where("value like '{%'").select(key, "name", F.explode(inner).alias("sub", "v")).select(key, F.concat_ws(".", "name", "sub").alias("name"), F.col("v").alias("value"))
-    return top.where("value not like '{%' and value not like '[%'").union(nested.where("value not like '[%'"))
+def _nesting(variant: str) -> Column:
+    """Levels of objects and arrays in a variant: brackets of its JSON text outside of strings, as running sums."""
+    texts = F.regexp_replace(F.regexp_replace(F.to_json(variant), r"\\.", ""), r'"[^"]*"', "")  # first what is escaped, so that quotes pair up
+    marks = F.regexp_replace(texts, r"[^{}\[\]]", "")
+    now = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
+
+    def step(state: Column, mark: Column) -> Column:
+        depth = state["depth"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.greatest(state["most"], depth).alias("most"))
+
+    return F.aggregate(F.split(marks, ""), now, step, lambda state: state["most"])
+
+
+def flat_scalars(df: DataFrame, key: str, variant: str, depth: int | None = None) -> DataFrame:
+    """(key, name, value, number): the scalars of a variant object at any depth, under dotted names.
+
+    value is the scalar as text (booleans are true and false); number is that of numbers and booleans (1 and 0), else
+    null. Lists, nulls and empty objects have no row; nor have variants that are null or no objects. ``depth`` is the
+    number of levels to open; without it one job finds the greatest of all rows. Every level is opened in the same
+    stage, so nothing is shuffled.
+    """
+    if depth is None:
+        depth = df.agg(F.max(_nesting(variant))).first()[0] or 0  # one number
+    inner = F.try_variant_get("v", "$", "map<string,variant>")
+    # the variant itself is no scalar of an object
+    rows = df.select(F.col(key).alias("key"), F.lit("").alias("name"), F.col(variant).alias("v")).where(inner.isNotNull())
+    for level in range(depth):
+        member = F.struct(F.lit("").alias("key"), F.col("v").alias("value"))
+        members = F.coalesce(F.transform(F.map_entries(inner), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))), F.array(member))
+        opened = rows.select("key", "name", inner.isNotNull().alias("deeper"), F.explode(members).alias("m"))
+        name = F.col("m.key") if level == 0 else F.when(F.col("deeper"), F.concat("name", F.lit("."), "m.key")).otherwise(F.col("name"))
+        rows = opened.select("key", name.alias("name"), F.col("m.value").alias("v"))
+    kind = F.schema_of_variant("v")
+    rows = rows.where(~F.is_variant_null("v") & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"))
+    number = F.when(kind == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("double")).when(kind != "STRING", F.try_variant_get("v", "$", "double"))
+    return rows.select(F.col("key").alias(key), "name", F.try_variant_get("v", "$", "string").alias("value"), number.alias("number"))
