@@ -224,21 +224,25 @@ def _code(path: str, with_ids: bool):
     return run
 
 
-def piece_coding(docs: DataFrame, model_path: str, with_ids: bool = False, block: int = 40_000_000) -> DataFrame:
+def piece_coding(docs: DataFrame, model_path: str, with_ids: bool = False, block: int = 40_000_000, owners: int = 4096) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are ignored): doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for.
 
     Ids are those of the library's encode of the whole text (null: empty), without begin or end ids;
     the decoded text is that of its decode of these ids. An empty text has no ids. An empty table
     gives an empty result; repeated rows give repeated results. A block ends at the text that brings
     it to ``block`` characters; a longer text is a block of its own or ends one. There are as many
-    buckets as shuffle partitions, or as files' splits if these are more. ``docs`` must be a deterministic read (files): it is read for the
-    words and for the texts, and both must form the same blocks.
+    buckets as shuffle partitions, or as files' splits if these are more, but never over ``owners``: so many rows
+    at most a block sends and gets back, however large the corpus is. An owner reads its rows as a stream.
+    ``docs`` must be a deterministic read (files): it is read for the words and for the texts, and both must
+    form the same blocks.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = with_uid(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    words = rows.mapInArrow(_words(block, buckets), _ROWS).repartition(buckets, "part").sortWithinPartitions("part")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    buckets = min(parts, owners)
+    # by number, not by its hash: every owner is a task of its own
+    words = rows.mapInArrow(_words(block, buckets), _ROWS).repartitionById(buckets, "part").sortWithinPartitions("part")
     answers = words.mapInArrow(_owner(model_path), _ROWS)
-    met = answers.unionByName(rows.mapInArrow(_texts(block), _ROWS)).repartition(buckets, "block").sortWithinPartitions("block", "kind", "part")
+    met = answers.unionByName(rows.mapInArrow(_texts(block), _ROWS)).repartition(parts, "block").sortWithinPartitions("block", "kind", "part")
     return met.mapInArrow(_code(model_path, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -7,11 +7,16 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Where ``store`` notes the tables of the piece of work that is going on, if anyone asked.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,15 +51,36 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def store(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table goes when the driver ends, or with the ``passing_tables`` around it unless it ``stays``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
+    if _noted.get() is not None and not stays:
+        _noted.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables stored in the block go at its end, also if it fails; those that are to outlive it are stored with ``stays``.
+
+    Blocks may be nested, and threads do not see each other's.
+    """
+    mine: list[str] = []
+    token = _noted.set(mine)
+    try:
+        yield
+    finally:
+        _noted.reset(token)
+        for path in mine:
+            _drop(spark, path)
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove a stored table that no later plan reads."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:

@@ -129,6 +129,50 @@ def test_very_long_texts(spark, table):
         assert got[d] == (len(ids), sha(",".join(map(str, ids))), sha(model.decode(ids)))
 
 
+def test_rows_of_a_block_do_not_grow_with_the_partitions(spark, docs_in_files, monkeypatch):
+    """A block sends at most one row an owner, whatever the number of partitions; values are the library's."""
+    import pandas as pd
+    import sentencepiece
+
+    asked, real = [], piece_coding._words
+    monkeypatch.setattr(piece_coding, "_words", lambda block, buckets: asked.append(buckets) or real(block, buckets))
+    cut = docs_in_files.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("uid"))
+    made = cut.mapInArrow(real(20_000, 8), piece_coding._ROWS).groupBy("block").count().toPandas()
+    assert made["count"].max() <= 8 and len(made) > 5
+    model, old = sentencepiece.SentencePieceProcessor(model_file=MODEL()), spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("400", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        piece_coding.piece_coding(docs_in_files, MODEL(), owners=8)
+    assert asked == [8, 8]
+    got = piece_coding.piece_coding(docs_in_files, MODEL(), block=20_000, owners=8)
+    got = got.toPandas().set_index("doc_id")
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = pd.DataFrame([(r.doc_id, sha(",".join(map(str, model.encode(r.text or ""))))) for r in docs_in_files.collect()], columns=["doc_id", "h"]).set_index("doc_id")
+    assert got.ids_sha256.sort_index().tolist() == want.h.sort_index().tolist()
+
+
+@pytest.fixture
+def docs_in_files(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+def test_stages_leave_no_tables(spark, tmp_path, monkeypatch):
+    """Of the tables that the stages store only those of the last are there when run() returns; a block that fails drops its own."""
+    from tablewright.llm import shared
+
+    monkeypatch.setattr(shared, "shared_folder", lambda s: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, DATA)
+    names = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if any(p.rglob("*.parquet")))
+    assert [n for n in names if n.startswith("pipeline-")] == ["pipeline-substring"] and len(names) <= 3
+    assert out.count() > 0
+    before = set(tmp_path.iterdir())
+    with pytest.raises(RuntimeError), shared.passing_tables(spark):
+        kept = shared.store(spark.range(3), "kept", stays=True)
+        shared.store(spark.range(3), "gone")
+        raise RuntimeError("stopped")
+    assert kept.count() == 3 and [p.name.split("-")[0] for p in set(tmp_path.iterdir()) - before] == ["kept"]
+
+
 def _substring(rows, least):
     split = [words(t) for _, t in rows]
     met = Counter(tuple(w[i : i + least]) for w in split for i in range(len(w) - least + 1))
