@@ -1,11 +1,14 @@
 """Tracked runs: an append-only log of events; the state of a run is its latest event.
 
-Nothing is overwritten, so two drivers may append at once and a reader never meets a half-written table.
+Nothing is overwritten, so two drivers may append at once and a reader never meets a half-written table. A change of
+a run builds on its latest event: a writer claims the next number of the run first, and one that comes second reads again.
 """
 
 from __future__ import annotations
 
+import hashlib
 import platform
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -54,6 +57,40 @@ def read_events(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.schema(EVENT).json(log, mode="FAILFAST").withColumn("seq", F.coalesce("seq", F.lit(0)))
 
 
+def _claim(spark: SparkSession, log: str, run_id: str, seq: int) -> bool:
+    """Whether this writer is the one that may write event ``seq`` of the run: a file that only one can create."""
+    name = f"{hashlib.sha256(run_id.encode()).hexdigest()}-{seq}"  # readers pass over folders that begin with _
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{log}/_claims/{name}")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where.getParent())
+    if files.getUri().getScheme() == "file":  # the local file system's own call looks first and creates then
+        return spark._jvm.java.io.File(files.makeQualified(where).toUri().getPath()).createNewFile()
+    return files.createNewFile(where)
+
+
+def advance(spark: SparkSession, log: str, run_id: str, change: dict, patience: float = 60.0, pause: float = 0.2) -> dict:
+    """One event more of a run: its latest with ``change``; returns it.
+
+    If another writer has claimed the next number, its event is waited for and built upon, so of changes made at once
+    none is lost. A writer that claimed a number and is not heard of for ``patience`` seconds is taken for dead, and its
+    number is passed over. An unknown run is an error.
+    """
+    passed, since = -1, time.monotonic()
+    while True:
+        found = current(read_events(spark, log).where(F.col("run_id") == run_id)).head(1)  # one row
+        if not found:
+            raise ValueError(f"no run {run_id}")
+        latest_one = found[0].asDict(recursive=True)
+        seq = max(latest_one["seq"], passed) + 1
+        event = _checked(latest_one | change | {"seq": seq})
+        if _claim(spark, log, run_id, seq):
+            return append(spark, log, event)
+        if time.monotonic() - since > patience:
+            passed, since = seq, time.monotonic()
+        else:
+            time.sleep(pause)
+
+
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """The manifests of a folder, ``root``/runs/<run>/run_manifest.json, in order of their paths; without any the table is empty."""
     pattern = f"{root}/runs/*/run_manifest.json"
@@ -117,7 +154,7 @@ def tracked(spark: SparkSession, log: str, run_type: str, model: str, stage: str
     def close(status: str, **more: str) -> None:
         at = clock()
         metadata = {k: str(v) for k, v in result["metadata"].items()} | more
-        append(spark, log, run | {"seq": 1, "status": status, "finished_at": at, "updated_at": at, "output_artifacts": artifact_refs(spark, result["outputs"]), "metrics": {k: float(v) for k, v in result["metrics"].items()}, "metadata": metadata})
+        advance(spark, log, run["run_id"], {"status": status, "finished_at": at, "updated_at": at, "output_artifacts": artifact_refs(spark, result["outputs"]), "metrics": {k: float(v) for k, v in result["metrics"].items()}, "metadata": metadata})
 
     try:
         yield result
@@ -129,11 +166,7 @@ def tracked(spark: SparkSession, log: str, run_type: str, model: str, stage: str
 
 def promote(spark: SparkSession, log: str, run_id: str, stage: str, clock: Callable[[], str] = now) -> None:
     """A new stage for a run, as one event more; an unknown run or stage is an error."""
-    found = current(read_events(spark, log)).where(F.col("run_id") == run_id).head(1)  # one row
-    if not found:
-        raise ValueError(f"no run {run_id}")
-    run = found[0].asDict(recursive=True)
-    append(spark, log, run | {"seq": run["seq"] + 1, "stage": stage, "updated_at": clock()})
+    advance(spark, log, run_id, {"stage": stage, "updated_at": clock()})
 
 
 def parent_model(runs: DataFrame, run_id: str) -> str:
