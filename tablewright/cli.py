@@ -119,7 +119,7 @@ def _generate(spark, a, full: bool) -> None:
     train, known = _split(spark, a), json_files.read_lines(spark, a.dataset, ITEM)
     make = generation.generate_full if full else generation.generate_queries
     rows = make(known, train, _named(a.client), a.model, runs.now(), a.limit, a.max_candidates_per_seed if full else a.max_candidates_per_parent, a.seed, calls=_calls(a))
-    json_files.write_lines(rows, a.output, ["pos"])
+    json_files.write_lines(_sound(rows, full), a.output, ["pos"])
 
 
 def _review(spark, a, full: bool) -> None:
@@ -132,9 +132,14 @@ def _review(spark, a, full: bool) -> None:
 
 def _synthetic(spark, path: str, full: bool, status: str | None = None) -> DataFrame:
     """Synthetic rows, checked: ids, provenance and, if given, the review status of every row."""
-    rows = json_files.read_full(spark, path) if full else json_files.read_lines(spark, path, json_files.SYNTHETIC_QUERY)
+    return _sound(json_files.read_full(spark, path) if full else json_files.read_lines(spark, path, json_files.SYNTHETIC_QUERY), full, status)
+
+
+def _sound(rows: DataFrame, full: bool, status: str | None = None) -> DataFrame:
+    """The rows, if all are sound items with their provenance and no two share an id."""
     needed = ["synthetic_mode", "generator_model", "generation_prompt_version", "created_at", "intended_query_type_target", "distractor_generation_method" if full else "parent_example_id"]
     bad = F.coalesce(
+        items.item_violation(F.col("options"), F.col("answer_option_id")),
         synthetic.provenance_violation(F.col("review_status"), F.col("review_scores"), [F.col(c) for c in needed]),
         F.when(F.col("synthetic_mode") != (generation.FULL_MODE if full else generation.QUERY_MODE), "wrong synthetic mode"),
         *([F.when(F.coalesce(F.size("seed_example_ids") < 1, F.lit(True)), "no seeds")] if full else []),
@@ -177,6 +182,8 @@ def build_synthetic_train(spark, a):
     if synthetic.collisions(rows, known).head(1):
         raise ValueError("synthetic rows use ids twice, or ids of items")
     json_files.write_lines(rows, a.output, ["track", "example_id"])
+    if a.summary_output:
+        json_files.write_document(synthetic.admission_summary(rows, train, number(a.target_ratio, float), float(a.full_share)).withColumn("output_path", F.lit(a.output)), a.summary_output)
     _told(metrics.histogram(rows, F.col("track")))
     rows.unpersist()
 
@@ -282,7 +289,7 @@ COMMANDS = {
     "generate-synthetic-query": (partial(_generate, full=False), f"{_GENERATE} limit=75 max-candidates-per-parent=3"), "generate-synthetic-full": (partial(_generate, full=True), f"{_GENERATE} limit=40 max-candidates-per-seed=1"),
     "review-synthetic-query": (partial(_review, full=False), f"input dataset client model output {_CALLS}"), "review-synthetic-full": (partial(_review, full=True), f"input dataset client model output {_CALLS}"),
     "approve-synthetic-query": (partial(_approve, full=False), _APPROVE), "approve-synthetic-full": (partial(_approve, full=True), _APPROVE),
-    "build-synthetic-train": (build_synthetic_train, "dataset splits output query-approved? full-approved? target-ratio? full-share=0.0 max-query-examples? max-full-examples? seed=1508"),
+    "build-synthetic-train": (build_synthetic_train, "dataset splits output query-approved? full-approved? target-ratio? full-share=0.0 max-query-examples? max-full-examples? seed=1508 summary-output?"),
     "run-eval": (run_eval, f"dataset splits split=test model? client registry output eval-mode=generative limit? stage=baseline parent-run-id? {_CALLS}"),
     "run-train": (run_train, "dataset splits model registry output augmented? trainer? workers? stage=candidate parent-run-id?"),
     "list-runs": (list_runs, "registry run-type? status? stage? format=table"), "compare-runs": (compare_runs, "registry run-id+ format=table output?"), "plot-results": (plot_results, "input+ only* exclude* title=Accuracy output?"), "promote-run": (promote_run, "registry run-id stage output?"),

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, text_key
 from .neardup import greedy_keep, score
+from .providers import Client, with_replies
 from .sampling import SEED, first_occurrences, hash_sample, ratio_targets
 
 STATUSES = ("pending", "approved", "rejected")
@@ -102,27 +99,21 @@ def admit(train_rows: int, queries: DataFrame | None, full: DataFrame | None, ra
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def admission_summary(admitted: DataFrame, train_rows: int, ratio: float | None = None, full_share: float = 0.0) -> DataFrame:
+    """One row: how many rows of each track enter training, beside how many authentic ones, and what was asked for."""
+    of = lambda track: F.count(F.when(F.col("track") == track, 1))
+    return admitted.agg(of("query").alias("synthetic_query_count"), of("full").alias("synthetic_full_count"), F.count("*").alias("total_synthetic_count")).select(
+        "*", F.lit(train_rows).cast("long").alias("train_example_count"), F.lit(ratio).cast("double").alias("target_ratio"), F.lit(full_share).cast("double").alias("full_share"))
+
+
 def collisions(selected: DataFrame, items: DataFrame) -> DataFrame:
     """Ids that must not be: taken from authentic items, or chosen twice."""
     return selected.select("example_id").intersect(items.select("example_id")).union(selected.groupBy("example_id").count().where("count > 1").select("example_id"))
 
 
-def call_provider(rows: DataFrame, client: Callable[[], Callable[[str], dict]], key: str = "example_id", payload: str = "payload") -> DataFrame:
+def call_provider(rows: DataFrame, client: Client, key: str = "example_id", payload: str = "payload") -> DataFrame:
     """(key, reply JSON, error) of a client made once a task; a failed call gives an error, not a lost job."""
-
-    def run(batches):
-        ask = client()
-        for b in batches:
-            out = []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    out.append((k, json.dumps(ask(text), sort_keys=True), None))
-                except Exception as e:  # the provider's failure is data here
-                    out.append((k, None, str(e)))
-            k, reply, error = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(reply, pa.string()), pa.array(error, pa.string())], names=[key, "reply", "error"])
-
-    return rows.select(F.col(key).cast("string"), payload).mapInArrow(run, f"{key} string, reply string, error string")
+    return with_replies(rows, F.col(payload), client).select(key, "reply", "error")
 
 
 def number_candidates(replies: DataFrame, items: DataFrame) -> DataFrame:

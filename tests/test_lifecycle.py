@@ -188,7 +188,9 @@ def test_synthetic_commands(spark, files, capsys):
         rows = spark.read.json(at(f"{kind}3")).collect()
         assert len(rows) == n and {r.approval_batch_id for r in rows} == {"b"}
     both = ["--query-approved", at("query3"), "--full-approved", at("full3")]
-    assert run("build-synthetic-train", *data, *both, "--target-ratio", 0.5, "--full-share", 0.5, "--output", at("more")) == 0
+    assert run("build-synthetic-train", *data, *both, "--target-ratio", 0.5, "--full-share", 0.5, "--output", at("more"), "--summary-output", at("summary")) == 0
+    summary = json.loads("\n".join(r[0] for r in spark.read.text(at("summary")).collect()))
+    assert summary == {"synthetic_query_count": 3, "synthetic_full_count": 3, "total_synthetic_count": 6, "train_example_count": 12, "target_ratio": 0.5, "full_share": 0.5, "output_path": at("more")}
     assert capsys.readouterr().out.split()[-4:] == ["full", "3", "query", "3"]
     assert run("build-synthetic-train", *data, *both, "--target-ratio", 0.5, "--max-full-examples", 1, "--output", at("x")) == 1
     assert run("build-synthetic-train", *data, "--query-approved", at("query1"), "--output", at("x")) == 1
