@@ -267,8 +267,8 @@ def flat_scalars(df: DataFrame, key: str, variant: str, depth: int | None = None
     rows = df.select(F.col(key).alias("key"), F.lit("").alias("name"), F.col(variant).alias("v")).where(inner.isNotNull())
     for level in range(depth):
         member = F.struct(F.lit("").alias("key"), F.col("v").alias("value"))
-        members = F.coalesce(F.transform(F.map_entries(inner), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))), F.array(member))
-        opened = rows.select("key", "name", inner.isNotNull().alias("deeper"), F.explode(members).alias("m"))
+        members = F.coalesce(F.transform(F.map_entries("inner"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))), F.array(member))
+        opened = rows.withColumn("inner", inner).select("key", "name", F.col("inner").isNotNull().alias("deeper"), F.explode(members).alias("m"))
         name = F.col("m.key") if level == 0 else F.when(F.col("deeper"), F.concat("name", F.lit("."), "m.key")).otherwise(F.col("name"))
         rows = opened.select("key", name.alias("name"), F.col("m.value").alias("v"))
     kind = F.schema_of_variant("v")
