@@ -15,13 +15,16 @@ fragment.
    returns a spanning forest of its links, and each set's distance from the leader.
    What a block links to the leader is one component wherever it is. The other sets are open. Jaccard
    distance is a metric: an open set that is too far from the leader for a link to any of its component is
-   left to the next round, where the far ones have a leader of their own; the rest, the near ones, are held
-   against the whole family in slices. So a family of near copies is sent in proportion to its size.
+   left to the next round, where the far ones have a leader of their own. The rest are near ones. Written as
+   differences from the leader, an open set and any partner share so many n-grams that the rarest few of
+   one's and of the other's have one in common: near sets are held, in slices, against the sets that they
+   meet in such an n-gram, directly or through others, and are done if there are none.
 3. Components of the links, in DataFrames.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from itertools import groupby
 
 import numpy as np
@@ -282,6 +285,16 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 _FOUND = "u long, v long, family long, joined boolean, far double"
 _FOUND_ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("family", pa.int64()), ("joined", pa.bool_()), ("far", pa.float64())])
+_DELTA = "family long, uid long, size long, token binary"
+_DELTA_ARROW = pa.schema([("family", pa.int64()), ("uid", pa.int64()), ("size", pa.int64()), ("token", pa.binary())])
+
+
+def _sent(batches, tally):
+    """The rows (family, a, b, role, uid, text) of sorted batches."""
+    for b in batches:
+        if tally is not None:
+            tally.add(b.num_rows)
+        yield from zip(*(b.column(i).to_pylist() for i in range(6)))
 
 
 def _count(k: int, percent: int, tally=None):
@@ -291,42 +304,36 @@ def _count(k: int, percent: int, tally=None):
     and are held against the others of role 1. a is -1 for a family of one block: nothing is left open there.
     """
 
-    def groups(batches):
-        for b in batches:
-            if tally is not None:
-                tally.add(b.num_rows)
-            yield from zip(*(b.column(i).to_pylist() for i in range(6)))
-
     def links(uids, texts, left):
         owner, column = gram_table(texts, k)
         size = np.bincount(owner, minlength=len(uids))
         both = overlaps(owner, column, len(uids), left)
         union = size[:left, None] + size[None, :] - both
-        linked = (100 * both >= percent * union) & (np.array(uids)[:left, None] != np.array(uids)[None, :])
-        return both, union, linked
+        return (100 * both >= percent * union) & (np.array(uids)[:left, None] != np.array(uids)[None, :]), 1 - both[0] / np.maximum(union[0], 1)
 
     def run(batches):
         pairs, sets = [], []
 
         def flush():
-            u, v, f, j, d = zip(*[(*p, None, None, None) for p in pairs], *[(r[0], None, *r[1:]) for r in sets])
+            columns = zip(*[(*p, None, None, None) for p in pairs], *[(r[0], None, *r[1:]) for r in sets])
+            out = pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(columns, _FOUND_ARROW)], schema=_FOUND_ARROW)
             pairs.clear(), sets.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip((u, v, f, j, d), _FOUND_ARROW)], schema=_FOUND_ARROW)
+            return out
 
-        for (family, a, b), rows in groupby(groups(batches), key=lambda r: r[:3]):
+        for (family, a, b), rows in groupby(_sent(batches, tally), key=lambda r: r[:3]):
             role, uids, texts = zip(*(r[3:] for r in rows))
             if b is None:
-                both, union, linked = links(uids, texts, len(uids)) if len(uids) > 1 else (np.zeros((1, 1)), np.ones((1, 1)), np.zeros((1, 1), bool))
+                linked, far = links(uids, texts, len(uids)) if len(uids) > 1 else (np.zeros((1, 1), bool), np.zeros(1))
                 forest = _forest(linked)
                 pairs += [(uids[x], uids[y]) for x, y in forest]
                 if a >= 0:  # the leader is the first set
                     joined = {0} | {y for x, y in forest if x == 0}
-                    sets += [(uids[i], family, i in joined, 1 - float(both[0, i]) / float(union[0, i])) for i in range(1, len(uids))]
+                    sets += [(uids[i], family, i in joined, float(far[i])) for i in range(1, len(uids))]
             else:
                 left = role.count(0)
                 if left < len(uids):
                     linked = np.zeros((len(uids), len(uids)), bool)
-                    linked[:left] = links(uids, texts, left)[2]
+                    linked[:left] = links(uids, texts, left)[0]
                     pairs += [(uids[x], uids[y]) for x, y in _forest(linked | linked.T)]
             if len(pairs) + len(sets) > 20_000:
                 yield flush()
@@ -336,6 +343,59 @@ def _count(k: int, percent: int, tally=None):
     return run
 
 
+def _grams_of(text: bytes, k: int) -> set[bytes]:
+    """The n-grams of words joined by one space, as such."""
+    words = text.split(b" ") if text else []
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def _deltas(k: int, tally=None):
+    """Groups sorted together in (family, a, b, role, uid, text), the leader (role 0) first; out: the n-grams of each other set in which it differs from the leader, by 128-bit digest."""
+
+    def run(batches):
+        held = []
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*held), _DELTA_ARROW)], schema=_DELTA_ARROW)
+            held.clear()
+            return out
+
+        for (family, *_), rows in groupby(_sent(batches, tally), key=lambda r: r[:3]):
+            lead = _grams_of(next(rows)[5], k)
+            for row in rows:
+                own = _grams_of(row[5], k)
+                held += [(family, row[4], len(own), blake2b(g, digest_size=16).digest()) for g in own ^ lead]
+                if len(held) > 20_000:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def _meeting(tokens: DataFrame, judged: DataFrame, percent: int) -> DataFrame:
+    """(uid, family, near): the sets that near ones may still be linked to, and these, in smaller families.
+
+    tokens: family, uid, size, token (n-grams in which a set differs from the leader); judged: uid, near. A
+    near set x is not linked to the leader L, so |x - L| + |y - L| (symmetric differences) is over
+    what a link of x and y allows for |x - y|, and they share o >= (|x - L| + |y - L| - |x - y|) / 2 >= 1 of these n-grams.
+    In any order of n-grams the first |x - L| - o + 1 of x's and the first |y - L| - o + 1 of y's have one in common.
+    Linked sets differ in at most (100 - percent) |x| / percent =: d, so that with |x - L| <= |y - L| the first
+    d / 2 + 1 of x's and the first d + 1 of y's do. The order is by how many sets of the family differ in an n-gram, rarest first.
+    """
+    counts = store(tokens.groupBy("family", "token").agg(F.count("*").alias("n")).where("n > 1"), "differences-met")
+    ranked = tokens.join(counts, ["family", "token"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("family", "uid").orderBy("n", "token"))
+    first = ranked.withColumn("place", place).withColumn("d", F.floor((100 - percent) * F.col("size") / percent))
+    first = first.where("place <= d + 1 and n > 1").select("family", "uid", "token", (F.col("place") <= F.floor(F.col("d") / 2) + 1).alias("short"))
+    first = store(first.join(judged.select("uid", "near"), "uid"), "first-differences")
+    stars = first.groupBy("family", "token").agg(F.min("uid").alias("lead"), F.count("*").alias("n"), F.max("short").alias("short"), F.max("near").alias("near"))
+    stars = store(stars.where("n > 1 and short and near").select("family", "token", "lead"), "meeting")
+    met = store(first.join(stars, ["family", "token"]).select("lead", "uid", "near").distinct(), "met-differences")
+    of = components(met.select(F.col("lead").alias("u"), F.col("uid").alias("v"))).select(F.col("node").alias("uid"), F.col("component").alias("family"))
+    return met.select("uid", "near").distinct().join(of, "uid")
+
+
 def _plain(batches):
     """(uid, family, text) in; lower-cased words joined by one space out."""
     for b in batches:
@@ -355,16 +415,32 @@ def _blocks_of(sets: DataFrame, block: int, block_grams: int) -> DataFrame:
     return sized.where("members > 1").select("family", blocks.alias("blocks"), (-F.col("leader")).alias("leader"))
 
 
-def _grouped(dealt: DataFrame, k: int, percent: int, tally) -> DataFrame:
+def _grouped(dealt: DataFrame) -> DataFrame:
     rows = dealt.repartition("family", "a", "b").sortWithinPartitions("family", "a", "b", "role", "uid")
-    return rows.select("family", "a", "b", "role", "uid", "plain").mapInArrow(_count(k, percent, tally), _FOUND)
+    return rows.select("family", "a", "b", "role", "uid", "plain")
+
+
+def _dealt(crowd: DataFrame, sized: DataFrame) -> DataFrame:
+    """Each set to a block of its family, the leader to all of them."""
+    leads = F.col("uid") == F.col("leader")
+    to = F.when(F.col("blocks") == 1, F.array(F.lit(-1))).when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_spread(F.col("blocks"))))
+    return _grouped(crowd.join(sized, "family").select("family", F.explode(to).alias("a"), F.lit(None).cast("int").alias("b"), F.when(leads, 0).otherwise(1).alias("role"), "uid", "plain"))
+
+
+def _sliced(crowd: DataFrame, members: DataFrame, block: int, block_grams: int) -> DataFrame:
+    """Near sets against all sets of their family. crowd: uid, plain; members: uid, family, near, n_shingles."""
+    parts = lambda which: F.ceil(F.greatest(F.sum(which.cast("int")) / block, F.sum(F.when(which, F.col("n_shingles"))) / block_grams))
+    slices = members.groupBy("family").agg(parts(F.col("near")).cast("int").alias("parts"), F.ceil(parts(F.lit(True)) / 4).cast("int").alias("slices"))
+    here = crowd.select("uid", "plain").join(members.join(store(slices, "slices"), "family"), "uid")
+    every = here.select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a"), _spread(F.col("slices")).alias("b"), F.lit(1).alias("role"), "uid", "plain")
+    asking = here.where("near").select("family", F.pmod(F.xxhash64("uid", F.lit(1)), "parts").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("b"), F.lit(0).alias("role"), "uid", "plain")
+    return _grouped(every.union(asking))
 
 
 def family_links(docs: DataFrame, members: DataFrame, k: int, percent: int, block: int, block_grams: int, rounds: int = 4, tally=None) -> DataFrame:
     """(u, v) that hold the components of the links inside families. docs: uid, text; members: uid, family, score, n_shingles.
 
-    ``rounds``: the last one holds all open sets against their family, so what many separate groups of one
-    family cost there grows with the square of the family over the block.
+    ``rounds``: in the last one all open sets are near ones.
     """
     found = []
     sets = docs.join(members.select("uid", "family").hint("shuffle_hash"), "uid").select("uid", "family", "text")
@@ -372,25 +448,22 @@ def family_links(docs: DataFrame, members: DataFrame, k: int, percent: int, bloc
     for i in range(rounds):
         # small tables are stored, so that the other side of a join is a plain exchange: a hot family is split among tasks
         sized = store(_blocks_of(members, block, block_grams), "sizes")
-        leads = F.col("uid") == F.col("leader")
-        to = F.when(F.col("blocks") == 1, F.array(F.lit(-1))).when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_spread(F.col("blocks"))))
-        dealt = crowd.join(sized, "family").select("family", F.explode(to).alias("a"), F.lit(None).cast("int").alias("b"), F.when(leads, 0).otherwise(1).alias("role"), "uid", "plain")
-        got = store(_grouped(dealt, k, percent, tally), "links")
+        got = store(_dealt(crowd, sized).mapInArrow(_count(k, percent, tally), _FOUND), "links")
         found.append(got.where("family is null").select("u", "v"))
         judged = got.where("family is not null").select(F.col("u").alias("uid"), "family", "joined", "far")
         if not judged.where("not joined").head(1):
             break
         reach = store(judged.groupBy("family").agg(F.coalesce(F.max(F.when(F.col("joined"), F.col("far"))), F.lit(0.0)).alias("reach")), "reach")
         is_near = F.lit(True) if i == rounds - 1 else F.col("far") <= F.col("reach") + (1 - percent / 100 + 1e-9)
-        left = judged.where("not joined").join(reach, "family").select("uid", "family", is_near.alias("near"))
-        left = store(left.join(members.select("uid", "n_shingles"), "uid"), "open")
-        opened = left.where("near").groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / block_grams)).cast("int").alias("parts"))
-        slices = store(sized.join(opened, "family").select("family", "parts", F.ceil(F.col("blocks") / 4).cast("int").alias("slices")), "slices")
-        here = crowd.join(slices, "family").join(left.where("near").select("uid", "near"), "uid", "left")
-        every = here.select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("a"), _spread(F.col("slices")).alias("b"), F.lit(1).alias("role"), "uid", "plain")
-        asking = here.where("near").select("family", F.pmod(F.xxhash64("uid", F.lit(1)), "parts").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("b"), F.lit(0).alias("role"), "uid", "plain")
-        found.append(store(_grouped(every.union(asking), k, percent, tally).select("u", "v"), "links"))
-        members = store(members.join(left.where("not near").select("uid"), "uid", "left_semi"), "far")
+        judged = store(judged.join(reach, "family").select("uid", "family", "joined", (~F.col("joined") & is_near).alias("near")), "judged")
+        opened = store(judged.where("near").select("family").distinct(), "open")
+        if opened.head(1):
+            again = store(sized.join(opened, "family", "left_semi"), "sizes")
+            tokens = store(_dealt(crowd, again).mapInArrow(_deltas(k, tally), _DELTA), "differences")
+            meet = store(_meeting(tokens, judged, percent).join(members.select("uid", "n_shingles"), "uid"), "meeting")
+            drop_table(tokens)
+            found.append(store(_sliced(crowd, meet, block, block_grams).mapInArrow(_count(k, percent, tally), _FOUND).select("u", "v"), "links"))
+        members = store(members.join(judged.where("not joined and not near").select("uid"), "uid", "left_semi"), "far")
         if not members.head(1):
             break
         crowd = store(crowd.join(members.select("uid"), "uid", "left_semi"), "sets")

@@ -316,12 +316,13 @@ def test_jaccard_join_of_sets_of_thousands(table):
 
 @pytest.mark.parametrize("change", [1, 2, 5])
 def test_rows_dealt_grow_with_the_family(spark, table, change):
-    """Whole sets sent to blocks of 8, for families of 64, 128 and 256 near copies of one text.
+    """Whole sets sent to blocks of 8, for families of 64, 128, 256 (and 512) near copies of one text.
 
-    Of copies with one word changed all are linked; with more, open sets are held against their family, and rows may grow faster.
+    Of copies with one word changed all are linked, with five changed none are. With two changed those with
+    changes at adjoining places are: such families are held against each other in slices, and grow faster.
     """
     sent = []
-    for n in (64, 128, 256):
+    for n in (64, 128, 256, 512) if change == 5 else (64, 128, 256):
         r = random.Random(n)
         base, rows = [f"w{i}" for i in range(200)], []
         for i in range(n):
@@ -335,6 +336,26 @@ def test_rows_dealt_grow_with_the_family(spark, table, change):
         sent.append(tally.value)
     if change == 1:  # all are linked: each set once, the leader once a block
         assert sent == [64 + 7, 128 + 15, 256 + 31]
+    if change == 5:
+        assert all(more <= 2.5 * less for less, more in zip(sent, sent[1:])), sent  # a few sets still meet in slices
+
+
+def test_a_family_of_several_bases_is_parted(spark, table):
+    """Near copies of texts that are near each other, but not linked: those of other bases are far from the leader, and have leaders of their own."""
+    r, rows = random.Random(9), []
+    root = [f"w{i}" for i in range(200)]
+    for b in range(6):
+        base = list(root)
+        for at in r.sample(range(200), 5):
+            base[at] = f"b{b}x{at}"
+        for _ in range(24):
+            w = list(base)
+            w[r.randrange(200)] = f"x{r.randrange(10**9)}"
+            rows.append((len(rows) * 7 % 1009, " ".join(w)))
+    tally = spark.sparkContext.accumulator(0)
+    got = jaccard_join.jaccard_components(table(rows, "doc_id long, text string"), block=8, tally=tally).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == _components(rows, 3, 90)
+    assert tally.value <= 12 * len(rows)
 
 
 def test_families_with_several_groups_are_joined_exactly(table):
