@@ -688,6 +688,14 @@ def test_url_rules_and_spread(spark, table):
     assert url_filter.url_filter(table([], "page_id long, url string, html string"), queries.RULES, none, none).collect() == []
 
 
+def test_url_rules_are_those_of_the_contract(spark, table):
+    """net/de/ allows, though the host is distrusted, but for what a longer rule says."""
+    rows = [(1, "http://bad.net/de/1", ""), (2, "http://www.example.net/de/81", ""), (3, "http://example.net/de/7", ""), (4, "http://bad.net/fr/", ""), (5, "http://good.org/es/", ""), (6, "http://good.com/en/7", "")]
+    got = url_filter.url_filter(table(rows, "page_id long, url string, html string"), queries.RULES, _seeds(spark, good_org=1), _seeds(spark, bad_net=1)).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in got) == [
+        (1, "net/de/", "allow"), (2, "example.net/de/8", "block"), (3, "net/de/", "allow"), (4, None, "block"), (5, "org/es/", "block"), (6, "com/en/", "block")]
+
+
 def test_distrust_reaches_hosts_many_links_away(spark, table):
     rows = [(i, f"http://h{i}.com/", f'<a href="http://h{i + 1}.com/">' if i < 39 else '<a href="http://bad.org/">') for i in range(40)]
     got = {r.page_id: (r.verdict, r.distrust) for r in url_filter.url_filter(table(rows, "page_id long, url string, html string"), [], _seeds(spark), _seeds(spark, bad_org=7)).collect()}
