@@ -39,6 +39,8 @@ from .shared import drop_finished_shuffles, drop_table, prepare, spare_name, sto
 
 #: Keys that linked sets of large classes share at least; a set with fewer shared keys has no link.
 SUPPORT = 4
+#: Keys that are shuffled at once, about, and in how many parts at most.
+SLICE_ROWS, SLICES = 1 << 23, 8
 _DOC, _KEY, _STAR, _NODE = 0, 1, 2, 3
 _ROWS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
 
@@ -445,10 +447,12 @@ def family_links(docs: DataFrame, members: DataFrame, k: int, percent: int, bloc
     found = []
     sets = docs.join(members.select("uid", "family").hint("shuffle_hash"), "uid").select("uid", "family", "text")
     crowd = store(sets.mapInArrow(_plain, "uid long, family long, plain binary"), "sets")
+    drop_finished_shuffles(docs.sparkSession)
     for i in range(rounds):
         # small tables are stored, so that the other side of a join is a plain exchange: a hot family is split among tasks
         sized = store(_blocks_of(members, block, block_grams), "sizes")
         got = store(_dealt(crowd, sized).mapInArrow(_count(k, percent, tally), _FOUND), "links")
+        drop_finished_shuffles(docs.sparkSession)  # texts
         found.append(got.where("family is null").select("u", "v"))
         judged = got.where("family is not null").select(F.col("u").alias("uid"), "family", "joined", "far")
         if not judged.where("not joined").head(1):
@@ -462,17 +466,41 @@ def family_links(docs: DataFrame, members: DataFrame, k: int, percent: int, bloc
             tokens = store(_dealt(crowd, again).mapInArrow(_deltas(k, tally), _DELTA), "differences")
             meet = store(_meeting(tokens, judged, percent).join(members.select("uid", "n_shingles"), "uid"), "meeting")
             drop_table(tokens)
+            drop_finished_shuffles(docs.sparkSession)
             found.append(store(_sliced(crowd, meet, block, block_grams).mapInArrow(_count(k, percent, tally), _FOUND).select("u", "v"), "links"))
         members = store(members.join(judged.where("not joined and not near").select("uid"), "uid", "left_semi"), "far")
         if not members.head(1):
             break
-        crowd = store(crowd.join(members.select("uid"), "uid", "left_semi"), "sets")
+        before, crowd = crowd, store(crowd.join(members.select("uid"), "uid", "left_semi"), "sets")
+        drop_table(before)
+        drop_finished_shuffles(docs.sparkSession)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out
 
 
+def _met_keys(rows: DataFrame, slice_rows: int = SLICE_ROWS, most: int = SLICES) -> DataFrame:
+    """(b, lead, more): entries whose keys another map task has too, the least entry of such a key, and how many of these keys the entry shares with no set of its own task.
+
+    ``rows`` is the table of ``_sketch``; most of its keys are held once. They are shuffled in ranges of about
+    ``slice_rows`` (``most`` ranges at most), one after the other, so that their shuffles are never on disk together.
+    """
+    keys, parts = rows.where(f"kind = {_KEY}"), []
+    slices = min(most, max(1, -(-keys.count() // slice_rows)))  # one number; keys are hashes, and each task's are sorted
+    for i in range(slices):
+        low, high = (i << 64) // slices - (1 << 63), ((i + 1) << 64) // slices - (1 << 63) - 1
+        # a key has one row a map task here, however many sets share it
+        same = Window.partitionBy("a")
+        met = keys.where(F.col("a").between(low, high)).select("b", "n", F.min("b").over(same).alias("lead"), F.count("*").over(same).alias("held")).where("held > 1")
+        parts.append(store(met.groupBy("b", "lead").agg(F.sum(1 - F.col("n")).alias("more")), "met"))
+        drop_finished_shuffles(rows.sparkSession)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out if len(parts) == 1 else store(out.groupBy("b", "lead").agg(F.sum("more").alias("more")), "met")
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: int = 512, block_grams: int = 4 << 20, hot_least: int = 64, tally=None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are ignored): uid, doc_id, n_shingles, component_id, component.
 
@@ -487,10 +515,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block: in
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     hot = spark.sparkContext.broadcast(hot_grams(docs, k, hot_least))
     rows = store(docs.mapInArrow(_sketch(k, percent, hot), "kind byte, a long, b long, doc_id long, n long"), "segments")
-    # a key has one row a map task here, however many sets share it
-    same = Window.partitionBy("a")
-    met = rows.where(f"kind = {_KEY}").select("b", "n", F.min("b").over(same).alias("lead"), F.count("*").over(same).alias("held")).where("held > 1").select("b", "n", "lead")
-    met = store(met.groupBy("b", "lead").agg(F.sum(1 - F.col("n")).alias("more")), "met")
+    drop_finished_shuffles(spark)
+    met = _met_keys(rows)
     # a set with fewer shared keys than linked sets have is in no family, unless others meet through it
     more = met.groupBy("b").agg(F.sum("more").alias("more"))
     nodes = rows.where(f"kind = {_NODE}").select(F.col("a").alias("uid"), F.col("b").alias("shared"), F.col("n").alias("need"))

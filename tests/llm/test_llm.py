@@ -381,6 +381,33 @@ def test_gram_table_numbers_grams_by_their_words(texts, k):
     assert all(len(got[i] & got[j]) == len(want[i] & want[j]) for i in range(len(texts)) for j in range(i))
 
 
+def test_keys_met_by_slices(spark, tmp_path):
+    """Keys shuffled in ranges, one after the other, give what one shuffle of all gives."""
+    r = random.Random(9)
+    rows = list({(r.choice([-1, 1]) * (r.randrange(60) << 57) + r.randrange(2), r.randrange(40)) for _ in range(400)})
+    rows = [(jaccard_join._KEY if i % 5 else jaccard_join._STAR, max(-(1 << 63), min((1 << 63) - 1, a)), b, i % 2) for i, (a, b) in enumerate(rows)]
+    rows += [(jaccard_join._KEY, a, b, n) for a, b, n in ((-(1 << 63), 1, 0), (-(1 << 63), 2, 1), ((1 << 63) - 1, 1, 0), ((1 << 63) - 1, 3, 0))]
+    spark.createDataFrame(rows, "kind byte, a long, b long, n long").write.parquet(str(tmp_path / "keys"))
+    by, want = {}, Counter()
+    for kind, a, b, n in rows:
+        if kind == jaccard_join._KEY:
+            by.setdefault(a, []).append((b, n))
+    for group in by.values():
+        for b, n in group if len(group) > 1 else ():
+            want[b, min(x for x, _ in group)] += 1 - n
+    for most in (1, 8):
+        got = jaccard_join._met_keys(spark.read.parquet(str(tmp_path / "keys")), slice_rows=20, most=most).collect()
+        assert sorted((x.b, x.lead, x.more) for x in got) == sorted((*k, n) for k, n in want.items())
+
+
+def test_components_end_in_one_task_when_few_edges_are_left(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(260)] + [(5, 5), (1000, 1000)]
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(3)
+    by_bound = [sorted(map(tuple, components(frame, bound=b, **more).collect())) for b, more in ((100, {}), (1 << 18, {"most_rounds": 1}))]
+    assert by_bound[0] == by_bound[1] and len({c for _, c in by_bound[0]}) > 5
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
