@@ -35,33 +35,38 @@ _LAST = (1 << 63) - 1
 
 def _words_at(padded: bytes, n: int) -> np.ndarray:
     """The 8 bytes from each place on as numbers that sort like them."""
-    return np.ndarray((n,), ">u8", padded, strides=(1,))
+    return np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def _sorted_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Places by the ``depth`` bytes there or more, 8 bytes a round; only what is still tied goes on."""
-    key = words[at].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    """Places by the ``depth`` bytes there or more, 8 bytes a round, then by place; only ties that part are sorted again."""
+    key = words[at]
+    order = np.argsort(key)
     at, key = at[order], key[order]
-    slot = np.arange(len(at))  # where the places that are still tied belong
-    group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])[: len(at)])
-    done, now = at.copy(), 8
-    while now < depth:
-        size = np.bincount(group)
-        tied = size[group] > 1
-        at, slot, group = at[tied], slot[tied], group[tied]
-        if not len(at):
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(at)]  # apart from the place before
+    now = 8
+    while True:
+        tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+        place, group = at[tied], np.cumsum(new[tied]) - 1
+        if now >= depth or not len(tied):
             break
-        inside = at + now < len(words)
-        key = np.where(inside, words[np.minimum(at + now, len(words) - 1)], 0).astype(np.uint64)
-        values, rank = np.unique(key, return_inverse=True)
-        joint = group * np.int64(len(values)) + rank.reshape(-1)
-        order = np.argsort(joint, kind="stable")
-        at, joint = at[order], joint[order]
-        done[slot] = at
-        group = np.cumsum(np.concatenate([[False], joint[1:] != joint[:-1]]))
+        key = words[place + now]
+        parts = np.zeros(group[-1] + 1, bool)
+        parts[group[1:][(key[1:] != key[:-1]) & (group[1:] == group[:-1])]] = True
+        parts = parts[group]
+        if parts.any():
+            tied, place, group, key = tied[parts], place[parts], group[parts], key[parts]
+            order = np.argsort(key)
+            rank = np.empty(len(key), np.int64)
+            rank[order] = np.cumsum(np.concatenate([[False], key[order[1:]] != key[order[:-1]]]))
+            joint = group * np.int64(len(key)) + rank
+            order = np.argsort(joint)
+            joint = joint[order]
+            at[tied] = place[order]
+            new[tied] = np.concatenate([[True], joint[1:] != joint[:-1]])
         now += 8
-    return done
+    at[tied] = np.sort(group * np.int64(len(words)) + place) % len(words)  # copies in the order of the text
+    return at
 
 
 def suffix_array(raw: bytes, depth: int) -> np.ndarray:
@@ -80,7 +85,7 @@ def suffix_array(raw: bytes, depth: int) -> np.ndarray:
     length = np.diff(np.append(run, n))
     start, smaller = np.repeat(run, length), np.repeat(rising, length)
     direct = np.flatnonzero(smaller)
-    direct = _sorted_directly(_words_at(raw + bytes(depth + 8), n), direct, depth)
+    direct = _sorted_directly(_words_at(raw + bytes(depth + 16), n + depth + 8), direct, depth)
     edge = np.searchsorted(text[direct], np.arange(257))  # they are sorted by first byte too
     waiting: list[list] = [[] for _ in range(256)]
     waiting[text[-1]].append(np.array([n - 1]))
@@ -109,28 +114,45 @@ def suffix_array(raw: bytes, depth: int) -> np.ndarray:
 
 
 def common_prefixes(raw: bytes, suffixes: np.ndarray, most: int) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it, ``most`` at most (0 for the first); suffixes end with ``raw``."""
-    n = len(raw)
-    out = np.zeros(len(suffixes), np.int64)
-    if not len(suffixes):
-        return out
+    """Bytes that each suffix shares with the one before it, ``most`` at most (0 for the first); suffixes end with ``raw``.
+
+    Where a suffix and the one before it are both followed in the text by such a pair, that pair shares one byte less, so
+    only pairs that none follows are compared as a whole.
+    """
+    text, n = np.frombuffer(raw, np.uint8), len(raw)
+    if len(suffixes) < 2:
+        return np.zeros(len(suffixes), np.int64)
+    before = np.full(n + 1, -2)
+    before[suffixes[1:]] = suffixes[:-1]
+    b = np.flatnonzero(before >= 0)
+    a = before[b]
+    last = before[b + 1] != a + 1
+    stop = np.where(last | (text[a] != text[b]), b, n)  # the next place where it is known how long a pair is equal
+    stop = np.minimum.accumulate(stop[::-1])[::-1]
+    ends = np.zeros(n + 1, np.int64)
+    ends[b] = b
+    a, b = a[last], b[last]
     words = _words_at(raw + bytes(most + 16), n + most + 8)
-    alive, a, b, now = np.arange(1, len(suffixes)), suffixes[:-1], suffixes[1:], 0
+    room, alive, now = np.minimum(n - np.maximum(a, b), most), np.arange(len(b)), 0
+    equal = room.copy()
     while len(alive) and now < most:
-        apart = (words[a + now] ^ words[b + now]).astype(np.uint64)
-        ends = np.flatnonzero(apart)
-        left = apart[ends]
-        equal = np.zeros(len(ends), np.int64)
-        for byte in (8, 4, 2, 1):  # leading bytes that are zero
-            zero = left < np.uint64(1) << np.uint64(8 * (8 - byte)) if byte < 8 else np.zeros(len(left), bool)
-            equal += byte * zero
-            left = np.where(zero, left << np.uint64(8 * byte) if byte < 8 else left, left)
-        out[alive[ends]] = now + equal
-        on = apart == 0
-        alive, a, b, now = alive[on], a[on], b[on], now + 8
-    out[alive] = most
-    out[1:] = np.minimum(out[1:], n - np.maximum(suffixes[1:], suffixes[:-1]))
-    return np.minimum(out, most)
+        apart = words[a[alive] + now] ^ words[b[alive] + now]
+        stops = np.flatnonzero(apart)
+        left = apart[stops]
+        zeros = np.zeros(len(stops), np.int64)
+        for byte in (4, 2, 1):  # leading bytes that are zero
+            zero = left < np.uint64(1) << np.uint64(8 * (8 - byte))
+            zeros += byte * zero
+            left = np.where(zero, left << np.uint64(8 * byte), left)
+        equal[alive[stops]] = np.minimum(now + zeros, room[alive[stops]])
+        alive, now = alive[apart == 0], now + 8
+    ends[b] += equal
+    out = np.zeros(len(suffixes), np.int64)
+    shared = np.zeros(n, np.int64)
+    b = np.flatnonzero(before >= 0)
+    shared[b] = np.minimum(ends[stop] - b, most)
+    out[1:] = shared[suffixes[1:]]
+    return out
 
 
 def settle(segments: list, least: int) -> tuple[list, list]:

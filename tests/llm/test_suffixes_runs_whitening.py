@@ -82,6 +82,20 @@ def test_suffix_array_and_common_prefixes(text, depth):
         assert text[a : a + n] == text[b : b + n] and (n == depth or a + n == len(text) or b + n == len(text) or text[a + n] != text[b + n])
 
 
+def test_ties_of_copies_are_not_sorted_again_each_round(monkeypatch):
+    rng, sort, sizes = np.random.default_rng(3), np.argsort, []
+    text = rng.integers(97, 123, 5000, np.uint8).tobytes() * 4
+    with monkeypatch.context() as m:
+        m.setattr(np, "argsort", lambda a, *more, **named: (sizes.append(len(a)), sort(a, *more, **named))[1])
+        got = suffix_dedup.suffix_array(text, 100)
+    assert sum(sizes) < 2 * len(text)
+    assert sorted(got.tolist()) == list(range(len(text)))
+    assert [text[i : i + 100] for i in got] == sorted(text[i : i + 100] for i in range(len(text)))
+    for most in (3, 100, 20_000):
+        want = [next((k for k, (x, y) in enumerate(zip(text[a : a + most], text[b : b + most])) if x != y), min(most, len(text) - max(a, b))) for a, b in zip(got[:200], got[1:200])]
+        assert suffix_dedup.common_prefixes(text, got[:200], most).tolist() == [0, *want]
+
+
 @given(st.lists(st.lists(st.sampled_from(b"ab"), max_size=60).map(bytes), min_size=1, max_size=4), st.integers(8, 14), st.integers(0, 20))
 @settings(max_examples=150, deadline=None)
 def test_copies_of_a_window_share_an_anchor(texts, k, more):
