@@ -239,17 +239,17 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
 
 
-def _nesting(variant: str) -> Column:
-    """Levels of objects and arrays in a variant: brackets of its JSON text outside of strings, as running sums."""
-    texts = F.regexp_replace(F.regexp_replace(F.to_json(variant), r"\\.", ""), r'"[^"]*"', "")  # first what is escaped, so that quotes pair up
-    marks = F.regexp_replace(texts, r"[^{}\[\]]", "")
-    now = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
-
-    def step(state: Column, mark: Column) -> Column:
-        depth = state["depth"] + F.when(mark.isin("{", "["), 1).when(mark.isin("}", "]"), -1).otherwise(0)
-        return F.struct(depth.alias("depth"), F.greatest(state["most"], depth).alias("most"))
-
-    return F.aggregate(F.split(marks, ""), now, step, lambda state: state["most"])
+def _nesting(df: DataFrame, variant: str, most: int = 8) -> int:
+    """Levels of objects in a variant column, those in lists apart: members are opened ``most`` levels deep, twice as many as long as that is not enough."""
+    while True:
+        rows = df.select(F.lit(0).alias("level"), F.col(variant).alias("v"))
+        for _ in range(most):
+            rows = rows.select("level", F.try_variant_get("v", "$", "map<string,variant>").alias("inner"))
+            rows = rows.select((F.col("level") + F.col("inner").isNotNull().cast("int")).alias("level"), F.explode_outer(F.map_values("inner")).alias("v"))
+        found = rows.agg(F.max("level")).first()[0] or 0  # one number
+        if found < most:
+            return found
+        most *= 2
 
 
 def flat_scalars(df: DataFrame, key: str, variant: str, depth: int | None = None) -> DataFrame:
@@ -257,21 +257,21 @@ def flat_scalars(df: DataFrame, key: str, variant: str, depth: int | None = None
 
     value is the scalar as text (booleans are true and false); number is that of numbers and booleans (1 and 0), else
     null. Lists, nulls and empty objects have no row; nor have variants that are null or no objects. ``depth`` is the
-    number of levels to open; without it one job finds the greatest of all rows. Every level is opened in the same
+    number of levels to open; without it a job finds the greatest of all rows. Every level is opened in the same
     stage, so nothing is shuffled.
     """
     if depth is None:
-        depth = df.agg(F.max(_nesting(variant))).first()[0] or 0  # one number
-    inner = F.try_variant_get("v", "$", "map<string,variant>")
-    # the variant itself is no scalar of an object
-    rows = df.select(F.col(key).alias("key"), F.lit("").alias("name"), F.col(variant).alias("v")).where(inner.isNotNull())
+        depth = _nesting(df, variant)
+    # an object's own value is not carried on to its members, nor is the variant itself a scalar of an object
+    rows = (df if depth else df.limit(0)).select(F.col(key).alias("key"), F.lit("").alias("name"), F.col(variant).alias("v"))
     for level in range(depth):
-        member = F.struct(F.lit("").alias("key"), F.col("v").alias("value"))
-        members = F.coalesce(F.transform(F.map_entries("inner"), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))), F.array(member))
-        opened = rows.withColumn("inner", inner).select("key", "name", F.col("inner").isNotNull().alias("deeper"), F.explode(members).alias("m"))
-        name = F.col("m.key") if level == 0 else F.when(F.col("deeper"), F.concat("name", F.lit("."), "m.key")).otherwise(F.col("name"))
-        rows = opened.select("key", name.alias("name"), F.col("m.value").alias("v"))
+        rows = rows.withColumn("inner", F.try_variant_get("v", "$", "map<string,variant>"))
+        scalar = F.when(F.col("inner").isNull(), F.col("v")) if level else F.lit(None).cast("variant")
+        # outer: rows without members stay, and no filter is derived that would read the variant a second time
+        opened = rows.select("key", "name", scalar.alias("v"), "inner").select("key", "name", "v", F.explode_outer("inner").alias("member", "value"))
+        name = F.when(F.col("member").isNull(), F.col("name")).otherwise(F.concat("name", F.lit("."), "member")) if level else F.col("member")
+        rows = opened.select("key", name.alias("name"), F.coalesce("value", "v").alias("v"))
     kind = F.schema_of_variant("v")
-    rows = rows.where(~F.is_variant_null("v") & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"))
+    rows = rows.where((kind != "VOID") & ~kind.endswith(">"))  # neither null, nor OBJECT<...> or ARRAY<...>
     number = F.when(kind == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("double")).when(kind != "STRING", F.try_variant_get("v", "$", "double"))
     return rows.select(F.col("key").alias(key), "name", F.try_variant_get("v", "$", "string").alias("value"), number.alias("number"))

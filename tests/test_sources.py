@@ -76,3 +76,19 @@ def test_scalars_at_any_depth(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert json_files.flat_scalars(df.limit(0), "id", "v").collect() == []
     assert {r["name"] for r in json_files.flat_scalars(df, "id", "v", depth=1).collect()} == {"x", "brace", "list", "q", "", "empty", "long"}
+
+
+def test_scalars_read_a_variant_once_and_open_no_lists(spark):
+    text = F.concat(F.lit('{"a": {"l": [[{"b": 1}]], "t": "{{{"}, "n": '), F.col("id").cast("string"), F.lit("}"))
+    got = json_files.flat_scalars(spark.range(2).select("id", F.parse_json(text).alias("v")), "id", "v")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("Generate") == 2
+    assert sorted(tuple(r) for r in got.collect()) == [(i, n, v, d) for i in range(2) for n, v, d in (("a.t", "{{{", None), ("n", str(i), float(i)))]
+
+
+def test_scalars_of_deep_objects_and_of_none(spark):
+    deep = "".join('{"k": ' for _ in range(20)) + "1" + "}" * 20
+    rows = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "id long, j string").select("id", F.parse_json("j").alias("v"))
+    assert [tuple(r) for r in json_files.flat_scalars(rows("2", deep, '{"k": {}}'), "id", "v").collect()] == [(1, ".".join("k" * 20), "1", 1.0)]
+    assert json_files.flat_scalars(rows("3", "[{}]", None, "null"), "id", "v").collect() == []
+    assert json_files.flat_scalars(rows("{}"), "id", "v").collect() == json_files.flat_scalars(rows('{"k": 1}', "2"), "id", "v", depth=0).collect() == []
