@@ -33,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .hashing import Words, digest64, sliding_minimum, window_minima
-from .shared import drop_finished_shuffles, prepare, spare_name, store, task_base, with_uid
+from .shared import drop_finished_shuffles, drop_table, prepare, spare_name, store, task_base, with_uid
 
 
 class SuffixAutomaton:
@@ -264,28 +265,40 @@ def _shards(least: int):
     return run
 
 
+def _left(text: str | None, all_of_it: bool, low: list, high: list) -> tuple[int, list[bytes]]:
+    """The number of words of a text, and those that are not in spans."""
+    words = (text or "").encode().split()
+    n = len(words)
+    if all_of_it:
+        words = []
+    elif low:
+        gone = np.zeros(n + 1, np.int32)
+        np.add.at(gone, low, 1)
+        np.add.at(gone, high, -1)
+        words = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
+    return n, words
+
+
 def _cut(batches):
     """(uid, doc_id, text, whole, low[], high[]) in; what is left of each text out."""
     for b in batches:
         uid, doc_id, texts, whole, lows, highs = (b.column(i) for i in range(6))
         found = []
-        for text, all_of_it, low, high in zip(texts.to_pylist(), whole.to_pylist(), lows.to_pylist(), highs.to_pylist()):
-            words = (text or "").encode().split()
-            n = len(words)
-            if all_of_it:
-                words = []
-            elif low:
-                gone = np.zeros(n + 1, np.int32)
-                np.add.at(gone, low, 1)
-                np.add.at(gone, high, -1)
-                left = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
-                words = [words[i] for i in left.tolist()]
+        for row in zip(texts.to_pylist(), whole.to_pylist(), lows.to_pylist(), highs.to_pylist()):
+            n, words = _left(*row)
             kept = b" ".join(words)
             found.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
         cols = list(zip(*found)) if found else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([uid, doc_id, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["uid", "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
+@F.arrow_udf(StringType())
+def _cut_text(text: pa.Array, whole: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
+    """What is left of a text; null for a text without spans, which is given as null."""
+    rows = zip(text.to_pylist(), whole.to_pylist(), low.to_pylist(), high.to_pylist())
+    return pa.array([None if row[0] is None else b" ".join(_left(*row)[1]).decode() for row in rows], pa.string())
+
+
 def substring_dedup(docs: DataFrame, least: int = 35, k: int = 8, hot: int = 128, stretch: int = 256) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; others are ignored): uid, doc_id, n_words, n_removed, kept_sha256, kept_text.
 
@@ -295,9 +308,16 @@ def substring_dedup(docs: DataFrame, least: int = 35, k: int = 8, hot: int = 128
     with fewer words are left alone. Repeated rows are copies of each other. An empty table gives an
     empty result. ``uid`` is the row number of ``shared.with_uid``.
     """
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = _repeats(docs, least, k, hot, stretch)
+    out = with_uid(docs).join(found.hint("shuffle_hash"), "uid", "left").select("uid", "doc_id", "text", "whole", "low", "high")
+    return out.mapInArrow(_cut, "uid long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+def _repeats(docs: DataFrame, least: int = 35, k: int = 8, hot: int = 128, stretch: int = 256) -> DataFrame:
+    """(uid, whole, low[], high[]), stored: the spans of words that go, of rows with any. docs: text (a string)."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = store(docs.select("text").mapInArrow(_anchors(least, k), "kind byte, h long, uid long, at int, entry long"), "anchors")
     anchors = rows.where(f"kind = {_ANCHOR}").select("h", "uid", "at")
     place = F.struct("uid", F.floor(F.col("at") / stretch).cast("int").alias("part"))
@@ -306,8 +326,7 @@ def substring_dedup(docs: DataFrame, least: int = 35, k: int = 8, hot: int = 128
     met = store(met.select("h", F.when(F.col("n") > hot, -1).otherwise(F.col("first.uid")).cast("long").alias("leader"), "first.part"), "met")
     contested = store(anchors.join(met, "h").groupBy("uid").agg(F.collect_list(F.struct("at", "leader", "part")).alias("met")), "contested")
     drop_finished_shuffles(spark)
-    numbered = with_uid(docs)
-    text = numbered.select("uid", "text").join(contested.hint("shuffle_hash"), "uid")
+    text = with_uid(docs.select("text")).select("uid", "text").join(contested.hint("shuffle_hash"), "uid")
     parts = store(text.select("uid", "text", "met.at", "met.leader", "met.part").mapInArrow(_parts(least, k), "leader long, part int, uid long, start long, text binary, w1 long, w2 long, n long, high long"), "parts")
     drop_finished_shuffles(spark)
     shards = parts.where("leader is not null").select("leader", "part", "uid", "start", "text").repartition("leader", "part").sortWithinPartitions("leader", "part")
@@ -323,9 +342,10 @@ def substring_dedup(docs: DataFrame, least: int = 35, k: int = 8, hot: int = 128
     copies = mapped.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1").select("entry")
     whole = mapped.join(copies, "entry").select("uid", F.lit(True).alias("whole"))
     found = store(spans.join(whole, "uid", "full").select("uid", F.coalesce("whole", F.lit(False)).alias("whole"), F.col("s.low").alias("low"), F.col("s.high").alias("high")), "spans")
+    for passed in (rows, met, contested, parts, twice):
+        drop_table(passed)
     drop_finished_shuffles(spark)
-    out = numbered.join(found.hint("shuffle_hash"), "uid", "left").select("uid", "doc_id", "text", "whole", "low", "high")
-    return out.mapInArrow(_cut, "uid long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return found
 
 
 def drop_repeats(docs: DataFrame, least: int = 35) -> DataFrame:
@@ -336,8 +356,11 @@ def drop_repeats(docs: DataFrame, least: int = 35) -> DataFrame:
     other. An empty table gives an empty result.
     """
     row, cut = spare_name(docs, "_row"), spare_name(docs, "_cut")
-    found = substring_dedup(docs, least).where("n_removed > 0").select(F.col("uid").alias(row), F.col("kept_text").alias(cut))
-    out = docs.withColumn(row, F.monotonically_increasing_id()).join(found, row, "left")
+    found = _repeats(docs.select(F.col("text").cast("string")), least).select(F.col("uid").alias(row), F.struct("whole", "low", "high").alias(cut))
+    # the one shuffle of texts: they are cut where they meet their spans
+    out = docs.withColumn(row, F.monotonically_increasing_id()).join(found.hint("shuffle_hash"), row, "left")
+    span = F.col(cut)
+    out = out.withColumn(cut, _cut_text(F.when(span.isNotNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))), span["whole"], span["low"], span["high"]))
     out = out.where(F.col(cut).isNull() | (F.col(cut) != "")).withColumn("text", F.coalesce(cut, "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType))

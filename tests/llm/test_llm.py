@@ -1,6 +1,8 @@
 import hashlib
 import json
+import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA, as_rows
 
 import corpus_pipeline
-from tablewright.llm import chat_format, exact_dedup, jaccard_join, line_dedup, packing, piece_coding, quality_rules, queries, substring_dedup, toxicity, url_filter
+from tablewright.llm import chat_format, exact_dedup, jaccard_join, line_dedup, packing, piece_coding, quality_rules, queries, shared, substring_dedup, toxicity, url_filter
 from tablewright.llm.components import components
 from tablewright.llm.hashing import Words, window_hash, window_minima
 
@@ -819,3 +821,26 @@ def test_run_of_the_pipeline(spark, tmp_path):
 def test_words():
     w = Words(["a  b\x0bc", None, "", "A b"], lower=True)
     assert np.diff(w.first).tolist() == [3, 0, 0, 2] and w.hash[0] == w.hash[3]
+
+
+def test_a_stored_table_leaves_no_shuffle(spark):
+    """The files of its query go at once, not when the driver collects its garbage."""
+    names = lambda: {n for n in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    before, setting = names(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    out = shared.store(spark.range(1000).repartition(8, "id"), "shuffled")
+    for _ in range(40):
+        left = {n for n in names() - before if n.endswith(".data") and os.path.exists(n)}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(setting) == was and out.count() == 1000
+
+
+def test_texts_are_shuffled_once_to_lose_their_repeats(spark, table):
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = table([(1, f"a {passage} b", 1, {"x": 1}), (2, f"{passage} c", 2, None), (3, "only this", 3, {}), (4, None, 4, None), (5, "", 5, None), (6, passage, 6, None)], "doc_id long, text string, n_chars int, more map<string,int>")
+    out = substring_dedup.drop_repeats(docs)
+    exchanges = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+    assert len(exchanges) == 2  # the texts and the spans
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a b", 3, {"x": 1}), (2, "c", 1, None), (3, "only this", 3, {}), (4, None, 4, None), (5, "", 5, None)]
